@@ -42,7 +42,7 @@ class RepeatParams:
     gram: int = 32
     keep: str = "none"
     hot: int = 4000
-    chunk: int = 4_000_000
+    chunk: int = 1_500_000
 
     def __post_init__(self):
         if not 1 <= self.gram <= self.length or self.length < 4:
@@ -363,6 +363,8 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     if first:
         measures.append(F.min(place).alias("lead"))
     count = marks.groupBy("h").agg(*measures).where("n > 1").withColumn("even", F.col("c0") == F.col("c1")).drop("c0", "c1")
+    # written, so that both sides of the join are plain exchanges and Spark can split an anchor with very many rows
+    count = written(count, "op3")
     again = marks.join(count.hint("shuffle_hash"), "h")
     if first:
         again = again.withColumn("is_first", F.col("lead") == place).drop("lead")
