@@ -96,7 +96,7 @@ def compare(a: DataFrame, b: DataFrame, rtol: float = 0.1, phase_tolerance: floa
     turn = F.degrees((za * zb.conj()).angle())
     made = both.withColumns({"ratio": F.try_divide(za.abs(), zb.abs()), "la": F.ln(F.nullif(za.abs(), F.lit(0.0))), "lb": F.ln(F.nullif(zb.abs(), F.lit(0.0))), "dphi": turn})
     out = made.groupBy("output", "input").agg(
-        F.count("*").alias("n"), F.median("ratio").alias("ratio_median"), F.stddev_pop("ratio").alias("ratio_std"), F.corr("la", "lb").alias("amplitude_corr"),
+        F.count("*").alias("n"), F.median("ratio").alias("ratio_median"), F.stddev_pop("ratio").alias("ratio_std"), F.try_divide(F.covar_pop("la", "lb"), F.stddev_pop("la") * F.stddev_pop("lb")).alias("amplitude_corr"),
         F.avg("dphi").alias("phase_mean"), F.stddev_pop("dphi").alias("phase_std"),
         F.bool_and(F.abs(F.col("ratio") - 1) <= rtol).alias("amplitude_close"), F.bool_and(F.abs("dphi") <= phase_tolerance).alias("phase_close"),
     )

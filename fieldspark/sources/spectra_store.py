@@ -26,7 +26,8 @@ def save_coefficients(fcs: DataFrame, path: str, recipe: dict, kind: str | None
     by = [c for c in ("recipe", "station", "run", "level") if c in marked.columns]
     if kind == "csv":
         pairs = sorted(c[:-3] for c in fcs.columns if c.endswith("_re"))
-        text = [F.format_string("(%s%sj)", F.col(f"{c}_re").cast("string"), F.when(F.col(f"{c}_im") >= 0, F.concat(F.lit("+"), F.col(f"{c}_im").cast("string"))).otherwise(F.col(f"{c}_im").cast("string"))).alias(c) for c in pairs]
+        signed = lambda c: F.when(c.startswith("-"), c).otherwise(F.concat(F.lit("+"), c))
+        text = [F.concat(F.lit("("), F.col(f"{c}_re").cast("string"), signed(F.col(f"{c}_im").cast("string")), F.lit("j)")).alias(c) for c in pairs]
         marked.select(*[c for c in fcs.columns if not c.endswith(("_re", "_im"))], *text).write.mode("overwrite").csv(path, header=True)
         return
     marked.repartition(*by).sortWithinPartitions(*by, "k").write.mode("overwrite").partitionBy(*by).parquet(path)

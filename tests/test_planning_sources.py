@@ -1,0 +1,198 @@
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldspark.operators import features as FE
+from fieldspark.operators import transfer as T
+from fieldspark.operators.windows import WindowScheme
+from fieldspark.plans import planning as P
+from fieldspark.plans.config import Processing, create_config, levels_valid
+from fieldspark.plans.process import process
+from fieldspark.sources import bandfile, responses, spectra_store, zfile
+
+
+def test_band_files():
+    assert bandfile.parse_bands(["2", "1 25 30", "1 20 24", ""]) == [(1, 25, 30), (1, 20, 24)]
+    with pytest.raises(ValueError):
+        bandfile.parse_bands(["3", "1 25 30"])
+    assert {k: len(v) for k, v in bandfile.PACKAGED.items()} == {"default": 25, "fast": 8, "256_26": 26, "256_29": 29, "six_level": 29}
+    assert [b[1] for b in bandfile.bands_of_level(bandfile.DEFAULT_BANDS, 2)] == [5, 6, 7, 9, 11, 14]
+    rule = bandfile.log_bands(1, 4, 60, 6)
+    assert rule[0][1] == 4 and rule[-1][2] == 60 and all(a[2] + 1 == b[1] for a, b in zip(rule[:-1], rule[1:], strict=True))
+
+
+def test_band_edges(spark, tmp_path):
+    (tmp_path / "b.cfg").write_text("1\n1 25 30\n")
+    bands = bandfile.read_band_file(spark, str(tmp_path / "b.cfg"))
+    r = bandfile.band_table(spark, bands, 1.0, [1], [128]).first()
+    assert r["f_lo"] == pytest.approx(24.5 / 128) and r["f_hi"] == pytest.approx(30.5 / 128) and r["period"] == pytest.approx(128 / 27.5)
+    with pytest.raises(ValueError):
+        bandfile.band_table(spark, bands, 0.0, [1], [128])
+    with pytest.raises(ValueError):
+        bandfile.band_table(spark, bands, 1.0, [1, 4], [128])
+
+
+def test_config_round_trip():
+    c = create_config("a", 4.0, "b", "fast", family="tukey")
+    assert Processing.from_json(c.to_json()) == c and json.loads(c.to_json())["levels"][1]["factor"] == 4
+    assert [c.rate(i) for i in range(4)] == [4.0, 1.0, 0.25, 0.0625]
+    with pytest.raises(ValueError):
+        create_config("a", 1.0, band_set="fast", bands=[(1, 5, 6)])
+    assert create_config("a", 1.0).with_engine_for(False).engine == "RME"
+    assert levels_valid([(0, 1), (1, 4)]) and not levels_valid([(0, 1), (2, 4)]) and not levels_valid([(0, 4)])
+
+
+def test_intervals_one_local_run_two_remote_runs(spark):
+    mk = lambda rows: spark.createDataFrame(rows, "station string, run string, start timestamp, end timestamp") if False else spark.createDataFrame(rows, ["station", "run", "start", "end"]).select("station", "run", F.to_timestamp("start").alias("start"), F.to_timestamp("end").alias("end"))
+    local = mk([("a", "1", "2020-01-01 00:00:00", "2020-03-01 00:00:00")])
+    remote = mk([("b", "1", "2019-12-01 00:00:00", "2020-01-15 00:00:00"), ("b", "2", "2020-02-01 00:00:00", "2020-04-01 00:00:00"), ("b", "3", "2020-05-01 00:00:00", "2020-06-01 00:00:00")])
+    for bucket in (86400, 30 * 86400, 10**9):
+        rows = P.simultaneous_intervals(local, remote, bucket).orderBy("start").collect()
+        assert [(r["remote_run"], str(r["start"])[:10], str(r["end"])[:10]) for r in rows] == [("1", "2020-01-01", "2020-01-15"), ("2", "2020-02-01", "2020-03-01")]
+    both = P.kernel_rows(P.simultaneous_intervals(local, remote))
+    assert both.count() == 4 and both.where("remote").count() == 2
+    assert P.drop_short(both, 20 * 86400).count() == 2
+
+
+def test_short_run_loses_deep_levels(spark):
+    runs = spark.createDataFrame([("s", "long", 40000), ("s", "short", 2000)], "station string, run string, n_samples long").withColumn("duration", F.col("n_samples").cast("double"))
+    got = {(r["run"], r["level"]): r["valid"] for r in P.processing_summary(runs, create_config("s", 1.0).level_table(spark)).collect()}
+    assert all(got["long", i] for i in range(4)) and [got["short", i] for i in range(4)] == [True, True, False, False]
+
+
+def test_run_helpers(spark):
+    f = spark.createDataFrame([("s", "1", "hx", 1, "nT", "mV"), ("s", "1", "hx", 2, "mV", "count")], "station string, run string, component string, sequence int, units_in string, units_out string")
+    c = spark.createDataFrame([("s", "1", "hx"), ("s", "1", "hy")], "station string, run string, component string")
+    rows = {r["component"]: r for r in P.enrich_channels(c, f).collect()}
+    assert (rows["hx"]["num_filters"], rows["hx"]["units_in"], rows["hx"]["units_out"]) == (2, "nT", "count") and rows["hy"]["num_filters"] == 0
+    assert P.tidy_run_ids(c).first()["run"] == "001"
+    stored = spark.createDataFrame([("s", "1", True)], "station string, run string, fc boolean")
+    runs = spark.createDataFrame([("s", "1"), ("s", "2"), ("t", "1")], "station string, run string")
+    assert not P.with_stored(runs, stored).where("fc").count()
+    code = spark.createDataFrame([("LFN",), ("xyz",)], "channel string").select(P.component_of()).collect()
+    assert [r[0] for r in code] == ["hx", "xyz"]
+
+
+def half_space(spark, n=4096, stations=("a", "b")):
+    """Electric fields of a 100 ohm metre half-space, made harmonic by harmonic from random magnetic fields."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    f = np.fft.rfftfreq(n)
+    z = np.zeros(len(f), complex)
+    z[1:] = np.sqrt(100 / 0.2 * f[1:]) * np.exp(1j * np.pi / 4)
+    h = [np.fft.rfft(rng.normal(size=n)) for _ in range(2)]
+    series = {"hx": np.fft.irfft(h[0], n), "hy": np.fft.irfft(h[1], n), "hz": np.fft.irfft(0.25 * h[0] + 0.1 * h[1], n), "ex": np.fft.irfft(z * h[1], n), "ey": np.fft.irfft(-z * h[0], n)}
+    rows = [(s, i, *[float(series[c][i] + (0.02 * rng.normal() if s == "b" else 0)) for c in series]) for s in stations for i in range(n)]
+    return spark.createDataFrame(rows, "station string, n long, " + ", ".join(f"{c} double" for c in series))
+
+
+@pytest.mark.parametrize("engine,remote", [("OLS", None), ("RME", None), ("RME_RR", "b")])
+def test_half_space_end_to_end(spark, engine, remote):
+    config = create_config("a", 1.0, remote, bands=[b for b in bandfile.DEFAULT_BANDS if b[0] <= 2], family="hamming", engine=engine)
+    rows = process(half_space(spark), config).collect()
+    off = [r for r in rows if (r["output"], r["input"]) in (("ex", "hy"), ("ey", "hx"))]
+    assert len(rows) == 14 * 6 and len(off) == 28
+    assert sorted(r["rho"] for r in off)[14] == pytest.approx(100, rel=0.08) and all(60 < r["rho"] < 160 for r in off)
+    assert all(abs(r["phi"] - 45) < 8 for r in off)
+    tip = [complex(r["re"], r["im"]) for r in rows if r["output"] == "hz" and r["input"] == "hx"]
+    assert all(abs(t - 0.25) < 0.05 for t in tip)
+
+
+def sample_z():
+    rows = [[complex(0.25, 0.0), complex(0, 0.25)], [complex(-0.01, -0.04), complex(-7.2, -7.2)], [complex(7.2, 7.3), complex(-0.03, -0.01)]]
+    sig = [[3.7e-8 + 0j], [complex(-3e-10, 4e-10), 3.6e-8 + 0j]]
+    noise = [[36.1 + 0j], [complex(-257.9, 226.1), 30870 + 0j], [complex(245.9, 267.3), complex(284.3, -697.8), 31660 + 0j]]
+    per = [zfile.Period(4.65455 * 2**i, 1, 25 - i, 30 - i, 2489, 1.0, rows, sig, noise) for i in range(4)]
+    return zfile.ZFile("test1", "Robust Single station", per, zfile.default_orientation("test1"))
+
+
+def test_zfile_round_trip(spark, tmp_path):
+    z = sample_z()
+    zfile.write_text(spark, zfile.format_zfile(z), str(tmp_path / "a.zss"))
+    back = zfile.read_zfile(spark, str(tmp_path / "a.zss"))
+    assert (back.station, len(back.periods), back.outputs, back.inputs) == ("test1", 4, ["hz", "ex", "ey"], ["hx", "hy"])
+    for a, b in zip(z.periods, back.periods, strict=True):
+        for x, y in zip([*a.tf, *a.signal, *a.noise], [*b.tf, *b.signal, *b.noise], strict=True):
+            assert y == pytest.approx(x, rel=1e-4, abs=1e-12)
+    assert len(zfile.clip_periods(back, 3).periods) == 1 and len(zfile.clip_periods(back, 0).periods) == 4
+    assert len(zfile.parse_zfile(zfile.format_zfile(zfile.clip_periods(back, 3)).split("\n")).periods) == 1
+    edi = zfile.parse_edi(zfile.format_edi(z))
+    assert edi["FREQ"] == pytest.approx([1 / p.period for p in z.periods], rel=1e-5) and edi["ZXYR"] == pytest.approx([-7.2] * 4)
+    assert zfile.format_xml(z).count("<Period ") == 4
+    with pytest.raises(ValueError):
+        zfile.default_orientation("x", 3)
+
+
+def test_compare(spark):
+    tf = zfile.zfile_frame(spark, sample_z())
+    same = {(r["output"], r["input"]): r for r in T.compare(tf, tf).collect()}
+    assert len(same) == 6 and all(r["ratio_median"] == pytest.approx(1) and r["phase_mean"] == pytest.approx(0, abs=1e-9) and r["amplitude_close"] and r["phase_close"] for r in same.values())
+    double = T.compare(tf.withColumns({"re": F.col("re") * 2, "im": F.col("im") * 2}), tf).first()
+    assert double["ratio_median"] == pytest.approx(2) and not double["amplitude_close"]
+    assert T.nearly_equal(tf, tf, ("band", "output", "input"))
+    assert T.clip_bands(tf, 1).select("period").distinct().count() == 3
+    padded = T.pad_channels(tf.where("output <> 'hz'"), ["hx", "hy"], ["ex", "ey", "hz"])
+    assert padded.count() == 24 and padded.where("output = 'hz' and re is null").count() == 8
+    with pytest.raises(NotImplementedError):
+        T.pad_channels(tf.where("output <> 'ex'"), ["hx", "hy"], ["ex", "ey", "hz"])
+
+
+def test_responses_and_store(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("Hz,V/nT,degrees\n0.0,1,0\n0.25,2,90\n1.0,2,90\n")
+    fap = responses.read_fap(spark, str(tmp_path / "r.csv"), "hx")
+    at = {r["k"]: complex(r["re"], r["im"]) for r in responses.at_harmonics(fap, 16, 2.0).collect()}
+    assert at[0] == pytest.approx(1) and at[1] == pytest.approx(0.5 + 1j) and at[2] == pytest.approx(2j)
+    pz = {r["k"]: complex(r["re"], r["im"]) for r in responses.pole_zero(spark, "hx", [-1.0], [0.0], 2.0, 8, 1.0).collect()}
+    s = 2j * math.pi / 8
+    assert pz[0] == 0 and pz[1] == pytest.approx(2 * s / (s + 1))
+    fcs = spark.createDataFrame([("a", "1", 0, n, k, 1.0 * k, -0.5 * n) for n in (0, 96) for k in range(3)], "station string, run string, level int, n0 long, k int, hx_re double, hx_im double")
+    recipe = {"length": 128, "family": "hann"}
+    path = str(tmp_path / "fc")
+    spectra_store.save_coefficients(fcs, path, recipe)
+    back = spectra_store.load_coefficients(spark, path, recipe, n0_from=1)
+    assert back.count() == 3 and spectra_store.load_coefficients(spark, path, recipe | {"length": 64}).count() == 0
+    stored = spark.read.parquet(path)
+    assert spectra_store.has_coefficients(stored, recipe, 1).first()["fc"] and not spectra_store.has_coefficients(stored, recipe, 2).first()["fc"]
+    spectra_store.save_coefficients(fcs, str(tmp_path / "csv"), recipe, "csv")
+    csv = spectra_store.read_coefficient_csv(spark, str(tmp_path / "csv"), ["hx"])
+    assert sorted((r["n0"], r["k"], r["hx_re"], r["hx_im"]) for r in csv.collect()) == sorted((r["n0"], r["k"], r["hx_re"], r["hx_im"]) for r in fcs.collect())
+    with pytest.raises(ValueError):
+        spectra_store.save_coefficients(fcs, path, recipe, "h5")
+
+
+def test_features(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=256)
+    rows = [("s", 0, 0, x.tolist(), (2 * x).tolist()), ("s", 1, 192, x.tolist(), rng.normal(size=256).tolist())]
+    w = spark.createDataFrame(rows, "station string, w long, n0 long, hx array<double>, ex array<double>")
+    coh = FE.windowed_coherence(w, "hx", "ex", 256)
+    mean = {r["w"]: r["m"] for r in coh.groupBy("w").agg(F.avg("value").alias("m")).collect()}
+    assert mean[0] == pytest.approx(1) and mean[1] < 0.7
+    weights = FE.feature_weights(coh.withColumn("feature", F.lit("c")), {"c": FE.threshold_kernel(0.9)}, ["station", "w"])
+    got = {r["w"]: r["weight"] for r in weights.collect()}
+    assert got[0] == pytest.approx(1) and got[1] < 0.5
+    with pytest.raises(ValueError):
+        FE.feature_weights(coh, {}, ["w"], "sum")
+
+
+def test_streaming_windows_equal_batch(spark, tmp_path):
+    import datetime as dt
+
+    from fieldspark.streaming.stft import stream_windows
+
+    s = WindowScheme(8, 4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", i, t0 + dt.timedelta(seconds=i), float(i * i % 7)) for i in range(40)]
+    schema = "station string, n long, t timestamp, v double"
+    for part, chunk in enumerate((rows[:13], rows[17:25], rows[13:17], rows[25:])):
+        spark.createDataFrame(chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_windows(stream, "station", ["v"], s).writeStream.format("memory").queryName("w").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {r["w"]: list(r["v"]) for r in spark.table("w").collect()}
+    assert got == {w: [rows[w * 4 + j][3] for j in range(8)] for w in range(9)}
