@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,12 @@ class Rolling:
         return mix((prefix[end] - prefix[start]) * self.inv_power[start] + (end - start).astype(U64))
 
 
+@lru_cache(maxsize=16)
+def rolling(seed: int) -> Rolling:
+    """One table of powers per seed and worker."""
+    return Rolling(seed)
+
+
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)

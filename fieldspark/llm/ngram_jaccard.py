@@ -5,18 +5,24 @@ k = (|A| + |B|)(1 - t)/(1 + t).  Set sizes are covered by overlapping windows so
 that the sizes of any such pair share a window; inside a window of largest size R
 the feature domain (the shingle hashes) is cut into k(R) + 1 + e partitions.  At
 most k of them can differ, so the pair has at least e + 1 equal projections.  A
-signature is one (window, partition, projection).  Sets with no more than e empty
-partitions are certain to agree on a filled one; the few others also give
-signatures for their empty partitions.
+signature is one (window, partition, projection).  Each set leaves out its e // 2
+weakest partitions - empty ones, then those with the fewest features - which still
+leaves one that both sets of the pair have.
 
 One Python pass over the texts packs signatures into buckets (a few large rows a
-task, combined per batch, so a signature that a third of all rows carry is one
-entry a batch).  Sets that share a signature are joined by a tree of candidate
-edges, never by all pairs; the components of those edges are the work units in
-which sets meet, each shipped once.  A unit too large for one task is split by
-signature, and by pairs of blocks beyond that, so nothing is dropped.  In a unit a
-parity sketch (never above the true distance) rules pairs out and exact
-intersection decides the others; pairs that earlier links already connect are
+task).  Sets that share a signature are compared by parity sketches, whose distance
+is never above the true one, and a forest of the pairs that may link - never all
+pairs - becomes candidate edges.  A signature that very many sets of one batch carry
+sends one of them on and ties the others to it, so it is one entry a batch.
+
+Sketches grow with the set; the signature step uses them folded to a fixed size, and
+a second look, once per set and size window of a component of candidates, uses them
+whole, which keeps long texts with a few shared passages apart.
+
+The components of what is left are the work units in which sets meet, each shipped
+once.  A unit too large for one task is split by signature, and by pairs of
+blocks beyond that, so nothing is dropped.  In a unit sketches rule pairs out, exact
+intersection decides the others, and pairs that earlier links already connect are
 skipped.
 """
 
@@ -33,7 +39,6 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import (
     U64,
-    Rolling,
     ascii_lower,
     buckets_of,
     documents_of,
@@ -41,6 +46,7 @@ from fieldspark.llm.common import (
     mix_int,
     pack_buckets,
     partitions,
+    rolling,
     unpack,
     with_row_key,
     word_spans,
@@ -48,21 +54,26 @@ from fieldspark.llm.common import (
 )
 from fieldspark.llm.components import components
 
-SIG, EDGE, INFO = 0, 1, 2
+SIG, EDGE, INFO, MULTI = 0, 1, 2, 3
 PACKED = "bucket int, kind int, n int, blob binary"
-SKETCH_WORDS = 16
+SKETCH_WORDS = 8
+MOST_SKETCH_WORDS = 512
 
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """Words per shingle, threshold num/den, spare partitions, and bounds of one work unit (sets, shingles)."""
+    """Words per shingle, threshold num/den, spare partitions, sizes with windows of their own; bounds of one work unit (sets, shingles), of a
+    signature's sets compared by sketch, and of its sets in one batch that go on one by one."""
 
     words: int = 4
     num: int = 85
     den: int = 100
-    spare: int = 3
-    unit_sets: int = 4096
-    unit_shingles: int = 2_000_000
+    spare: int = 4
+    small: int = 40
+    unit_sets: int = 16384
+    unit_shingles: int = 4_000_000
+    bucket_sets: int = 4096
+    batch_hot: int = 256
 
     def most_different(self, total: int) -> int:
         """Largest Hamming distance of two linked sets whose sizes add up to ``total``."""
@@ -77,25 +88,23 @@ class JaccardParams:
 def _windows(p: JaccardParams, n: int) -> tuple[tuple[int, int, int], ...]:
     out, lo, j = [], 1, 0
     while lo <= n:
-        nxt = max(lo + 1, int(lo * (p.den / p.num) ** 3))
+        # small sizes have windows of their own, where few features must not meet many partitions
+        nxt = max(lo + 1, int(lo * (p.den / p.num) ** 3)) if lo > p.small else lo + 1
         hi = (nxt - 1) * p.den // p.num
         if n <= hi:
             k = p.most_different(2 * hi)
-            spare = p.spare + k // 10
+            spare = min(p.spare, 2 * (k // 2)) + k // 10
             out.append((j, k + 1 + spare, spare))
         lo, j = nxt, j + 1
     return tuple(out)
 
 
-_rolling: dict[int, Rolling] = {}
-
-
 def shingle_set(text: np.ndarray, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles (lower-cased A-Z; a shorter text is one shingle)."""
     start, end = word_spans(text)
     if len(start) == 0:
         return np.zeros(0, U64)
-    roll = _rolling.setdefault(1, Rolling(0x1D872B41))
+    roll = rolling(0x1D872B41)
     word = roll.spans(roll.prefix(ascii_lower(text)), start, end)
     m = min(words, len(word))
     h = word[: len(word) - m + 1].copy()
@@ -117,51 +126,100 @@ def signatures(s: np.ndarray, p: JaccardParams) -> np.ndarray:
         part = ((s >> U64(32)) * U64(parts)) >> U64(32)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         filled = part[cut]
-        tag = mix(filled + U64((j << 32) + (parts << 8 << 32)))
-        out.append(mix(np.add.reduceat(mix(s), cut) ^ tag))
-        if parts - len(filled) > spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=U64), filled, assume_unique=True)
-            out.append(mix(mix(empty + U64((j << 32) + (parts << 8 << 32))) + U64(0x0E0E0E)))
+        code = U64((j << 32) + (parts << 40))
+        made = mix(np.add.reduceat(mix(s), cut) ^ mix(filled + code))
+        weak = spare // 2 - (parts - len(filled))
+        if weak > 0:
+            made = made[np.argsort(np.diff(np.r_[cut, len(s)]), kind="stable")[weak:]]
+        elif weak < 0:
+            empty = np.setdiff1d(np.arange(parts, dtype=U64), filled, assume_unique=True)[spare // 2 :]
+            out.append(mix(mix(empty + code) + U64(0x0E0E0E)))
+        out.append(made)
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def _tree(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, node) rows become the first node of each key, and edges from it to the key's other nodes."""
+def sketch_words(n: int | np.ndarray):
+    """Words of the sketch of a set of ``n``: a power of two, at least as many bits as features (up to a bound)."""
+    power = np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(int)
+    return np.clip(2 ** np.maximum(power, 0), SKETCH_WORDS, MOST_SKETCH_WORDS)
+
+
+def sketch(s: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parities of the features hashed to each bit: two sketches differ in no more bits than the sets in features."""
+    words = words or int(sketch_words(len(s)))
+    bit = (mix(s + U64(0x5E7)) >> U64(40)).astype(np.int64) & (words * 64 - 1)
+    odd = (np.bincount(bit, minlength=words * 64) & 1).astype(np.uint8)
+    return np.packbits(odd).view(U64)
+
+
+def fold(sk: np.ndarray, words: int) -> np.ndarray:
+    """A sketch as it would be with fewer words."""
+    return np.bitwise_xor.reduce(sk.reshape(-1, words), axis=0)
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of a sorted array."""
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return at, np.diff(np.r_[at, len(key)])
+
+
+def _sorted_distinct(key: np.ndarray, node: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) rows in order; a key is hot if any of its rows is."""
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    if len(key) == 0:
-        return key, node, node, node
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    keep = new_key | np.r_[True, node[1:] != node[:-1]]
-    key, node, new_key = key[keep], node[keep], new_key[keep]
-    hub = node[np.flatnonzero(new_key)][np.cumsum(new_key) - 1]
-    other = ~new_key
-    pair = np.unique(np.stack([hub[other], node[other]], 1), axis=0) if other.any() else np.zeros((0, 2), U64)
-    return key[new_key], node[new_key], pair[:, 0], pair[:, 1]
+    key, node, hot = key[order], node[order], hot[order]
+    if len(key):
+        at, size = _runs(key)
+        hot = np.repeat(np.maximum.reduceat(hot, at), size)
+        keep = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, hot = key[keep], node[keep], hot[keep]
+    return key, node, hot
+
+
+def _star(at: np.ndarray, size: np.ndarray, node: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the first node of each chosen run to the run's others."""
+    hub = np.repeat(node[at], size)
+    edge = np.repeat(chosen, size)
+    edge[at] = False
+    return hub[edge], node[edge]
 
 
 def _signature_pass(p: JaccardParams, n_buckets: int):
+    bucket = lambda x: (x % U64(n_buckets)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rk = batch.column(batch.schema.get_field_index("_rk")).to_numpy(zero_copy_only=False).view(U64)
-            nodes, sizes, sigs, owners, seen = [], [], [], [], set()
+            nodes, sizes, sketches, sigs, owners, seen = [], [], [], [], [], set()
             for text in documents_of(batch):
                 s = shingle_set(text, p.words)
                 node = set_node(s) if len(s) else 0
                 nodes.append(node)
                 sizes.append(len(s))
+                sketches.append(sketch(s))
                 if len(s) and node not in seen:
                     seen.add(node)
                     g = signatures(s, p)
                     sigs.append(g)
                     owners.append(np.full(len(g), node, U64))
-            rows = []
             node, size = np.array(nodes, U64), np.array(sizes, np.int64)
-            rows += [(b, INFO, n, blob) for b, n, blob in pack_buckets((node % U64(n_buckets)).astype(np.int64), rk, node, size)]
+            rows = []
+            order = np.argsort(bucket(node), kind="stable")
+            for x, c in zip(*_runs(bucket(node)[order]), strict=True):
+                i = order[x : x + c]
+                rows.append((int(bucket(node[i[:1]])[0]), INFO, int(c), b"".join([rk[i].tobytes(), node[i].tobytes(), size[i].tobytes(), *(sketches[t].tobytes() for t in i)])))
             if sigs:
-                key, hub, a, b = _tree(np.concatenate(sigs), np.concatenate(owners))
-                rows += [(x, SIG, n, blob) for x, n, blob in pack_buckets((key % U64(n_buckets)).astype(np.int64), key, hub)]
-                rows += [(x, EDGE, n, blob) for x, n, blob in pack_buckets((a % U64(n_buckets)).astype(np.int64), a, b)]
+                key, owner = np.concatenate(sigs), np.concatenate(owners)
+                key, owner, hot = _sorted_distinct(key, owner, np.zeros(len(key), np.uint8))
+                at, count = _runs(key)
+                often = count > p.batch_hot
+                if often.any():
+                    a, b = _star(at, count, owner, often)
+                    rows += [(x, EDGE, n, blob) for x, n, blob in pack_buckets(bucket(a), a, b)]
+                    hot = np.repeat(often, count).astype(np.uint8)
+                    keep = hot == 0
+                    keep[at] = True
+                    key, owner, hot = key[keep], owner[keep], hot[keep]
+                rows += [(x, SIG, n, blob) for x, n, blob in pack_buckets(bucket(key), key, owner, hot)]
             yield _packed_batch(rows)
 
     return run
@@ -172,77 +230,186 @@ def _packed_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "n", "blob"])
 
 
-FOUND = "kind int, a long, b long, n long"
+FOUND = "kind int, a long, b long, n long, sketch binary, whole binary"
+
 
+def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sk: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    size = pa.array(np.zeros(len(a), np.int64) if n is None else n)
+    none = pa.nulls(len(a), pa.binary())
+    short = none if sk is None else pa.array([fold(x, SKETCH_WORDS).tobytes() for x in sk], pa.binary())
+    whole = none if sk is None else pa.array([x.tobytes() if len(x) > SKETCH_WORDS else None for x in sk], pa.binary())
+    ends = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *ends, size, short, whole], ["kind", "a", "b", "n", "sketch", "whole"])
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int64) if n is None else n)], ["kind", "a", "b", "n"])
 
+def _bucket_pass(p: JaccardParams):
+    """Of each bucket: the documents' sets (INFO: row key, set, size, sketch), sets that share a signature (MULTI: signature,
+    set), and plain trees of candidate edges for signatures that too many sets share."""
 
-def _bucket_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: the documents' sets (INFO: row key, set, size), and a tree of candidate edges per signature."""
-    for _, held in buckets_of(batches):
-        key, node, ea, eb = [], [], [], []
-        for kind, n, blob in held:
-            if kind == INFO:
-                rk, nd, size = unpack(n, blob, U64, U64, np.int64)
-                yield _found(INFO, rk, nd, size)
-            elif kind == SIG:
-                k, nd = unpack(n, blob, U64, U64)
-                key.append(k)
-                node.append(nd)
-            else:
-                a, b = unpack(n, blob, U64, U64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in buckets_of(batches):
+            parts, ea, eb = [], [], []
+            for kind, n, blob in held:
+                if kind == INFO:
+                    rk, nd, size = unpack(n, blob, U64, U64, np.int64)
+                    ends = 24 * n + np.cumsum(8 * sketch_words(size))
+                    yield _found(INFO, rk, nd, size, [np.frombuffer(blob, U64, w, e - 8 * w) for w, e in zip(sketch_words(size), ends, strict=True)])
+                elif kind == SIG:
+                    parts.append(unpack(n, blob, U64, U64, np.uint8))
+                else:
+                    a, b = unpack(n, blob, U64, U64)
+                    ea.append(a)
+                    eb.append(b)
+            if parts:
+                key, node, hot = _sorted_distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                at, count = _runs(key)
+                plain = (count > 1) & ((hot[at] > 0) | (count > p.bucket_sets))
+                a, b = _star(at, count, node, plain)
                 ea.append(a)
                 eb.append(b)
-        if key:
-            _, _, a, b = _tree(np.concatenate(key), np.concatenate(node))
-            ea.append(a)
-            eb.append(b)
-        if ea:
-            pair = np.unique(np.stack([np.concatenate(ea), np.concatenate(eb)], 1), axis=0)
-            yield _found(EDGE, np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
+                multi = np.repeat((count > 1) & ~plain, count)
+                if multi.any():
+                    yield _found(MULTI, key[multi], node[multi])
+            if ea:
+                pair = np.unique(np.stack([np.concatenate(ea), np.concatenate(eb)], 1), axis=0)
+                if len(pair):
+                    yield _found(EDGE, pair[:, 0], pair[:, 1])
 
+    return run
 
-# --------------------------------------------------------------------------- exact verification in a unit
 
+# --------------------------------------------------------------------------- which pairs may link, which do
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    bit = (mix(s + U64(0x5E7)) >> U64(40)).astype(np.int64) % (SKETCH_WORDS * 64)
-    odd = (np.bincount(bit, minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)
-    return np.packbits(odd).view(U64)
 
+def _forest(size: np.ndarray, sk: np.ndarray, p: JaccardParams, linked=None) -> np.ndarray:
+    """The first member of each member's component, members in order of size.
 
-def link_unit(nodes: np.ndarray, sets: list[np.ndarray], p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links inside one unit, as edges from each set to the first of its component."""
-    m = len(nodes)
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    nodes, size, sets = nodes[order], size[order], [sets[i] for i in order]
-    sketch = np.stack([_sketch(s) for s in sets])
+    Pairs must have sizes and sketches that allow a link; ``linked(i, j)``, if given, then decides.  Pairs that are
+    connected already are not looked at.
+    """
+    m = len(size)
     comp = np.arange(m)
     last = np.searchsorted(size, size * p.den // p.num, side="right")
     for i in range(m - 1):
         j = np.arange(i + 1, last[i])
-        if len(j) == 0:
-            continue
         j = j[comp[j] != comp[i]]
         if len(j) == 0:
             continue
-        far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
+        far = np.bitwise_count(sk[j] ^ sk[i]).sum(1, dtype=np.int64)
         j = j[far * (p.den + p.num) <= (size[j] + size[i]) * (p.den - p.num)]
+        if linked is None:
+            if len(j):
+                comp[np.isin(comp, comp[j])] = comp[i]
+            continue
         for x in j:
-            if comp[x] == comp[i]:
-                continue
-            at = np.searchsorted(sets[x], sets[i])
-            at[at == size[x]] = size[x] - 1
-            both = int(np.count_nonzero(sets[x][at] == sets[i]))
-            if p.den * both >= p.num * (int(size[i]) + int(size[x]) - both):
+            if comp[x] != comp[i] and linked(i, x):
                 comp[comp == comp[x]] = comp[i]
     first = np.full(m, -1)
     first[comp[::-1]] = np.arange(m)[::-1]
-    hub = first[comp]
-    moved = hub != np.arange(m)
+    return first[comp]
+
+
+def _plausible_pass(p: JaccardParams):
+    """Rows (sig, node, n, sketch), sorted by signature, to candidate edges (a, b)."""
+
+    def edges(sig: np.ndarray, node: np.ndarray, size: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((size, sig))
+        sig, node, size, sk = sig[order], node[order], size[order], sk[order]
+        at, count = _runs(sig)
+        two = at[count == 2]
+        far = np.bitwise_count(sk[two] ^ sk[two + 1]).sum(1, dtype=np.int64)
+        ok = (far * (p.den + p.num) <= (size[two] + size[two + 1]) * (p.den - p.num)) & (size[two] * p.den >= size[two + 1] * p.num)
+        a, b = [node[two[ok]]], [node[two[ok] + 1]]
+        for x, c in zip(at[count > 2], count[count > 2], strict=True):
+            hub = _forest(size[x : x + c], sk[x : x + c], p)
+            moved = np.flatnonzero(hub != np.arange(c))
+            a.append(node[x + hub[moved]])
+            b.append(node[x + moved])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pair[:, 0], pair[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            sk = np.frombuffer(b"".join(batch.column(3).to_pylist()), U64).reshape(-1, SKETCH_WORDS)
+            cols = [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), sk]
+            if rest is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0  # the last signature may go on
+            rest = [c[cut:] for c in cols]
+            if cut:
+                a, b = edges(*(c[:cut] for c in cols))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
+        if rest is not None and len(rest[0]):
+            a, b = edges(*rest)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
+
+    return run
+
+
+def _window_pass(p: JaccardParams):
+    """Rows (unit, node, n, sketch) once for every size window the set is in (column ``x``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            js = [[w[0] for w in p.windows(n)] for n in batch.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(js)), [len(j) for j in js]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([j for w in js for j in w], pa.int64()), *[batch.column(i).take(row) for i in (1, 2, 3)]], ["unit", "x", "node", "n", "sketch"])
+
+    return run
+
+
+def _refine_pass(p: JaccardParams):
+    """Units of whole sketches, sorted by (unit, x), to candidate edges; a unit with too many sets stays tied together."""
+
+    def flush(held) -> pa.RecordBatch | None:
+        if len(held) < 2:
+            return None
+        node, size = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+        if len(held) > p.unit_sets:
+            return _edges(np.full(len(node) - 1, node[0]), node[1:])
+        order = np.argsort(size, kind="stable")
+        words = int(sketch_words(size).min())
+        sk = np.stack([fold(np.frombuffer(held[i][2], U64), words) for i in order])
+        hub = _forest(size[order], sk, p)
+        moved = np.flatnonzero(hub != np.arange(len(order)))
+        return _edges(node[order][hub[moved]], node[order][moved])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for u, x, node, n, sk in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (u, x) != at:
+                    if (out := flush(held)) is not None:
+                        yield out
+                    at, held = (u, x), []
+                held.append((node, n, sk))
+        if (out := flush(held)) is not None:
+            yield out
+
+    return run
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
+
+
+def link_unit(nodes: np.ndarray, sets: list[np.ndarray], p: JaccardParams) -> tuple[np.ndarray, np.ndarray]:
+    """Exact links inside one unit, as edges from each set to the first of its component."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    nodes, size, sets = nodes[order], size[order], [sets[i] for i in order]
+
+    def linked(i: int, x: int) -> bool:
+        at = np.searchsorted(sets[x], sets[i])
+        at[at == size[x]] = size[x] - 1
+        both = int(np.count_nonzero(sets[x][at] == sets[i]))
+        return p.den * both >= p.num * (int(size[i]) + int(size[x]) - both)
+
+    words = int(sketch_words(size.max()))
+    hub = _forest(size, np.stack([sketch(s, words) for s in sets]), p, linked)
+    moved = hub != np.arange(len(nodes))
     return nodes[hub[moved]], nodes[moved]
 
 
@@ -318,10 +485,20 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     n = partitions(spark)
     n_buckets = 4 * n
     packed = src.select("_rk", "text").mapInArrow(_signature_pass(p, n_buckets), PACKED)
-    found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass, FOUND), "op1")
+    found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(p), FOUND), "op1")
     info = found.where(F.col("kind") == INFO).select(F.col("a").alias("_rk"), F.col("b").alias("node"), "n")
 
-    candidates = components(found.where(F.col("kind") == EDGE).select("a", "b"))
+    # sets that share a signature, with their sketches: which of them may link
+    sketches = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    multi = found.where(F.col("kind") == MULTI).select(F.col("a").alias("sig"), F.col("b").alias("node"))
+    shared = multi.join(sketches, "node").select("sig", "node", "n", "sketch").repartition(n, "sig").sortWithinPartitions("sig")
+    edges = shared.mapInArrow(_plausible_pass(p), "a long, b long").unionByName(found.where(F.col("kind") == EDGE).select("a", "b"))
+    tied = components(edges)
+    # each component of candidates once more with whole sketches, by windows of set sizes
+    whole = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", F.coalesce("whole", "sketch").alias("sketch")).dropDuplicates(["node"])
+    looked = tied.join(whole, "node").select(F.col("root").alias("unit"), "node", "n", "sketch")
+    looked = looked.mapInArrow(_window_pass(p), "unit long, x long, node long, n long, sketch binary")
+    candidates = components(looked.repartition(n, "unit", "x").sortWithinPartitions("unit", "x").mapInArrow(_refine_pass(p), "a long, b long"))
     # one document stands for each set
     stand = info.where("n > 0").groupBy("node").agg(F.min("_rk").alias("_rk"), F.max("n").alias("n"))
     wanted = candidates.join(stand, "node")
