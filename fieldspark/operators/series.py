@@ -172,6 +172,39 @@ def merge_exact(x: DataFrame, y: DataFrame, on: Sequence[str], how: str = "exact
     raise ValueError("how is 'exact' or 'left'")
 
 
+def merge_by_position(x: DataFrame, y: DataFrame, keys: Sequence[str], order: str = "n") -> DataFrame:
+    """Pairs the i-th row of each series of ``x`` with the i-th of ``y``, whatever their ``order`` values.
+
+    For series whose axes differ by a shift; the axis of ``x`` is kept.  Numbers within a series come from a window per
+    block of the axis plus the counts of earlier blocks, so no series is one task.
+    """
+    return numbered(x, keys, order).join(numbered(y, keys, order).drop(order), [*keys, "_i"]).drop("_i")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: str = "n", block: int = BLOCK) -> DataFrame:
+    """Rows with ``_i``, their place in their series from 0."""
+    blocked = df.withColumn("_b", F.floor(F.col(order) / block).cast("long"))
+    counts = blocked.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_c").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = blocked.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_b").orderBy(order)) - 1)
+    return inside.join(before.drop("_c"), [*keys, "_b"]).withColumn("_i", F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
+
+
+def joint_incomplete(x: DataFrame, y: DataFrame, r: DataFrame | None, on: Sequence[str], channels: dict[str, Sequence[str]]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Inputs, outputs and reference at the positions where all of them have values on all channels (infinities stay).
+
+    Reference columns get the prefix ``remote_`` for the join and lose it again; without a reference there is none back.
+    """
+    both = merge_exact(x.select(*on, *channels["x"]), y.select(*on, *channels["y"]), on)
+    names = [*channels["x"], *channels["y"]]
+    if r is not None:
+        remote = r.select(*on, *[F.col(c).alias(f"remote_{c}") for c in channels["r"]])
+        both, names = both.join(remote, list(on)), [*names, *[f"remote_{c}" for c in channels["r"]]]
+    kept = drop_incomplete(both, names)
+    back = None if r is None else kept.select(*on, *[F.col(f"remote_{c}").alias(c) for c in channels["r"]])
+    return kept.select(*on, *channels["x"]), kept.select(*on, *channels["y"]), back
+
+
 def drop_incomplete(df: DataFrame, columns: Sequence[str], finite: bool = False) -> DataFrame:
     """Rows whose columns are all there; ``finite`` also drops infinities."""
     ok = F.lit(True)

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from fieldspark.operators.bands import apply_weights, assign_bands, complete_observations
 from fieldspark.operators.decimate import decimate_levels
 from fieldspark.operators.regression import estimator, leverage_weights
-from fieldspark.operators.series import clock_zero_clip, data_start, densify
+from fieldspark.operators.series import clock_zero_clip, data_start, densify, extent
 from fieldspark.operators.spectra import align_local_remote, calibrate, stft
 from fieldspark.operators.transfer import resistivity_phase, standard_errors, with_periods
 from fieldspark.operators.windows import window_count
 from fieldspark.plans.config import Processing
-from fieldspark.operators.series import extent
+from fieldspark.sources import zfile
 
 
 @dataclass
@@ -115,3 +115,20 @@ def process(series: DataFrame, config: Processing, responses: DataFrame | None =
         return series.sparkSession.createDataFrame(rows, out.schema)
     finally:
         obs.unpersist()
+
+
+def export(tf: DataFrame, config: Processing, path: str, kind: str | None = None) -> str:
+    """Writes the transfer functions of ``process`` as z-file, EDI or XML (by ``kind`` or the path's ending); gives the text.
+
+    Periods ascend; decimation levels count from 1 and carry their bands, number of points and sample rate.
+    """
+    spark = tf.sparkSession
+    kind = kind or path.rsplit(".", 1)[-1].lower()
+    bands = {(r["level"], r["band"]): r.asDict() | {"fs": config.rate(r["level"])} for r in config.band_table(spark).collect()}
+    outputs = [o for o in ("hz", "ex", "ey") if o in config.outputs]
+    title = "Robust Remote Reference" if config.engine == "RME_RR" else "Robust Single station"
+    z = zfile.from_estimates(tf.collect(), bands, config.station, list(config.inputs), outputs, title)
+    writers = {"edi": zfile.format_edi, "xml": zfile.format_xml}
+    text = writers.get(kind, zfile.format_zfile)(z)
+    zfile.write_text(spark, text, path)
+    return text

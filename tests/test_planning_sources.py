@@ -9,7 +9,7 @@ from fieldspark.operators import transfer as T
 from fieldspark.operators.windows import WindowScheme
 from fieldspark.plans import planning as P
 from fieldspark.plans.config import Processing, create_config, levels_valid
-from fieldspark.plans.process import process
+from fieldspark.plans.process import export, process
 from fieldspark.sources import bandfile, responses, spectra_store, zfile
 
 
@@ -90,13 +90,22 @@ def half_space(spark, n=4096, stations=("a", "b")):
 
 
 @pytest.mark.parametrize("engine,remote", [("OLS", None), ("RME", None), ("RME_RR", "b")])
-def test_half_space_end_to_end(spark, engine, remote):
+def test_half_space_end_to_end(spark, tmp_path, engine, remote):
     config = create_config("a", 1.0, remote, bands=[b for b in bandfile.DEFAULT_BANDS if b[0] <= 2], family="hamming", engine=engine)
     rows = process(half_space(spark), config).collect()
     off = [r for r in rows if (r["output"], r["input"]) in (("ex", "hy"), ("ey", "hx"))]
     assert len(rows) == 14 * 6 and len(off) == 28
     assert sorted(r["rho"] for r in off)[14] == pytest.approx(100, rel=0.08) and all(60 < r["rho"] < 160 for r in off)
     assert all(abs(r["phi"] - 45) < 8 for r in off)
+    if engine == "RME":
+        export(spark.createDataFrame(rows), config, str(tmp_path / "a.zss"))
+        back = zfile.read_zfile(spark, str(tmp_path / "a.zss"))
+        assert [p.level for p in back.periods] == [1] * 8 + [2] * 6 and back.outputs == ["hz", "ex", "ey"]
+        best = {(p.level, p.k_lo): p.tf[1][1] for p in back.periods}
+        edges = {(r["level"], r["band"]): r["k_lo"] for r in config.band_table(spark).collect()}
+        for r in off:
+            if r["output"] == "ex":
+                assert best[r["level"] + 1, edges[r["level"], r["band"]]] == pytest.approx(complex(r["re"], r["im"]), rel=1e-3)
     tip = [complex(r["re"], r["im"]) for r in rows if r["output"] == "hz" and r["input"] == "hx"]
     assert all(abs(t - 0.25) < 0.05 for t in tip)
 

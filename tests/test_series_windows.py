@@ -135,3 +135,22 @@ def test_calibration(spark):
     resp = spark.createDataFrame([("hx", 0, 0.0, 0.0), ("hx", 1, 0.0, 2.0)], "channel string, k int, re double, im double")
     got = {r["k"]: (r["hx_re"], r["hx_im"]) for r in SP.calibrate(fc, resp, ["hx"], {"hx": 3.0}).collect()}
     assert got[0] == (None, None) and complex(*got[1]) == pytest.approx((1 + 1j) / 2j * 3)
+
+
+def test_joint_gaps(spark):
+    """Values stay only where inputs, outputs and reference all have them."""
+    mk = lambda c, v: spark.createDataFrame([(i, x) for i, x in enumerate(v)], f"n long, {c} double")
+    x, y, r = mk("hx", [1.0, NAN, 3.0, 4.0]), mk("ex", [1.0, 2.0, 3.0, 4.0]), mk("hx", [1.0, 2.0, None, 4.0])
+    ch = {"x": ["hx"], "y": ["ex"], "r": ["hx"]}
+    out = S.joint_incomplete(x, y, r, ["n"], ch)
+    assert [[v[1] for v in d.orderBy("n").collect()] for d in out] == [[1.0, 4.0]] * 3
+    a, b, none = S.joint_incomplete(x, y, None, ["n"], ch)
+    assert a.count() == b.count() == 3 and none is None
+
+
+def test_merge_by_position(spark):
+    a, b = series(spark, [10, 20, 30]), series(spark, [1, 2, 3], start=100_000).withColumnRenamed("v", "u")
+    got = S.merge_by_position(a, b, ["station"]).orderBy("n").collect()
+    assert [(r["n"], r["v"], r["u"]) for r in got] == [(0, 10, 1), (1, 20, 2), (2, 30, 3)]
+    wide = S.numbered(series(spark, range(50)), ["station"], block=7).orderBy("n").collect()
+    assert [r["_i"] for r in wide] == list(range(50))
