@@ -72,7 +72,7 @@ class JaccardParams:
     small: int = 40
     unit_sets: int = 16384
     unit_shingles: int = 4_000_000
-    bucket_sets: int = 4096
+    bucket_sets: int = 16384
     batch_hot: int = 256
 
     def most_different(self, total: int) -> int:
@@ -89,7 +89,7 @@ def _windows(p: JaccardParams, n: int) -> tuple[tuple[int, int, int], ...]:
     out, lo, j = [], 1, 0
     while lo <= n:
         # small sizes have windows of their own, where few features must not meet many partitions
-        nxt = max(lo + 1, int(lo * (p.den / p.num) ** 3)) if lo > p.small else lo + 1
+        nxt = max(lo + 1, int(lo * p.den / p.num)) if lo > p.small else lo + 1
         hi = (nxt - 1) * p.den // p.num
         if n <= hi:
             k = p.most_different(2 * hi)
