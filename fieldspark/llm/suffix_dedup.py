@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import U64, Rolling, buckets_of, documents_of, mix, pack_buckets, partitions, text_bytes, unpack, written
+from fieldspark.llm.common import U64, buckets_of, documents_of, mix, pack_buckets, partitions, rolling, text_bytes, unpack, written
 
 PACKED = "bucket int, kind int, n int, blob binary"
 
@@ -43,6 +43,7 @@ class RepeatParams:
     keep: str = "none"
     hot: int = 4000
     chunk: int = 1_500_000
+    block: int = 10_000
 
     def __post_init__(self):
         if not 1 <= self.gram <= self.length or self.length < 4:
@@ -55,13 +56,6 @@ class RepeatParams:
         return self.length - self.gram
 
 
-_roll: dict[int, Rolling] = {}
-
-
-def _hashes(seed: int) -> Rolling:
-    return _roll.setdefault(seed, Rolling(seed))
-
-
 def _sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     """op over every ``w`` neighbours, by doubling."""
     span = 1
@@ -76,7 +70,7 @@ def anchors(text: np.ndarray, p: RepeatParams) -> tuple[np.ndarray, np.ndarray,
     n = len(text)
     if n < p.length:
         return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    roll = _hashes(0x2545F491)
+    roll = rolling(0x2545F491)
     prefix = roll.prefix(text)
     gram = (prefix[p.gram :] - prefix[: -p.gram]) * roll.inv_power[: n - p.gram + 1]
     order = gram ^ (gram >> U64(29))
@@ -208,7 +202,7 @@ def _context_pass(p: RepeatParams, n_buckets: int):
     """Contexts as bytes (kind 0), or for hot anchors the hashes of their windows (kinds 1 and 2), packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll, second = _hashes(0x2545F491), _hashes(0x6C8E9CF5)
+        roll, second = rolling(0x2545F491), rolling(0x6C8E9CF5)
         for batch in batches:
             meta, blobs = [], []
             win: list[tuple[np.ndarray, ...]] = []
@@ -221,9 +215,9 @@ def _context_pass(p: RepeatParams, n_buckets: int):
                         if pre is None:
                             pre = roll.prefix(text), second.prefix(text)
                         s = np.arange(lo, lo + size - p.length + 1)
-                        win.append((roll.spans(pre[0], s, s + p.length), second.spans(pre[1], s, s + p.length), np.full(len(s), a["h"]), np.full(len(s), a["c"]), s - lo, np.full(len(s), a["ord"]), s, np.full(len(s), a["copies"])))
+                        win.append((roll.spans(pre[0], s, s + p.length), second.spans(pre[1], s, s + p.length), np.full(len(s), a["h"]), np.full(len(s), a["c"]), s - lo, np.full(len(s), a["ord"]), s, np.full(len(s), a["copies"]), np.full(len(s), a["n"])))
                     else:
-                        meta.append((a["h"], a["c"], a["ord"], lo, size, a["copies"]))
+                        meta.append((a["h"], a["c"], a["ord"], lo, size, a["copies"], a["n"]))
                         blobs.append(text[lo : lo + size].tobytes())
             rows = []
             if meta:
@@ -252,7 +246,7 @@ def _window_runs(w1, w2, order_by):
     return order, first
 
 
-def _local_windows(w1, w2, h, c, off, ord_, pos, copies, p: RepeatParams, n_buckets: int):
+def _local_windows(w1, w2, h, c, off, ord_, pos, copies, many, p: RepeatParams, n_buckets: int):
     """Combine a batch's windows: kind 2 answers what the batch itself shows, kind 1 forwards one row a window."""
     rows = []
     order, first = _window_runs(w1, w2, (pos, ord_))
@@ -261,25 +255,25 @@ def _local_windows(w1, w2, h, c, off, ord_, pos, copies, p: RepeatParams, n_buck
     known = (times[group] > 1) if p.keep == "none" else ~first
     if known.any():
         i = order[known]
-        rows += [(b, 2, n, blob) for b, n, blob in pack_buckets(((h[i] ^ c[i]).view(U64) % U64(n_buckets)).astype(np.int64), h[i], c[i], off[i])]
+        rows += [(b, 2, n, blob) for b, n, blob in pack_buckets(((h[i] ^ c[i]).view(U64) % U64(n_buckets)).astype(np.int64), h[i], c[i], off[i], many[i])]
     i = order[first]
     more = (times > 1).astype(np.int64)
-    rows += [(b, 1, n, blob) for b, n, blob in pack_buckets((w1[i] % U64(n_buckets)).astype(np.int64), w1[i], w2[i], h[i], c[i], off[i], ord_[i], pos[i], more)]
+    rows += [(b, 1, n, blob) for b, n, blob in pack_buckets((w1[i] % U64(n_buckets)).astype(np.int64), w1[i], w2[i], h[i], c[i], off[i], ord_[i], pos[i], more, many[i])]
     return rows
 
 
-_HIT = "h long, c long, lo int, hi int"
+_HIT = "h long, c long, lo int, hi int, n long"
 
 
-def _hits(h: np.ndarray, c: np.ndarray, off: np.ndarray, p: RepeatParams) -> pa.RecordBatch:
+def _hits(h: np.ndarray, c: np.ndarray, off: np.ndarray, many: np.ndarray, p: RepeatParams) -> pa.RecordBatch:
     """One row per context: the stretch of it that its repeated windows cover (they all hold the anchor)."""
     order = np.lexsort((off, c, h))
-    h, c, off = h[order], c[order], off[order]
+    h, c, off, many = h[order], c[order], off[order], many[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     at = np.flatnonzero(new)
     last = np.r_[at[1:], len(h)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at]), pa.array(off[at].astype(np.int32)), pa.array((off[last] + p.length).astype(np.int32))], ["h", "c", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(c[at]), pa.array(off[at].astype(np.int32)), pa.array((off[last] + p.length).astype(np.int32)), pa.array(many[at])], ["h", "c", "lo", "hi", "n"])
 
 
 def _factor_pass(p: RepeatParams):
@@ -289,29 +283,29 @@ def _factor_pass(p: RepeatParams):
         begin, later, any_copy = repeated_windows(blobs, p.length)
         found = []
         flag = later if p.keep == "first" else any_copy
-        for at, (h, c, _, _, size, copies) in zip(begin, meta, strict=True):
+        for at, (h, c, _, _, size, copies, n) in zip(begin, meta, strict=True):
             starts = size - p.length + 1
             hit = (0, starts - 1) if copies > 1 and p.keep == "none" else np.flatnonzero(flag[at : at + starts])
             if len(hit):
-                found.append((h, c, hit[0], hit[-1] + p.length))
+                found.append((h, c, hit[0], hit[-1] + p.length, n))
         if not found:
             return None
         f = np.array(found, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2].astype(np.int32)), pa.array(f[:, 3].astype(np.int32))], ["h", "c", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2].astype(np.int32)), pa.array(f[:, 3].astype(np.int32)), pa.array(f[:, 4])], ["h", "c", "lo", "hi", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in buckets_of(batches):
             meta, blobs, win = [], [], []
             for kind, n, blob in held:
                 if kind == 0:
-                    m = np.frombuffer(blob, np.int64, n * 6).reshape(n, 6)
-                    ends = np.cumsum(m[:, 4]) + n * 48
+                    m = np.frombuffer(blob, np.int64, n * 7).reshape(n, 7)
+                    ends = np.cumsum(m[:, 4]) + n * 56
                     meta.append(m)
                     blobs += [blob[e - s : e] for s, e in zip(m[:, 4], ends, strict=True)]
                 elif kind == 2:
-                    yield _hits(*unpack(n, blob, np.int64, np.int64, np.int64), p)
+                    yield _hits(*unpack(n, blob, *[np.int64] * 4), p)
                 else:
-                    win.append(unpack(n, blob, U64, U64, *[np.int64] * 6))
+                    win.append(unpack(n, blob, U64, U64, *[np.int64] * 7))
             if meta:
                 m = np.concatenate(meta)
                 order = np.argsort(m[:, 0], kind="stable")
@@ -330,7 +324,7 @@ def _factor_pass(p: RepeatParams):
                         yield out
                     lo = hi
             if win:
-                w1, w2, h, c, off, ord_, pos, more = (np.concatenate(x) for x in zip(*win, strict=True))
+                w1, w2, h, c, off, ord_, pos, more, many = (np.concatenate(x) for x in zip(*win, strict=True))
                 order, first = _window_runs(w1, w2, (pos, ord_))
                 group = np.cumsum(first) - 1
                 if p.keep == "first":
@@ -339,7 +333,7 @@ def _factor_pass(p: RepeatParams):
                     hit = np.bincount(group, 1 + more[order])[group] > 1
                 if hit.any():
                     i = order[hit]
-                    yield _hits(h[i], c[i], off[i], p)
+                    yield _hits(h[i], c[i], off[i], many[i], p)
 
     return run
 
@@ -375,17 +369,21 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     whole = even.select("_rk", stretch(F.lit(0), F.col("size")))
     odd = again.where("not even")
     one = odd.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct(*keys, "lo", "size", "n")).alias("r"))
-    ask = one.select(F.col("r._rk").alias("_rk"), F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), "r.lo", "r.size", "copies", (F.col("r.n") > p.hot).alias("hot")).alias("a"))
+    ask = one.select(F.col("r._rk").alias("_rk"), F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), "r.lo", "r.size", "copies", "r.n", (F.col("r.n") > p.hot).alias("hot")).alias("a"))
     ask = ask.groupBy("_rk").agg(F.collect_list("a").alias("ask"))
     text_of = src.join(ask.hint("shuffle_hash"), "_rk").select(F.col("_text").alias("text"), "ask", "ord", "_rest")
     packed = text_of.mapInArrow(_context_pass(p, 4 * n), PACKED)
     hits = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT)
-    hits = hits.groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"))
-    part = odd.join(hits, ["h", "c"]).select("_rk", stretch(F.col("dlo"), F.col("dhi")))
+    hits = hits.groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"), F.max("n").alias("n"))
+    # both sides know how often the anchor occurs: its rows go to as many places as they make blocks
+    slots = F.greatest(F.ceil(F.col("n") / p.block), F.lit(1)).cast("long")
+    dealt = lambda d: d.withColumn("slot", F.pmod(F.xxhash64("_rk", "lo"), slots)).drop("n")
+    copied = lambda d: d.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).drop("n")
+    part = dealt(odd).join(copied(hits), ["h", "c", "slot"]).select("_rk", stretch(F.col("dlo"), F.col("dhi")))
     if first:
         # copies of a whole context after its first are covered entirely
-        lead = one.select("h", "c", F.struct(*[f"r.{k}" for k in keys], "r.lo").alias("lead"))
-        copy = odd.join(lead, ["h", "c"]).where(F.col("lead") != place)
+        lead = copied(one.select("h", "c", F.struct(*[f"r.{k}" for k in keys], "r.lo").alias("lead"), "r.n"))
+        copy = dealt(odd).join(lead, ["h", "c", "slot"]).where(F.col("lead") != place)
         part = part.unionByName(copy.select("_rk", stretch(F.lit(0), F.col("size"))))
     return whole.unionByName(part).groupBy("_rk").agg(F.collect_list("s").alias("stretches"))
 
