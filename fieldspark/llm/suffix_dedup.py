@@ -42,7 +42,7 @@ class RepeatParams:
     gram: int = 32
     keep: str = "none"
     hot: int = 4000
-    chunk: int = 1_500_000
+    chunk: int = 600_000
     block: int = 10_000
 
     def __post_init__(self):
@@ -122,14 +122,14 @@ def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.n
     while True:
         order = np.argsort(key)
         sorted_key = key[order]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         ranks.append(rank)
         if span >= depth or (n and rank[order[-1]] == n - 1):
             return order, ranks
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - span)] = rank[span:] + 1
-        key = rank * (n + 1) + nxt
+        key = rank * np.int64(n + 1) + nxt
         span *= 2
 
 
