@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,38 +186,53 @@ def _psi(stage: Column, w: Column, size: Column, sigma: Column, p: RobustParams)
 
 
 def _steps_frame(spark, states: dict[tuple, dict[str, _State]], outputs: Sequence[str]) -> DataFrame:
-    rows = []
-    for key, per in states.items():
-        row: list = list(key)
-        for o in outputs:
-            s = per[o]
-            row += [s.stage, float(np.sqrt(max(s.var, 0.0))), *[float(v) for z in s.b for v in (z.real, z.imag)]]
-        rows.append(tuple(row))
-    kinds = ", ".join(f"_{o}_stage string, _{o}_sigma double, _{o}_b0_re double, _{o}_b0_im double, _{o}_b1_re double, _{o}_b1_im double" for o in outputs)
-    return spark.createDataFrame(rows, f"level int, band int, {kinds}")
+    keys = list(states)
+    cols = {"level": pa.array([k[0] for k in keys], pa.int32()), "band": pa.array([k[1] for k in keys], pa.int32())}
+    for o in outputs:
+        per = [states[k][o] for k in keys]
+        cols[f"_{o}_stage"] = pa.array([s.stage for s in per], pa.string())
+        cols[f"_{o}_sigma"] = pa.array([float(np.sqrt(max(s.var, 0.0))) for s in per], pa.float64())
+        for i in (0, 1):
+            cols |= {f"_{o}_b{i}_re": pa.array([float(s.b[i].real) for s in per], pa.float64()), f"_{o}_b{i}_im": pa.array([float(s.b[i].imag) for s in per], pa.float64())}
+    # an Arrow table of this size is a local relation: no job is needed to broadcast it
+    return spark.createDataFrame(pa.table(cols))
 
 
-def _cleaned(o: str, inputs: Sequence[str], p: RobustParams) -> tuple[C, C, Column]:
-    """(prediction, cleaned data, psi') of an output under its band's current state."""
-    fit = C.of(inputs[0]) * C.of(f"_{o}_b0") + C.of(inputs[1]) * C.of(f"_{o}_b1")
-    y = C.of(o)
-    size = (y - fit).abs()
-    stage, sigma = F.col(f"_{o}_stage"), F.col(f"_{o}_sigma")
-    w = _weights(stage, size, sigma, p)
-    return fit, fit + (y - fit) * w, _psi(stage, w, size, sigma, p)
+def _cleaned(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], p: RobustParams) -> DataFrame:
+    """Adds each output's cleaned data ``_<o>_c`` and psi' ``_<o>_psi`` under its band's current state.
+
+    One projection a step, so that no expression is written out more than once.
+    """
+    x0, x1 = C.of(inputs[0]), C.of(inputs[1])
+    fit = {o: x0 * C.of(f"_{o}_b0") + x1 * C.of(f"_{o}_b1") for o in outputs}
+    df = df.withColumns({f"_{o}_f_{q}": v for o in outputs for q, v in (("re", fit[o].re), ("im", fit[o].im))})
+    apart = {o: C.of(o) - C.of(f"_{o}_f") for o in outputs}
+    df = df.withColumns({f"_{o}_d_{q}": v for o in outputs for q, v in (("re", apart[o].re), ("im", apart[o].im))})
+    df = df.withColumns({f"_{o}_size": C.of(f"_{o}_d").abs() for o in outputs})
+    of = lambda o: (F.col(f"_{o}_stage"), F.col(f"_{o}_size"), F.col(f"_{o}_sigma"))
+    df = df.withColumns({f"_{o}_w": _weights(*of(o), p) for o in outputs})
+    made = {}
+    for o in outputs:
+        stage, size, sigma = of(o)
+        yc = C.of(f"_{o}_f") + C.of(f"_{o}_d") * F.col(f"_{o}_w")
+        made |= {f"_{o}_c_re": yc.re, f"_{o}_c_im": yc.im, f"_{o}_psi": _psi(stage, F.col(f"_{o}_w"), size, sigma, p)}
+    return df.withColumns(made)
 
 
 def _sweep(obs: DataFrame, states, inputs, z, outputs, p: RobustParams) -> dict[tuple, dict]:
     """One pass: for each band and output the sums over cleaned data that the next step needs."""
-    joined = obs.join(F.broadcast(_steps_frame(obs.sparkSession, states, outputs)), list(GROUP))
+    joined = _cleaned(obs.join(F.broadcast(_steps_frame(obs.sparkSession, states, outputs)), list(GROUP)), inputs, outputs, p)
     sums = []
     for o in outputs:
-        _, yc, psi = _cleaned(o, inputs, p)
-        sums += [F.sum(yc.abs2()).alias(f"{o}_yy"), F.sum(psi).alias(f"{o}_psi")]
+        yc = C.of(f"_{o}_c")
+        sums += [F.sum(yc.abs2()).alias(f"{o}_yy"), F.sum(f"_{o}_psi").alias(f"{o}_psi")]
         for i in (0, 1):
-            sums += (C.of(inputs[i]).conj() * yc).sum().named(f"{o}_x{i}") + (C.of(z[i]).conj() * yc).sum().named(f"{o}_z{i}")
+            sums += (C.of(inputs[i]).conj() * yc).sum().named(f"{o}_x{i}")
+            if z[i] != inputs[i]:
+                sums += (C.of(z[i]).conj() * yc).sum().named(f"{o}_z{i}")
     got = joined.groupBy(*GROUP).agg(*sums).collect()
-    return {(r["level"], r["band"]): {o: {"yy": r[f"{o}_yy"], "psi": r[f"{o}_psi"], **{f"{k}y": np.array([complex(r[f"{o}_{k}{i}_re"], r[f"{o}_{k}{i}_im"]) for i in (0, 1)]) for k in ("x", "z")}} for o in outputs} for r in got}
+    pair = lambda r, o, k: np.array([complex(r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_re"], r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_im"]) for i in (0, 1)])
+    return {(r["level"], r["band"]): {o: {"yy": r[f"{o}_yy"], "psi": r[f"{o}_psi"], "xy": pair(r, o, "x"), "zy": pair(r, o, "z")} for o in outputs} for r in got}
 
 
 def _advance(s: _State, got: dict, p: RobustParams, remote: bool) -> None:
