@@ -63,7 +63,7 @@ MOST_SKETCH_WORDS = 512
 @dataclass(frozen=True)
 class JaccardParams:
     """Words per shingle, threshold num/den, spare partitions, sizes with windows of their own; bounds of one work unit (sets, shingles), of a
-    signature's sets compared by sketch, and of its sets in one batch that go on one by one."""
+    signature's sets compared by sketch, and of its sets in one batch that go on one by one; rows of a batch."""
 
     words: int = 4
     num: int = 85
@@ -74,6 +74,7 @@ class JaccardParams:
     unit_shingles: int = 4_000_000
     bucket_sets: int = 16384
     batch_hot: int = 256
+    batch_rows: int = 4096
 
     def most_different(self, total: int) -> int:
         """Largest Hamming distance of two linked sets whose sizes add up to ``total``."""
@@ -187,7 +188,7 @@ def _signature_pass(p: JaccardParams, n_buckets: int):
     bucket = lambda x: (x % U64(n_buckets)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, p.batch_rows) for whole in batches for at in range(0, whole.num_rows, p.batch_rows)):
             rk = batch.column(batch.schema.get_field_index("_rk")).to_numpy(zero_copy_only=False).view(U64)
             nodes, sizes, sketches, sigs, owners, seen = [], [], [], [], [], set()
             for text in documents_of(batch):
