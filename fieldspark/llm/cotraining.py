@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import U64, Rolling, ascii_lower, documents_of, mix, word_spans
+from fieldspark.llm.common import U64, ascii_lower, documents_of, mix, rolling, word_spans
 from fieldspark.llm.quality_rules import text_counts
 
 N_RATIOS = 8
@@ -42,9 +42,6 @@ class CoTrainParams:
     threshold: float = 0.5
 
 
-_roll: dict[int, Rolling] = {}
-
-
 def text_view(b: np.ndarray, p: CoTrainParams) -> np.ndarray:
     """Presence of hashed words, scaled to unit length, and ratios of the exact counts."""
     out = np.zeros(p.words + N_RATIOS, np.float32)
@@ -52,7 +49,7 @@ def text_view(b: np.ndarray, p: CoTrainParams) -> np.ndarray:
     if len(start) == 0:
         out[p.words] = 1
         return out
-    roll = _roll.setdefault(3, Rolling(0x7F4A7C15))
+    roll = rolling(0x7F4A7C15)
     h = roll.spans(roll.prefix(ascii_lower(b)), start, end)
     out[np.unique((mix(h) >> U64(40)).astype(np.int64) % p.words)] = 1
     out[: p.words] /= np.sqrt(out[: p.words].sum())
@@ -75,15 +72,31 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -> np.ndarray:
-    """Ridge logistic regression (last weight: intercept) by accelerated gradient steps, classes weighted alike."""
-    x1 = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, start: np.ndarray | None = None, steps: int = 120) -> np.ndarray:
+    """Ridge logistic regression (last weight: intercept) by accelerated gradient steps, classes weighted alike.
+
+    Products stay in single precision; the step size comes from the largest eigenvalue by power iteration.
+    """
+    x = x.astype(np.float32, copy=False)
+    n = max(len(y), 1)
     share = max(float(y.mean()), 1e-6) if len(y) else 0.5
-    weight = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / max(len(y), 1)
-    step = 1 / (0.25 * float((weight * (x1 * x1).sum(1)).sum()) + ridge)
-    w = v = np.zeros(x1.shape[1])
+    weight = (np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-6)) / n).astype(np.float32)
+
+    def forward(v: np.ndarray) -> np.ndarray:
+        return x @ v[:-1].astype(np.float32) + np.float32(v[-1])
+
+    def back(r: np.ndarray) -> np.ndarray:
+        r = r.astype(np.float32)
+        return np.r_[r @ x, r.sum()].astype(np.float64)
+
+    v, top = np.ones(x.shape[1] + 1), 1.0
+    for _ in range(15):
+        v = back(weight * forward(v / np.linalg.norm(v)))
+        top = float(np.linalg.norm(v))
+    step = 1 / (0.3 * top + ridge)
+    w = v = np.zeros(x.shape[1] + 1) if start is None else start
     for t in range(steps):
-        grad = x1.T @ (weight * (_sigmoid(x1 @ v) - y)) + ridge * np.r_[v[:-1], 0]
+        grad = back(weight * (_sigmoid(forward(v)) - y)) + ridge * np.r_[v[:-1], 0]
         nxt = v - step * grad
         v = nxt + t / (t + 3) * (nxt - w)
         w = nxt
@@ -144,7 +157,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
                 handed += len(i)
                 views[other][0] = np.concatenate([views[other][0], pools[other][i]])
                 views[other][1] = np.concatenate([views[other][1], np.full(len(i), label)])
-        weights = [fit_logistic(x, t, p.ridge) for x, t in views]
+        weights = [fit_logistic(x, t, p.ridge, w, 60) for (x, t), w in zip(views, weights, strict=True)]
         if not handed:
             break
     up, down = float((y == 1).sum()), float((y == 0).sum())
