@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.complexcol import C, solve2
 from fieldspark.functions.physics import EDF_L1, EDF_P1, EDF_P2, EDF_P3, correction_factor
+from fieldspark.operators.lineage import cut
 
 GROUP = ("level", "band")
 
@@ -105,6 +106,7 @@ def leverage(obs: DataFrame, inputs: Sequence[str], rounds: int = 50) -> tuple[D
     Points above the inlier bound leave the covariance until none does.  Each round is one aggregate.
     """
     spark = obs.sparkSession
+    obs = cut(obs)
     first = _moments(obs, inputs)
     n_obs = {k: v[0] for k, v in first.items()}
     now, count = first, dict(n_obs)
@@ -198,30 +200,28 @@ def _steps_frame(spark, states: dict[tuple, dict[str, _State]], outputs: Sequenc
     return spark.createDataFrame(pa.table(cols))
 
 
-def _cleaned(df: DataFrame, inputs: Sequence[str], outputs: Sequence[str], p: RobustParams) -> DataFrame:
-    """Adds each output's cleaned data ``_<o>_c`` and psi' ``_<o>_psi`` under its band's current state.
+def _cleaning(inputs: Sequence[str], outputs: Sequence[str], p: RobustParams) -> list[dict[str, Column]]:
+    """Columns to add one after the other: each output's cleaned data ``_<o>_c`` and psi' ``_<o>_psi`` under its band's state.
 
-    One projection a step, so that no expression is written out more than once.
+    One projection a step, so that no expression is written out more than once; made once for all sweeps.
     """
     x0, x1 = C.of(inputs[0]), C.of(inputs[1])
     fit = {o: x0 * C.of(f"_{o}_b0") + x1 * C.of(f"_{o}_b1") for o in outputs}
-    df = df.withColumns({f"_{o}_f_{q}": v for o in outputs for q, v in (("re", fit[o].re), ("im", fit[o].im))})
+    steps = [{f"_{o}_f_{q}": v for o in outputs for q, v in (("re", fit[o].re), ("im", fit[o].im))}]
     apart = {o: C.of(o) - C.of(f"_{o}_f") for o in outputs}
-    df = df.withColumns({f"_{o}_d_{q}": v for o in outputs for q, v in (("re", apart[o].re), ("im", apart[o].im))})
-    df = df.withColumns({f"_{o}_size": C.of(f"_{o}_d").abs() for o in outputs})
+    steps.append({f"_{o}_d_{q}": v for o in outputs for q, v in (("re", apart[o].re), ("im", apart[o].im))})
+    steps.append({f"_{o}_size": C.of(f"_{o}_d").abs() for o in outputs})
     of = lambda o: (F.col(f"_{o}_stage"), F.col(f"_{o}_size"), F.col(f"_{o}_sigma"))
-    df = df.withColumns({f"_{o}_w": _weights(*of(o), p) for o in outputs})
+    steps.append({f"_{o}_w": _weights(*of(o), p) for o in outputs})
     made = {}
     for o in outputs:
         stage, size, sigma = of(o)
         yc = C.of(f"_{o}_f") + C.of(f"_{o}_d") * F.col(f"_{o}_w")
         made |= {f"_{o}_c_re": yc.re, f"_{o}_c_im": yc.im, f"_{o}_psi": _psi(stage, F.col(f"_{o}_w"), size, sigma, p)}
-    return df.withColumns(made)
+    return [*steps, made]
 
 
-def _sweep(obs: DataFrame, states, inputs, z, outputs, p: RobustParams) -> dict[tuple, dict]:
-    """One pass: for each band and output the sums over cleaned data that the next step needs."""
-    joined = _cleaned(obs.join(F.broadcast(_steps_frame(obs.sparkSession, states, outputs)), list(GROUP)), inputs, outputs, p)
+def _sweep_sums(inputs: Sequence[str], z: Sequence[str], outputs: Sequence[str]) -> list[Column]:
     sums = []
     for o in outputs:
         yc = C.of(f"_{o}_c")
@@ -230,7 +230,15 @@ def _sweep(obs: DataFrame, states, inputs, z, outputs, p: RobustParams) -> dict[
             sums += (C.of(inputs[i]).conj() * yc).sum().named(f"{o}_x{i}")
             if z[i] != inputs[i]:
                 sums += (C.of(z[i]).conj() * yc).sum().named(f"{o}_z{i}")
-    got = joined.groupBy(*GROUP).agg(*sums).collect()
+    return sums
+
+
+def _sweep(obs: DataFrame, states, inputs, z, outputs, steps: list[dict[str, Column]], sums: list[Column]) -> dict[tuple, dict]:
+    """One pass: for each band and output the sums over cleaned data that the next step needs."""
+    df = obs.join(F.broadcast(_steps_frame(obs.sparkSession, states, outputs)), list(GROUP))
+    for columns in steps:
+        df = df.withColumns(columns)
+    got = df.groupBy(*GROUP).agg(*sums).collect()
     pair = lambda r, o, k: np.array([complex(r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_re"], r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_im"]) for i in (0, 1)])
     return {(r["level"], r["band"]): {o: {"yy": r[f"{o}_yy"], "psi": r[f"{o}_psi"], "xy": pair(r, o, "x"), "zy": pair(r, o, "z")} for o in outputs} for r in got}
 
@@ -263,11 +271,12 @@ def robust(obs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], refere
 
     Rows (level, band, output, input, re, im, n, n_iterations, r2, cov_nn, cov_ss_re, cov_ss_im) - the last two are this
     input's row of the inverse signal covariance against each input, as arrays.  Bands with fewer observations than
-    inputs, or singular ones, are flagged ``underdetermined`` and have NULL estimates.  ``obs`` is read once a step, so it
-    should be a written or cached table.
+    inputs, or singular ones, are flagged ``underdetermined`` and have NULL estimates.  ``obs`` is read once a step, so a
+    checkpoint is made of it first.
     """
     p = params or RobustParams()
     spark = obs.sparkSession
+    obs = cut(obs)
     z = list(reference or inputs)
     remote = reference is not None
     gram = [F.count("*").alias("n")]
@@ -288,9 +297,10 @@ def robust(obs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], refere
             for o, s in states[key].items():  # least squares on the raw data, from the sums there are
                 sums = {f"{k}y": np.array([complex(r[f"{o}_raw{k}{i}_re"], r[f"{o}_raw{k}{i}_im"]) for i in (0, 1)]) for k in ("x", "z")}
                 _advance(s, {"yy": r[f"{o}_raw"], "psi": r["n"], **sums}, p, remote)
+    steps, sums = _cleaning(inputs, outputs, p), _sweep_sums(inputs, z, outputs)
     while any(s.stage != "done" for per in states.values() for s in per.values()):
         live = {k: per for k, per in states.items() if any(s.stage != "done" for s in per.values())}
-        for key, got in _sweep(obs, live, inputs, z, outputs, p).items():
+        for key, got in _sweep(obs, live, inputs, z, outputs, steps, sums).items():
             for o, s in live[key].items():
                 if s.stage != "done":
                     _advance(s, got[o], p, remote)

@@ -87,7 +87,7 @@ def process(series: DataFrame, config: Processing, responses: DataFrame | None =
     """Transfer functions per level, band, output and input, with periods, errors, rho and phi.
 
     ``series`` is (station[, run], n, <channels>).  ``weights(level, n0, weight)``, if given, multiply observations.
-    The observations are cached, since the robust estimators read them once a step.
+    The robust estimators make a checkpoint of the observations, which they read once a step.
     """
     config = config.with_engine_for(bool(config.remote))
     obs, _ = observations(series, config, responses)
@@ -102,7 +102,6 @@ def process(series: DataFrame, config: Processing, responses: DataFrame | None =
             used = apply_weights(leverage_weights(used, config.inputs, reference), channels)
         if weights is not None:
             used = apply_weights(used.drop("weight").join(weights, ["level", "n0"]), channels)
-        used = used.persist()
         tf = estimator(config.engine)(used, list(config.inputs), list(config.outputs), reference, config.robust)
         tf = with_periods(tf, config.band_table(series.sparkSession))
         if "cov_nn" in tf.columns:

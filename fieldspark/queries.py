@@ -523,11 +523,8 @@ def edf_weights(spark, d):
 
 
 def _robust(spark, d, remote: bool) -> DataFrame:
-    obs = (remote_obs if remote else local_obs)(spark, d).persist()
-    try:
-        return R.robust(obs, ["hx", "hy"], ["ex", "ey", "hz"], ["r_hx", "r_hy"] if remote else None)
-    finally:
-        obs.unpersist()
+    obs = (remote_obs if remote else local_obs)(spark, d)
+    return R.robust(obs, ["hx", "hy"], ["ex", "ey", "hz"], ["r_hx", "r_hy"] if remote else None)
 
 
 @query()
