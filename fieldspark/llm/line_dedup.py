@@ -41,6 +41,8 @@ def boilerplate_lines(docs: DataFrame, p: LineParams) -> DataFrame:
     """(h1, h2, first) of the lines spread over ``min_sites`` sites or more; ``first`` is the least (ord, pos) of a copy."""
     lines = _lines(docs)
     often = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min(F.struct("ord", "pos", "_rk")).alias("first")).where(F.col("n") >= p.min_sites)
+    # written, so that both sides of the join are plain exchanges and Spark can split a very frequent line
+    often = written(often, "op6")
     seen = lines.where("site is not null").join(often.hint("shuffle_hash"), ["h1", "h2"])
     # one row per line and site first: copies on a hot site never meet in one place
     spread = written(seen.groupBy("h1", "h2", "site").agg(F.first("first").alias("first")), "op6")
@@ -62,7 +64,7 @@ def remove_boilerplate(docs: DataFrame, params: LineParams | None = None, id_col
     p = params or LineParams()
     rk = F.xxhash64(F.col(id_col), F.col(text_col))
     narrow = docs.select(rk.alias("_rk"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
-    bad = boilerplate_lines(narrow, p)
+    bad = written(boilerplate_lines(narrow, p), "op6")
     found = _lines(narrow).join(bad, ["h1", "h2"])
     if p.keep_first:
         found = found.where(F.struct("ord", "pos", "_rk") != F.col("first"))
