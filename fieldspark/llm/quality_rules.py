@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import SPACE_BYTES, U64, Rolling, documents_of, mix, word_spans, written
+from fieldspark.llm.common import SPACE_BYTES, U64, documents_of, mix, rolling, word_spans, written
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACES = np.zeros(256, bool)
 _SPACES[list(SPACE_BYTES)] = True
-_roll: dict[int, Rolling] = {}
 
 #: metric -> (upper fence, lower fence, least distance of a fence from the median)
 METRICS = {"word_length": (True, True, 2.0), "symbol_ratio": (True, False, 0.04), "dup_line_ratio": (True, False, 0.4), "repeat_ratio": (True, False, 0.45)}
@@ -52,7 +51,7 @@ def text_counts(b: np.ndarray) -> tuple[int, int, int, int, int, int]:
     symbols = int(np.count_nonzero(_SYMBOLS[b]))
     if n == 0:
         return 0, 0, symbols, 0, 0, 0
-    roll = _roll.setdefault(2, Rolling(0x3C6EF372))
+    roll = rolling(0x3C6EF372)
     prefix = roll.prefix(b)
     breaks = np.flatnonzero(b == 10)
     lo, hi = np.r_[0, breaks + 1], np.r_[breaks, len(b)]
