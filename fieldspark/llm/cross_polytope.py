@@ -1,13 +1,16 @@
 """Nearest neighbours by largest inner product, with cross-polytope hashing.
 
-Vectors are lifted to unit length (an extra coordinate makes up what a vector lacks
-to the largest norm), which turns the largest inner product into the smallest
-angle.  Each of ``tables`` hash tables applies a pseudo-rotation - three rounds of
-random signs and a fast Hadamard transform - and puts a vector at its nearest
-signed axis.  A query probes its ``probes`` nearest axes of every table.
-
-Buckets are dealt out as (table, axis, block); a block holds a bounded number of
-vectors, so a bucket with a third of all vectors is many blocks, and the queries
+Vectors fall into bands by norm, each ``ratio`` of the one above, and are lifted to
+the largest norm of their band (an extra coordinate makes up what a vector lacks),
+which turns the largest inner product of a band into the smallest angle.  Each hash
+table applies a pseudo-rotation - three rounds of random signs and a fast Hadamard
+transform - and puts a vector at its nearest signed axis.  A query probes its
+nearest axes of every table in every band.  Tables and probes grow with the
+dimension (``scaled``), as neighbours of more dimensions lie at wider angles; so do
+those in the few bands of longest vectors, where more axes are probed (``band_probes``).
+
+Buckets are dealt out as (table, band, axis, block); a block holds a bounded number
+of vectors, so a bucket with a third of all vectors is many blocks, and the queries
 that probe it go to each.  In a block the exact inner products are one matrix
 product and each query keeps its best ``k``; those bounded lists merge to the answer.
 Queries with fewer than ``k`` candidates found, and all queries of inputs with at
@@ -17,7 +20,7 @@ most ``small`` vectors, see all vectors, in blocks as well.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,38 @@ from fieldspark.llm.common import partitions, written
 
 @dataclass(frozen=True)
 class AnnParams:
+    """``tables`` and ``probes`` are those of small dimensions; see ``scaled``."""
+
     k: int = 20
     tables: int = 12
     probes: int = 12
     block: int = 4096
     small: int = 2000
     seed: int = 17
+    ratio: float = 0.8
+
+
+def padded(dim: int) -> int:
+    """The power of two that holds ``dim`` coordinates."""
+    return 1 << max(1, (dim - 1).bit_length())
+
+
+def scaled(p: AnnParams, dim: int) -> AnnParams:
+    """Four more tables for each doubling of the padded size beyond 64, and the same share of the axes probed beyond 128."""
+    size = padded(dim + 1)
+    return replace(p, tables=p.tables + 4 * max(0, size.bit_length() - 7), probes=p.probes * max(1, size // 128))
+
+
+def band_probes(counts: dict[int, int], p: AnnParams, dim: int) -> dict[int, int]:
+    """Axes to probe in each band (0 has the longest vectors): more where few vectors are as long, as those are neighbours at wider angles.
+
+    By the square root of their share, so the work at most about doubles; a single band has ``probes``.
+    """
+    total, longer, out = sum(counts.values()), 0, {}
+    for band in sorted(counts):
+        longer += counts[band]
+        out[band] = min(2 * padded(dim + 1), int(np.ceil(p.probes * np.sqrt(total / longer))))
+    return out
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -52,7 +81,7 @@ class CrossPolytope:
     """``tables`` pseudo-rotations of vectors padded to a power of two; axes are 0..size-1 and, for negative ends, size on."""
 
     def __init__(self, dim: int, p: AnnParams):
-        self.size = 1 << max(1, (dim - 1).bit_length())
+        self.size = padded(dim)
         rng = np.random.default_rng(p.seed)
         self.signs = rng.integers(0, 2, (p.tables, 3, self.size)) * 2.0 - 1.0
 
@@ -80,24 +109,41 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(len(col), dim)
 
 
-def _hash_pass(dim: int, top: float, p: AnnParams):
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _hash_pass(dim: int, p: AnnParams):
+    """Of (vec_id, embedding, band, share of the band's largest norm): each vector's bucket in every table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = CrossPolytope(dim + 1, p)
         for batch in batches:
-            vec_id, query = batch.column(0).to_numpy(zero_copy_only=False), np.asarray(batch.column(2))
-            x = _matrix(batch.column(1), dim)
-            lift = np.concatenate([x / top, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True) / top**2))], 1)
-            aim = np.concatenate([x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros((len(x), 1))], 1)
+            if not batch.num_rows:
+                continue
+            share = np.minimum(np.asarray(batch.column(3)), 1.0)[:, None]
+            lift = np.concatenate([_unit(_matrix(batch.column(1), dim)) * share, np.sqrt(1 - share**2)], 1)
             for t in range(p.tables):
                 axis = hasher.nearest(lift, t, 1)[:, 0]
-                rows = [(np.arange(len(x)), axis, False)]
-                if query.any():
-                    i = np.flatnonzero(query)
-                    probe = hasher.nearest(aim[i], t, p.probes)
-                    rows.append((np.repeat(i, probe.shape[1]), probe.ravel(), True))
-                for i, ax, q in rows:
-                    take = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), t, np.int32)), pa.array(ax.astype(np.int32)), pa.array(np.full(len(i), q)), pa.array(vec_id[i]), batch.column(1).take(take)], ["tab", "axis", "query", "vec_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lift), t, np.int32)), batch.column(2), pa.array(axis.astype(np.int32)), batch.column(0), batch.column(1)], ["tab", "band", "axis", "vec_id", "embedding"])
+
+    return run
+
+
+def _probe_pass(dim: int, most: int, p: AnnParams):
+    """Of (vec_id, embedding): each query's ``most`` nearest axes in every table, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = CrossPolytope(dim + 1, p)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            aim = np.concatenate([_unit(_matrix(batch.column(1), dim)), np.zeros((batch.num_rows, 1))], 1)
+            for t in range(p.tables):
+                axes = hasher.nearest(aim, t, most).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(axes) + 1, dtype=np.int32) * axes.shape[1]), pa.array(axes.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(axes), t, np.int32)), lists, batch.column(0), batch.column(1)], ["tab", "axes", "vec_id", "embedding"])
 
     return run
 
@@ -152,9 +198,9 @@ def _block_pass(dim: int, p: AnnParams, hold: int = 500_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, found, n = None, ([], [], []), [], 0
         for batch in batches:
-            key = np.stack([np.asarray(batch.column(i)) for i in range(3)], 1)
+            key = np.stack([np.asarray(batch.column(i)) for i in range(4)], 1)
             cuts = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
-            query, ids, x = np.asarray(batch.column(3)), batch.column(4).to_numpy(zero_copy_only=False), _matrix(batch.column(5), dim)
+            query, ids, x = np.asarray(batch.column(4)), batch.column(5).to_numpy(zero_copy_only=False), _matrix(batch.column(6), dim)
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
@@ -177,15 +223,17 @@ def _block_pass(dim: int, p: AnnParams, hold: int = 500_000):
     return run
 
 
-def _searched(rows: DataFrame, blocks: DataFrame, dim: int, p: AnnParams) -> DataFrame:
-    """``rows(tab, axis, query, vec_id, embedding)`` against themselves, bucket by bucket in blocks."""
-    n = partitions(rows.sparkSession)
-    # (table, axis) pairs are at most tables * 2 * size, whatever the number of vectors
-    keyed = rows.join(F.broadcast(blocks), ["tab", "axis"])
-    own = F.array(F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+_BUCKET = ["tab", "band", "axis", "block"]
+
+
+def _searched(own: DataFrame, asks: DataFrame, dim: int, p: AnnParams) -> DataFrame:
+    """Queries ``asks`` against vectors ``own``, both (tab, band, axis, blocks, vec_id, embedding), bucket by bucket in blocks."""
+    n = partitions(own.sparkSession)
+    # a vector is in one block of its bucket, a query goes to all of them
+    own = own.select("tab", "band", "axis", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).alias("block"), F.lit(False).alias("query"), "vec_id", "embedding")
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    keyed = keyed.select("tab", "axis", F.explode(F.when(F.col("query"), every).otherwise(own)).alias("block"), "query", "vec_id", "embedding")
-    dealt = keyed.repartition(n, "tab", "axis", "block").sortWithinPartitions("tab", "axis", "block")
+    asks = asks.select("tab", "band", "axis", F.explode(every).alias("block"), F.lit(True).alias("query"), "vec_id", "embedding")
+    dealt = own.unionByName(asks).repartition(n, *_BUCKET).sortWithinPartitions(*_BUCKET)
     return dealt.mapInArrow(_block_pass(dim, p), _BEST)
 
 
@@ -210,7 +258,9 @@ def nearest_neighbours(vectors: DataFrame, params: AnnParams | None = None, ever
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vec_col), lambda v: v.cast("double")).alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
     sound = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     src = src.where(sound)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
+    # logarithms, so that no norm overflows; the largest entry is bound once a row
+    most = F.array(F.array_max(F.transform("embedding", F.abs)))
+    norm = F.transform(most, lambda m: F.log(m) + 0.5 * F.log(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / m) * (v / m))))[0]
     facts = src.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "dim").first()
     if facts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -221,16 +271,25 @@ def nearest_neighbours(vectors: DataFrame, params: AnnParams | None = None, ever
     n_blocks = -(-total // p.block)
 
     def exhaustive(q: DataFrame) -> DataFrame:
-        rows = src.select(whole.alias("tab"), whole.alias("axis"), F.lit(False).alias("query"), "vec_id", "embedding")
-        rows = rows.unionByName(q.select(whole.alias("tab"), whole.alias("axis"), F.lit(True).alias("query"), "vec_id", "embedding"))
-        return _best(_searched(rows, spark.createDataFrame([(0, 0, n_blocks)], "tab int, axis int, blocks long"), dim, p), p.k)
+        one = [whole.alias("tab"), whole.alias("band"), whole.alias("axis"), F.lit(n_blocks).cast("long").alias("blocks"), "vec_id", "embedding"]
+        return _best(_searched(src.select(*one), q.select(*one), dim, p), p.k)
 
     if total <= p.small:
         return exhaustive(src.where(query))
-    hashed = src.select("vec_id", "embedding", query.alias("query")).mapInArrow(_hash_pass(dim, top, p), "tab int, axis int, query boolean, vec_id long, embedding array<double>")
-    size = F.count(F.when(~F.col("query"), 1))
-    blocks = written(hashed.groupBy("tab", "axis").agg(F.greatest(F.ceil(size / p.block), F.lit(1)).cast("long").alias("blocks")), "op9")
-    found = written(_best(_searched(hashed, blocks, dim, p), p.k), "op9")
+    p = scaled(p, dim)
+    step = -float(np.log(p.ratio))
+    banded = src.select("vec_id", "embedding", (F.lit(top) - norm).alias("below")).withColumn("band", F.floor(F.col("below") / step).cast("int"))
+    # the range of doubles holds some thousands of bands at most
+    probes = band_probes({r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}, p, dim)
+    hashed = banded.select("vec_id", "embedding", "band", F.exp(F.col("band") * step - F.col("below")).alias("share")).mapInArrow(_hash_pass(dim, p), "tab int, band int, axis int, vec_id long, embedding array<double>")
+    aimed = src.where(query).mapInArrow(_probe_pass(dim, max(probes.values()), p), "tab int, axes array<int>, vec_id long, embedding array<double>")
+    probed = spark.createDataFrame(list(probes.items()), "band int, probes int")
+    counted = hashed.groupBy("tab", "band", "axis").agg(F.ceil(F.count("*") / p.block).cast("long").alias("blocks"))
+    blocks = written(counted.join(F.broadcast(probed), "band"), "op9")
+    # (table, band, axis) triples are at most bands * tables * 2 * size, whatever the number of vectors
+    own = hashed.join(F.broadcast(blocks.drop("probes")), ["tab", "band", "axis"])
+    asks = aimed.select("tab", F.posexplode("axes").alias("place", "axis"), "vec_id", "embedding").join(F.broadcast(blocks), ["tab", "axis"]).where("place < probes")
+    found = written(_best(_searched(own, asks, dim, p), p.k), "op9")
     full = found.where(F.col("rank") == min(p.k, total - 1)).select(F.col("query_id").alias("vec_id"))
     short = src.where(query).join(full, "vec_id", "left_anti")
     done = found.join(full.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from fieldspark.llm import chat, language_id, queries
@@ -37,6 +38,36 @@ def test_recall_against_brute_force(spark):
     assert hit / (20 * len(by)) >= 0.9
 
 
+def recall(spark, x, every, k=20):
+    """Share of the exact neighbours found, and the queries answered."""
+    by = {}
+    for r in A.nearest_neighbours(vectors(spark, x), A.AnnParams(k=k), every).collect():
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    return sum(len(set(exact(x, q, k)[0]) & got) for q, got in by.items()) / (k * len(by)), sorted(by)
+
+
+@pytest.mark.parametrize("case", ["128-d", "384-d", "one long", "some long", "lognormal"])
+def test_recall_in_many_dimensions_and_on_skewed_norms(spark, case):
+    rng = np.random.default_rng(3)
+    n, d = {"128-d": (5000, 128), "384-d": (2500, 384)}.get(case, (6000, 64))
+    x = rng.normal(size=(n, d))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    if case == "one long":
+        x[7] *= 3
+    if case == "some long":
+        x[rng.random(n) < 0.01] *= 5
+    if case == "lognormal":
+        x *= np.exp(0.5 * rng.normal(size=(n, 1)))
+    share, asked = recall(spark, x.astype(np.float32).astype(float), 50)
+    assert asked == list(range(0, n, 50)) and share >= 0.9
+
+
+def test_norms_of_any_size(spark):
+    x = np.random.default_rng(4).normal(size=(2100, 8)) * np.array([1e-30, 1e-3, 1e3, 1e30])[np.arange(2100) % 4][:, None]
+    share, asked = recall(spark, x.astype(np.float32).astype(float), 300, 5)
+    assert asked == list(range(0, 2100, 300)) and share >= 0.9
+
+
 def test_small_blocks_give_the_same(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
