@@ -13,8 +13,7 @@ Buckets are dealt out as (table, band, axis, block); a block holds a bounded num
 of vectors, so a bucket with a third of all vectors is many blocks, and the queries
 that probe it go to each.  In a block the exact inner products are one matrix
 product and each query keeps its best ``k``; those bounded lists merge to the answer.
-Queries with fewer than ``k`` candidates found, and all queries of inputs with at
-most ``small`` vectors, see all vectors, in blocks as well.
+Queries with fewer than ``k`` candidates found see all vectors, in blocks as well.
 """
 
 from __future__ import annotations
@@ -32,13 +31,13 @@ from fieldspark.llm.common import partitions, written
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``tables`` and ``probes`` are those of small dimensions; see ``scaled``."""
+    """``tables`` and ``probes`` are those of small dimensions; see ``scaled``.  ``small`` is accepted and not read: inputs of any size are hashed."""
 
     k: int = 20
     tables: int = 12
     probes: int = 12
     block: int = 4096
-    small: int = 2000
+    small: int = 0
     seed: int = 17
     ratio: float = 0.8
 
@@ -274,8 +273,6 @@ def nearest_neighbours(vectors: DataFrame, params: AnnParams | None = None, ever
         one = [whole.alias("tab"), whole.alias("band"), whole.alias("axis"), F.lit(n_blocks).cast("long").alias("blocks"), "vec_id", "embedding"]
         return _best(_searched(src.select(*one), q.select(*one), dim, p), p.k)
 
-    if total <= p.small:
-        return exhaustive(src.where(query))
     p = scaled(p, dim)
     step = -float(np.log(p.ratio))
     banded = src.select("vec_id", "embedding", (F.lit(top) - norm).alias("below")).withColumn("band", F.floor(F.col("below") / step).cast("int"))

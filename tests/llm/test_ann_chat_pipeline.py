@@ -62,6 +62,16 @@ def test_recall_in_many_dimensions_and_on_skewed_norms(spark, case):
     assert asked == list(range(0, n, 50)) and share >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_tables_are_hashed(spark, monkeypatch, sf):
+    made, probe_pass = [], A._probe_pass
+    monkeypatch.setattr(A, "_probe_pass", lambda *a: made.append(a) or probe_pass(*a))
+    table = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()}
+    x = np.array([table[i] for i in range(len(table))], float)
+    share, asked = recall(spark, x, 20)
+    assert made and asked == list(range(0, len(x), 20)) and share >= 0.9
+
+
 def test_norms_of_any_size(spark):
     x = np.random.default_rng(4).normal(size=(2100, 8)) * np.array([1e-30, 1e-3, 1e3, 1e30])[np.arange(2100) % 4][:, None]
     share, asked = recall(spark, x.astype(np.float32).astype(float), 300, 5)
