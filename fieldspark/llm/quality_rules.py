@@ -4,8 +4,10 @@ Every document gets exact counts in one vectorised pass.  Per (language, source)
 the ratios of documents that pass the base rules go into KLL quantile sketches,
 which are partial aggregates that merge; groups too small to speak for themselves
 take the sketch merged over their language, and that over everything.  Thresholds
-are fences above (below) the group's own quantiles, and filtering is a join of
-documents with their group's thresholds.
+are fences above (below) an outer quantile of the group, by a multiple of that
+quantile's distance from the median, in the group or the wider one of its language
+(a group of copies has no distance of its own); no constant takes part.  Filtering
+is a join of documents with their group's thresholds.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 _SPACES = np.zeros(256, bool)
 _SPACES[list(SPACE_BYTES)] = True
 
-#: metric -> (upper fence, lower fence, least distance of a fence from the median)
-METRICS = {"word_length": (True, True, 2.0), "symbol_ratio": (True, False, 0.04), "dup_line_ratio": (True, False, 0.4), "repeat_ratio": (True, False, 0.45)}
+#: metric -> (upper fence, lower fence, outer quantile, share of ``spread``).  Up to a quarter of a group may be full of symbols;
+#: most documents have no repeated lines or words at all, so only the tail of those ratios says what is usual.
+METRICS = {"word_length": (True, True, 0.9, 1 / 2), "symbol_ratio": (True, False, 0.75, 1.0), "dup_line_ratio": (True, False, 0.99, 1 / 12), "repeat_ratio": (True, False, 0.99, 1 / 12)}
 
 
 @dataclass(frozen=True)
@@ -93,12 +96,13 @@ def document_counts(docs: DataFrame, p: QualityParams, id_col: str = "doc_id", t
     return out.withColumns({m: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(0.0) for m, (n, d) in ratios.items()})
 
 
-def _fences(metric: str, sketch: Column, p: QualityParams) -> dict[str, Column]:
-    up, down, least = METRICS[metric]
-    q = F.kll_sketch_get_quantile_double(sketch, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    low, mid, high = q[0], q[1], q[2]
-    top = F.greatest(high + p.spread * (high - mid), mid + least) if up else F.lit(float("inf"))
-    bottom = F.least(low - p.spread * (mid - low), mid - least) if down else F.lit(float("-inf"))
+def _fences(metric: str, sketch: Column, wide: Column, p: QualityParams) -> dict[str, Column]:
+    up, down, outer, share = METRICS[metric]
+    at = F.array(F.lit(1 - outer), F.lit(0.5), F.lit(outer))
+    q, w = (F.kll_sketch_get_quantile_double(s, at) for s in (sketch, wide))
+    far = p.spread * share
+    top = q[2] + far * F.greatest(q[2] - q[1], w[2] - w[1]) if up else F.lit(float("inf"))
+    bottom = q[0] - far * F.greatest(q[1] - q[0], w[1] - w[0]) if down else F.lit(float("-inf"))
     return {f"{metric}_max": top, f"{metric}_min": bottom}
 
 
@@ -114,8 +118,9 @@ def group_thresholds(counts: DataFrame, p: QualityParams) -> DataFrame:
     joined = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang"))).select("o.*", "n_w", *[f"{m}_w" for m in METRICS]).withColumn("whole", F.col("n") * 0).join(F.broadcast(whole), "whole")
     out = {}
     for m in METRICS:
-        sketch = F.when(F.col("n") >= p.min_group, F.col(m)).when(F.col("n_w") >= p.min_group, F.col(f"{m}_w")).otherwise(F.col(f"{m}_all"))
-        out |= _fences(m, sketch, p)
+        wide = F.when(F.col("n_w") >= p.min_group, F.col(f"{m}_w")).otherwise(F.col(f"{m}_all"))
+        sketch = F.when(F.col("n") >= p.min_group, F.col(m)).otherwise(wide)
+        out |= _fences(m, sketch, wide, p)
     return joined.select("lang", "source", "n", *[c.alias(k) for k, c in out.items()])
 
 

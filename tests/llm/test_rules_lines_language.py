@@ -32,6 +32,43 @@ def test_rules_keep_clean_and_drop_odd_documents(make):
     assert [r["kept"] for r in quality_rules.apply_quality_rules(null).collect()] == [True] * 3
 
 
+def test_fences_follow_the_data(spark):
+    # the same documents, with ratios scaled per language: every fence scales with them, so no constant decides
+    rng = np.random.default_rng(5)
+    n, scale = 400, {"a": 1.0, "b": 0.25}
+    base = {"word_length": 4 + rng.random(n), "symbol_ratio": 0.02 * rng.random(n), "dup_line_ratio": 0.1 * rng.random(n), "repeat_ratio": 0.1 * rng.random(n)}
+    rows = [(lang, f"s{i % 2}", False, *[float(v[i] * s) for v in base.values()]) for lang, s in scale.items() for i in range(n)]
+    counts = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, " + ", ".join(f"{m} double" for m in base))
+    # sketches that hold all values are exact
+    t = {(r["lang"], r["source"]): r for r in quality_rules.group_thresholds(counts, quality_rules.QualityParams(sketch_k=4000)).collect()}
+    for source in ("s0", "s1"):
+        for m in base:
+            a, b = t["a", source][f"{m}_max"], t["b", source][f"{m}_max"]
+            assert np.isclose(b, a / 4) and base[m].max() < a < 10 * base[m].max()
+        assert np.isclose(t["b", source]["word_length_min"], t["a", source]["word_length_min"] / 4) and t["a", source]["word_length_min"] < 4
+
+
+def test_every_rule_rejects(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    p = quality_rules.QualityParams()
+    counts = quality_rules.document_counts(docs, p).where("not base_failed").persist()
+    t = quality_rules.group_thresholds(counts, p).drop("n")
+    rows = counts.join(t, ["lang", "source"]).collect()
+    out = {m: {r["doc_id"] for r in rows if not r[f"{m}_min"] <= r[m] <= r[f"{m}_max"]} for m in quality_rules.METRICS}
+    assert all(out.values())
+    plain = {r["doc_id"] for r in rows if r["symbol_ratio"] < 0.04}
+    assert len(plain & set().union(*out.values())) < 0.01 * len(plain)
+
+
+def test_a_group_of_copies_does_not_reject_others(make):
+    rng = random.Random(6)
+    vocab = ["the", "house", "of", "green", "water", "runs", "over", "stones", "and", "sings"] + [f"word{c}" for c in "abcdefghijklmnopq"]
+    clean = [" ".join(rng.choices(vocab, k=120)) + f" tail{i}" for i in range(160)]
+    docs = make([*clean[:100], *[clean[0]] * 95, *clean[100:105]], source=["a"] * 100 + ["b"] * 100)
+    rows = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(docs).collect()}
+    assert all(rows[i]["kept"] for i in range(195, 200))
+
+
 def test_base_rule_at_its_edges(make):
     fifty = " ".join(f"w{i}" for i in range(50))
     half = " ".join(["x y z"] * 2 + [f"v{i}" for i in range(44)])
