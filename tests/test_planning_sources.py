@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from fieldspark import queries as engine
 from fieldspark.operators import features as FE
 from fieldspark.operators import transfer as T
 from fieldspark.operators.windows import WindowScheme
@@ -56,6 +57,13 @@ def test_intervals_one_local_run_two_remote_runs(spark):
     assert P.drop_short(both, 20 * 86400).count() == 2
 
 
+def test_all_zero_runs_sees_every_hour(spark, tmp_path):
+    rows = [(0, "click", "2024-01-01 05:00:00"), (0, "error", "2024-01-20 05:00:00"), (1, "error", "2024-01-01 05:00:00"), (1, "click", "2024-01-29 23:00:00")]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["station"], r["channel"]) for r in engine.all_zero_runs(spark, str(tmp_path)).collect()}
+    assert got == {("0", "error"), ("1", "error")}
+
+
 def test_short_run_loses_deep_levels(spark):
     runs = spark.createDataFrame([("s", "long", 40000), ("s", "short", 2000)], "station string, run string, n_samples long").withColumn("duration", F.col("n_samples").cast("double"))
     got = {(r["run"], r["level"]): r["valid"] for r in P.processing_summary(runs, create_config("s", 1.0).level_table(spark)).collect()}
