@@ -176,6 +176,24 @@ def kernel_rows(spark, d):
     return rounded(rows.groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration")), 3)
 
 
+@query()
+def simultaneous_intervals_all_stations(spark, d):
+    """Every station against the next nation as its remote partner, the last against the first; no SQL."""
+    runs = tables.customer_runs(spark, d)
+    nations = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    last = nations.agg(F.max("i").alias("last"))
+    following = F.when(F.col("i") == F.col("last"), F.lit(0)).otherwise(F.col("i") + 1)
+    # the largest nation key is one row
+    partners = nations.join(F.broadcast(last), F.col("i") <= F.col("last")).select(F.col("i").cast("string").alias("station"), following.cast("string").alias("remote_station"))
+    return P.simultaneous_intervals(runs, runs, 720 * 86400, partners)
+
+
+@query()
+def kernel_rows_all_stations(spark, d):
+    rows = P.kernel_rows(simultaneous_intervals_all_stations(spark, d))
+    return rounded(rows.groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration")), 3)
+
+
 LEVELS_SQL = "lv AS (SELECT * FROM (VALUES (0, 1, 1), (1, 4, 4), (2, 4, 16), (3, 4, 64)) t(level, factor, total_factor))"
 SUMMARY_SQL = f"""WITH {RUNS_SQL}, {LEVELS_SQL}, s AS (
   SELECT station, run, level, factor, CAST(floor(floor((epoch_us("end") - epoch_us("start")) / 1e6 / 86400) / total_factor) AS BIGINT) AS num_samples FROM runs, lv

@@ -11,7 +11,7 @@ from fieldspark.operators.windows import WindowScheme
 from fieldspark.plans import planning as P
 from fieldspark.plans.config import Processing, create_config, levels_valid
 from fieldspark.plans.process import export, process
-from fieldspark.sources import bandfile, responses, spectra_store, zfile
+from fieldspark.sources import bandfile, responses, spectra_store, tables, zfile
 
 
 def test_band_files():
@@ -57,6 +57,16 @@ def test_intervals_one_local_run_two_remote_runs(spark):
     assert P.drop_short(both, 20 * 86400).count() == 2
 
 
+def test_intervals_of_all_stations(spark):
+    d = "/root/testdata/sf0.001"
+    runs = [tuple(r) for r in tables.customer_runs(spark, d).select("station", "run", "start", "end").collect()]
+    expected = sorted((a, r, b, q, max(s, u), min(e, v)) for a, r, s, e in runs for b, q, u, v in runs if int(b) == (int(a) + 1) % 25 and s < v and u < e and s < e and u < v)
+    got = sorted(tuple(r) for r in engine.simultaneous_intervals_all_stations(spark, d).select("station", "run", "remote_station", "remote_run", "start", "end").collect())
+    assert got == expected and len({r[0] for r in got}) > 20
+    sides = {(r["station"], r["remote"]): r["n"] for r in engine.kernel_rows_all_stations(spark, d).collect()}
+    assert sum(n for (_, remote), n in sides.items() if not remote) == len(expected) == sum(n for (_, remote), n in sides.items() if remote)
+
+
 def test_all_zero_runs_sees_every_hour(spark, tmp_path):
     rows = [(0, "click", "2024-01-01 05:00:00"), (0, "error", "2024-01-20 05:00:00"), (1, "error", "2024-01-01 05:00:00"), (1, "click", "2024-01-29 23:00:00")]
     spark.createDataFrame(rows, "user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
