@@ -614,13 +614,13 @@ def compare_tf(spark, d):
 
 @query()
 def process_single_station(spark, d):
-    config = create_config("O", 1.0, engine="RME", family="hamming", bands=[b for b in DEFAULT_BANDS if b[0] <= 2], inputs=("hx", "hy"), outputs=("ex", "ey", "hz"))
+    config = create_config("O", 1.0, engine="RME", family="hamming", inputs=("hx", "hy"), outputs=("ex", "ey", "hz"))
     return rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "se", "rho", "phi"), 5)
 
 
 @query()
 def process_remote_reference(spark, d):
-    config = create_config("O", 1.0, "F", engine="RME_RR", family="hamming", bands=[b for b in DEFAULT_BANDS if b[0] <= 2])
+    config = create_config("O", 1.0, "F", engine="RME_RR", family="hamming")
     return rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "rho", "phi"), 4)
 
 

@@ -74,6 +74,14 @@ def test_all_zero_runs_sees_every_hour(spark, tmp_path):
     assert got == {("0", "error"), ("1", "error")}
 
 
+@pytest.mark.parametrize("name", ["process_single_station", "process_remote_reference"])
+def test_whole_chain_has_every_level_with_a_window(spark, name):
+    # 2,499 days: the third level has one window of 128 samples, the fourth has none
+    rows = engine.QUERIES[name](spark, "/root/testdata/sf0.01").select("level", "band").distinct().collect()
+    bands = {(b["level"], b["band"]) for b in create_config("O", 1.0).band_table(spark).collect()}
+    assert {(r["level"], r["band"]) for r in rows} == {b for b in bands if b[0] < 3}
+
+
 def test_short_run_loses_deep_levels(spark):
     runs = spark.createDataFrame([("s", "long", 40000), ("s", "short", 2000)], "station string, run string, n_samples long").withColumn("duration", F.col("n_samples").cast("double"))
     got = {(r["run"], r["level"]): r["valid"] for r in P.processing_summary(runs, create_config("s", 1.0).level_table(spark)).collect()}
