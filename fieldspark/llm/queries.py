@@ -36,8 +36,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score_quality(docs, cotraining.fit_quality(docs, table(spark, sf_dir, "labels")))
+    views = cotraining.quality_views(table(spark, sf_dir, "documents"))
+    return cotraining.score_quality(views, cotraining.fit_quality(views, table(spark, sf_dir, "labels")))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

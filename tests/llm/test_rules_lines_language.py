@@ -149,3 +149,53 @@ def test_cotraining_edges(make, spark):
     got = {r["doc_id"]: r["kept"] for r in cotraining.score_quality(many, model).collect()}
     assert all(got[i] == bool(i % 2) for i in range(50, 60)) and 60 in got
     assert cotraining.score_quality(many.where("false"), model).count() == 0
+
+
+def test_cotraining_equals_a_plain_twin(make, spark):
+    """Views, rounds and choice of documents once more, over lists in one place."""
+    rng = random.Random(3)
+    good, bad = [f"fine{i}" for i in range(40)], [f"poor{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(good if i % 2 else bad, k=30)) for i in range(400)] + [None, "", " "]
+    texts[7], texts[9] = texts[5], texts[5]
+    ids = [None if i in (20, 21) else i for i in range(len(texts))]
+    lang = [("en", "fr")[i % 2] if rng.random() < 0.9 else None for i in range(len(texts))]
+    source = [("x" * 70 + "ab"[i % 2]) for i in range(len(texts))]
+    docs = make(texts, ids=ids, lang=lang, source=source)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 5) if ids[i] is not None] + [(5, 0), (None, 1)], "doc_id long, quality int")
+    p = cotraining.CoTrainParams(words=256, meta=64, rounds=3, handed=10, sure=0.8)
+    views = cotraining.quality_views(docs, p)
+    model = cotraining.fit_quality(views, labels, p)
+
+    rows = views.collect()
+    for r in rows:
+        if r["doc_id"] is None:
+            continue
+        words = set((texts[r["doc_id"]] or "").split())
+        assert np.unpackbits(np.frombuffer(r["bits"], np.uint8)).sum() <= len(words)
+    y = {r["doc_id"]: r["quality"] for r in labels.orderBy("quality").collect() if r["doc_id"] is not None}
+    dense = lambda rs: (cotraining.dense_text([r["bits"] for r in rs], [r["ratios"] for r in rs], p), cotraining.dense_meta([r["places"] for r in rs], p))
+    have = sorted((r for r in rows if r["doc_id"] in y), key=lambda r: int(cotraining.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]))
+    pool = sorted({(r["h1"], r["h2"]): r for r in rows if r["doc_id"] not in y}.values(), key=lambda r: (r["h1"], r["h2"]))
+    xs, ys = dense(have), np.array([y[r["doc_id"]] for r in have])
+    every, back = dense(pool), np.arange(len(ys)) % 4 == 3
+    train = [[(x, l) for x, l, b in zip(xs[v], ys, back, strict=True) if not b] for v in (0, 1)]
+    weights = [cotraining.fit_logistic(np.array([x for x, _ in t]), np.array([float(l) for _, l in t]), p.ridge) for t in train]
+    used: list[dict] = [{}, {}]
+    for _ in range(p.rounds):
+        hand: list[list] = [[], []]
+        for v in (0, 1):
+            w = weights[v].astype(np.float32)
+            a, b = cotraining.fit_platt(xs[v][back] @ weights[v][:-1] + weights[v][-1], ys[back])
+            prob = np.round(1 / (1 + np.exp(-(a * (every[v] @ w[:-1] + w[-1]) + b).astype(float))), 6)
+            for label in (0, 1):
+                sure = prob if label else 1 - prob
+                best = sorted((-sure[i], i) for i in range(len(pool)) if sure[i] >= p.sure and i not in used[1 - v])[: p.handed]
+                hand[1 - v] += [(i, label) for _, i in best]
+        if not any(hand):
+            break
+        for v in (0, 1):
+            used[v] |= dict(hand[v])
+            train[v] += [(every[v][i], label) for i, label in hand[v]]
+            weights[v] = cotraining.fit_logistic(np.array([x for x, _ in train[v]]), np.array([float(l) for _, l in train[v]]), p.ridge, weights[v], 60)
+    assert sum(map(len, used)) > 20
+    assert np.allclose(model.text, weights[0], atol=1e-3) and np.allclose(model.meta, weights[1], atol=1e-3)
