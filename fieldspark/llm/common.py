@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         got = sc._jsc.sc().getCheckpointDir()
         if got.isDefined():
             return got.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = tempfile.mkdtemp(prefix="fieldspark-")
         sc.setCheckpointDir(named)
     return named
@@ -58,9 +60,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def with_row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ``_rk``, a hash of id and text.  Joins use it with the id, so null and repeated ids are safe."""
-    return df.withColumn("_rk", F.xxhash64(F.col(id_col), F.col(text_col)))
+#: A row's identity where ids may be null or repeated: 128 bits of hashes of id and text.
+ROW = ("_rk", "_rk2")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """The columns of ``ROW``.  Rows that repeat an id and a text have the same."""
+    i, t = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(i, t).alias(ROW[0]), F.xxhash64(F.lit(0x5EED), t, i).alias(ROW[1])]
+
+
+def struct_of(df: DataFrame) -> Column:
+    """All columns of a row in one, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
 
 
 # --------------------------------------------------------------------------- text as bytes

@@ -2,12 +2,16 @@
 
 Two sets A, B with J(A, B) >= t have a Hamming distance of at most
 k = (|A| + |B|)(1 - t)/(1 + t).  Set sizes are covered by overlapping windows so
-that the sizes of any such pair share a window; inside a window of largest size R
-the feature domain (the shingle hashes) is cut into k(R) + 1 + e partitions.  At
-most k of them can differ, so the pair has at least e + 1 equal projections.  A
-signature is one (window, partition, projection).  Each set leaves out its e // 2
-weakest partitions - empty ones, then those with the fewest features - which still
-leaves one that both sets of the pair have.
+that the sizes of any such pair share a window.  Inside a window of largest size R
+the feature domain (the shingle hashes) is cut at two levels.  Of the n1 first-level
+partitions at most k(R) // (k2 + 1) can hold more than k2 of the differences; with
+n1 = k(R) // (k2 + 1) + 1 + e the pair has e + 1 others at least.  Each of those is cut
+into n2 second-level partitions, of which k2 at most differ, so the pair agrees on some
+subset of n2 - k2 of them.  All these subsets are enumerated: a signature is one
+(window, first-level partition, subset of its second-level ones, projection).  k2 and
+n2 are chosen for each window (``scheme``).  Each set leaves out the e // 2 first-level
+partitions in which it has the fewest features, which still leaves one that both sets
+of a pair have.
 
 One Python pass over the texts packs signatures into buckets (a few large rows a
 task).  Sets that share a signature are compared by parity sketches, whose distance
@@ -31,6 +35,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.common import (
+    ROW,
     U64,
     ascii_lower,
     buckets_of,
@@ -47,8 +54,9 @@ from fieldspark.llm.common import (
     pack_buckets,
     partitions,
     rolling,
+    row_key,
+    struct_of,
     unpack,
-    with_row_key,
     word_spans,
     written,
 )
@@ -62,13 +70,15 @@ MOST_SKETCH_WORDS = 512
 
 @dataclass(frozen=True)
 class JaccardParams:
-    """Words per shingle, threshold num/den, spare partitions, sizes with windows of their own; bounds of one work unit (sets, shingles), of a
-    signature's sets compared by sketch, and of its sets in one batch that go on one by one; rows of a batch."""
+    """Words per shingle, threshold num/den, spare first-level partitions, features a signature should have on average, sizes with windows of their
+    own; bounds of one work unit (sets, shingles), of a signature's sets compared by sketch, and of its sets in one batch that go on one by one;
+    rows of a batch."""
 
     words: int = 4
     num: int = 85
     den: int = 100
     spare: int = 4
+    features: int = 4
     small: int = 40
     unit_sets: int = 16384
     unit_shingles: int = 4_000_000
@@ -80,22 +90,56 @@ class JaccardParams:
         """Largest Hamming distance of two linked sets whose sizes add up to ``total``."""
         return total * (self.den - self.num) // (self.den + self.num)
 
-    def windows(self, n: int) -> tuple[tuple[int, int, int], ...]:
-        """(window number, partitions, spare partitions) of every size window that holds sets of size ``n``."""
+    def windows(self, n: int) -> tuple[Scheme, ...]:
+        """The schemes of every size window that holds sets of size ``n``."""
         return _windows(self, n)
 
 
+@dataclass(frozen=True)
+class Scheme:
+    """One size window: its number, first-level partitions and how many each set leaves out, second-level ones and how many may differ."""
+
+    window: int
+    first: int
+    left_out: int
+    second: int
+    differ: int
+
+    def subsets(self) -> list[tuple[int, ...]]:
+        """The enumerated subsets of second-level partitions."""
+        return list(combinations(range(self.second), self.second - self.differ))
+
+
+@lru_cache(maxsize=1 << 12)
+def scheme(p: JaccardParams, window: int, low: int, high: int) -> Scheme:
+    """The cheapest choice (fewest signatures) that gives sets of ``low`` shingles ``features`` a signature, unless that takes half as many
+    signatures again as the cheapest of all.  Sets of a window that cannot differ in anything are one partition, the whole set.
+    """
+    k = p.most_different(2 * high)
+    if k == 0:
+        return Scheme(window, 1, 0, 1, 0)
+    made = []
+    for differ, second in ((1, 3), (1, 4), (2, 4), (2, 5), (3, 6)):
+        bad = k // (differ + 1)
+        # spares only where there is more than one partition to choose from
+        spare = min(p.spare, 2 * (bad // 2)) + 2 * (bad // 20)
+        first = bad + 1 + spare
+        ways = comb(second, differ)
+        made.append((low * (second - differ) / (first * second), (first - spare // 2) * ways, Scheme(window, first, spare // 2, second, differ)))
+    least = min(m[1] for m in made)
+    good = [m for m in made if m[0] >= p.features and 2 * m[1] <= 3 * least] or made
+    return min(good, key=lambda m: m[1])[2]
+
+
 @lru_cache(maxsize=1 << 16)
-def _windows(p: JaccardParams, n: int) -> tuple[tuple[int, int, int], ...]:
+def _windows(p: JaccardParams, n: int) -> tuple[Scheme, ...]:
     out, lo, j = [], 1, 0
     while lo <= n:
         # small sizes have windows of their own, where few features must not meet many partitions
         nxt = max(lo + 1, int(lo * p.den / p.num)) if lo > p.small else lo + 1
         hi = (nxt - 1) * p.den // p.num
         if n <= hi:
-            k = p.most_different(2 * hi)
-            spare = min(p.spare, 2 * (k // 2)) + k // 10
-            out.append((j, k + 1 + spare, spare))
+            out.append(scheme(p, j, lo, hi))
         lo, j = nxt, j + 1
     return tuple(out)
 
@@ -121,21 +165,21 @@ def set_node(s: np.ndarray) -> int:
 
 
 def signatures(s: np.ndarray, p: JaccardParams) -> np.ndarray:
-    """PartEnum signatures of a sorted set of hashes."""
+    """PartEnum signatures of a sorted set of hashes: every enumerated subset of every first-level partition that is not left out."""
     out = []
-    for j, parts, spare in p.windows(len(s)):
-        part = ((s >> U64(32)) * U64(parts)) >> U64(32)
-        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        filled = part[cut]
-        code = U64((j << 32) + (parts << 40))
-        made = mix(np.add.reduceat(mix(s), cut) ^ mix(filled + code))
-        weak = spare // 2 - (parts - len(filled))
-        if weak > 0:
-            made = made[np.argsort(np.diff(np.r_[cut, len(s)]), kind="stable")[weak:]]
-        elif weak < 0:
-            empty = np.setdiff1d(np.arange(parts, dtype=U64), filled, assume_unique=True)[spare // 2 :]
-            out.append(mix(mix(empty + code) + U64(0x0E0E0E)))
-        out.append(made)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(s))])
+    high = s >> U64(32)
+    for w in p.windows(len(s)):
+        cells = w.first * w.second
+        # cells of the domain by the hash's upper half: a first-level partition is ``second`` neighbouring cells
+        edge = np.searchsorted((high * U64(cells)) >> U64(32), np.arange(cells + 1, dtype=U64))
+        code = mix(np.arange(cells, dtype=U64) + U64((w.window << 40) + (cells << 20)))
+        cell = mix((total[edge[1:]] - total[edge[:-1]]) ^ code).reshape(w.first, w.second)
+        if w.left_out:
+            held = np.diff(edge[:: w.second])
+            cell = cell[np.argsort(held, kind="stable")[w.left_out :]]
+        # cells carry their place, so a sum over a subset is a projection of its own
+        out += [mix(cell[:, list(subset)].sum(1, dtype=U64)) for subset in w.subsets()]
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -184,12 +228,30 @@ def _star(at: np.ndarray, size: np.ndarray, node: np.ndarray, chosen: np.ndarray
     return hub[edge], node[edge]
 
 
+def pack_signatures(bucket: np.ndarray, key: np.ndarray, owner: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Per bucket: the number of owners, the owners, and of each row its key, the place of its owner, and whether it is hot."""
+    order = np.argsort(bucket, kind="stable")
+    at, count = _runs(bucket[order])
+    for lo, n in zip(at, count, strict=True):
+        i = order[lo : lo + n]
+        owners, place = np.unique(owner[i], return_inverse=True)
+        yield int(bucket[i[0]]), int(n), np.int64(len(owners)).tobytes() + owners.tobytes() + key[i].tobytes() + place.astype(np.uint32 if len(owners) > 0xFFFF else np.uint16).tobytes() + hot[i].tobytes()
+
+
+def unpack_signatures(n: int, blob: bytes) -> list[np.ndarray]:
+    m = int(np.frombuffer(blob, np.int64, 1)[0])
+    owners = np.frombuffer(blob, U64, m, 8)
+    kind = np.dtype(np.uint32 if m > 0xFFFF else np.uint16)
+    key, place, hot = unpack(n, blob[8 + 8 * m :], U64, kind, np.uint8)
+    return [key, owners[place], hot]
+
+
 def _signature_pass(p: JaccardParams, n_buckets: int):
     bucket = lambda x: (x % U64(n_buckets)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, p.batch_rows) for whole in batches for at in range(0, whole.num_rows, p.batch_rows)):
-            rk = batch.column(batch.schema.get_field_index("_rk")).to_numpy(zero_copy_only=False).view(U64)
+            rk, rk2 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(U64) for c in ROW)
             nodes, sizes, sketches, sigs, owners, seen = [], [], [], [], [], set()
             for text in documents_of(batch):
                 s = shingle_set(text, p.words)
@@ -207,7 +269,7 @@ def _signature_pass(p: JaccardParams, n_buckets: int):
             order = np.argsort(bucket(node), kind="stable")
             for x, c in zip(*_runs(bucket(node)[order]), strict=True):
                 i = order[x : x + c]
-                rows.append((int(bucket(node[i[:1]])[0]), INFO, int(c), b"".join([rk[i].tobytes(), node[i].tobytes(), size[i].tobytes(), *(sketches[t].tobytes() for t in i)])))
+                rows.append((int(bucket(node[i[:1]])[0]), INFO, int(c), b"".join([rk[i].tobytes(), rk2[i].tobytes(), node[i].tobytes(), size[i].tobytes(), *(sketches[t].tobytes() for t in i)])))
             if sigs:
                 key, owner = np.concatenate(sigs), np.concatenate(owners)
                 key, owner, hot = _sorted_distinct(key, owner, np.zeros(len(key), np.uint8))
@@ -220,7 +282,7 @@ def _signature_pass(p: JaccardParams, n_buckets: int):
                     keep = hot == 0
                     keep[at] = True
                     key, owner, hot = key[keep], owner[keep], hot[keep]
-                rows += [(x, SIG, n, blob) for x, n, blob in pack_buckets(bucket(key), key, owner, hot)]
+                rows += [(x, SIG, n, blob) for x, n, blob in pack_signatures(bucket(key), key, owner, hot)]
             yield _packed_batch(rows)
 
     return run
@@ -231,16 +293,17 @@ def _packed_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "n", "blob"])
 
 
-FOUND = "kind int, a long, b long, n long, sketch binary, whole binary"
+FOUND = "kind int, a long, a2 long, b long, n long, sketch binary, whole binary"
 
 
-def _found(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, sk: list[np.ndarray] | None = None) -> pa.RecordBatch:
+def _found(kind: int, a: np.ndarray, b: np.ndarray, a2: np.ndarray | None = None, n: np.ndarray | None = None, sk: list[np.ndarray] | None = None) -> pa.RecordBatch:
     size = pa.array(np.zeros(len(a), np.int64) if n is None else n)
+    second = pa.nulls(len(a), pa.int64()) if a2 is None else pa.array(np.ascontiguousarray(a2).view(np.int64))
     none = pa.nulls(len(a), pa.binary())
     short = none if sk is None else pa.array([fold(x, SKETCH_WORDS).tobytes() for x in sk], pa.binary())
     whole = none if sk is None else pa.array([x.tobytes() if len(x) > SKETCH_WORDS else None for x in sk], pa.binary())
     ends = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *ends, size, short, whole], ["kind", "a", "b", "n", "sketch", "whole"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), ends[0], second, ends[1], size, short, whole], ["kind", "a", "a2", "b", "n", "sketch", "whole"])
 
 
 def _bucket_pass(p: JaccardParams):
@@ -252,11 +315,11 @@ def _bucket_pass(p: JaccardParams):
             parts, ea, eb = [], [], []
             for kind, n, blob in held:
                 if kind == INFO:
-                    rk, nd, size = unpack(n, blob, U64, U64, np.int64)
-                    ends = 24 * n + np.cumsum(8 * sketch_words(size))
-                    yield _found(INFO, rk, nd, size, [np.frombuffer(blob, U64, w, e - 8 * w) for w, e in zip(sketch_words(size), ends, strict=True)])
+                    rk, rk2, nd, size = unpack(n, blob, U64, U64, U64, np.int64)
+                    ends = 32 * n + np.cumsum(8 * sketch_words(size))
+                    yield _found(INFO, rk, nd, rk2, size, [np.frombuffer(blob, U64, w, e - 8 * w) for w, e in zip(sketch_words(size), ends, strict=True)])
                 elif kind == SIG:
-                    parts.append(unpack(n, blob, U64, U64, np.uint8))
+                    parts.append(unpack_signatures(n, blob))
                 else:
                     a, b = unpack(n, blob, U64, U64)
                     ea.append(a)
@@ -354,7 +417,7 @@ def _window_pass(p: JaccardParams):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            js = [[w[0] for w in p.windows(n)] for n in batch.column(2).to_pylist()]
+            js = [[w.window for w in p.windows(n)] for n in batch.column(2).to_pylist()]
             row = pa.array(np.repeat(np.arange(len(js)), [len(j) for j in js]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([j for w in js for j in w], pa.int64()), *[batch.column(i).take(row) for i in (1, 2, 3)]], ["unit", "x", "node", "n", "sketch"])
 
@@ -362,14 +425,18 @@ def _window_pass(p: JaccardParams):
 
 
 def _refine_pass(p: JaccardParams):
-    """Units of whole sketches, sorted by (unit, x), to candidate edges; a unit with too many sets stays tied together."""
+    """Units of whole sketches, sorted by (unit, x), to candidate edges; a unit with too many sets stays tied together, and is not held."""
 
-    def flush(held) -> pa.RecordBatch | None:
+    def tie(hub: int, held) -> tuple[np.ndarray, np.ndarray]:
+        node = np.array([h[0] for h in held if h[0] != hub], np.int64)
+        return np.full(len(node), hub, np.int64), node
+
+    def finish(held, tied: int | None) -> pa.RecordBatch | None:
+        if tied is not None:
+            return _edges(*tie(tied, held)) if held else None
         if len(held) < 2:
             return None
         node, size = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-        if len(held) > p.unit_sets:
-            return _edges(np.full(len(node) - 1, node[0]), node[1:])
         order = np.argsort(size, kind="stable")
         words = int(sketch_words(size).min())
         sk = np.stack([fold(np.frombuffer(held[i][2], U64), words) for i in order])
@@ -378,15 +445,25 @@ def _refine_pass(p: JaccardParams):
         return _edges(node[order][hub[moved]], node[order][moved])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, tied = None, [], None
         for batch in batches:
             for u, x, node, n, sk in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (u, x) != at:
-                    if (out := flush(held)) is not None:
+                    if (out := finish(held, tied)) is not None:
                         yield out
-                    at, held = (u, x), []
+                    at, held, tied = (u, x), [], None
+                if tied is not None:
+                    held.append((node, n, None))
+                    if len(held) >= p.unit_sets:
+                        yield _edges(*tie(tied, held))
+                        held = []
+                    continue
                 held.append((node, n, sk))
-        if (out := flush(held)) is not None:
+                if len(held) > p.unit_sets:
+                    tied = node
+                    yield _edges(*tie(tied, held))
+                    held = []
+        if (out := finish(held, tied)) is not None:
             yield out
 
     return run
@@ -482,12 +559,12 @@ def _large_units(sets: DataFrame, p: JaccardParams) -> DataFrame:
 def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     p = params or JaccardParams()
     spark = docs.sparkSession
-    src = with_row_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     n = partitions(spark)
     n_buckets = 4 * n
-    packed = src.select("_rk", "text").mapInArrow(_signature_pass(p, n_buckets), PACKED)
+    packed = src.select(*ROW, "text").mapInArrow(_signature_pass(p, n_buckets), PACKED)
     found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(p), FOUND), "op1")
-    info = found.where(F.col("kind") == INFO).select(F.col("a").alias("_rk"), F.col("b").alias("node"), "n")
+    info = found.where(F.col("kind") == INFO).select(F.col("a").alias("_rk"), F.col("a2").alias("_rk2"), F.col("b").alias("node"), "n")
 
     # sets that share a signature, with their sketches: which of them may link
     sketches = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
@@ -501,15 +578,15 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     looked = looked.mapInArrow(_window_pass(p), "unit long, x long, node long, n long, sketch binary")
     candidates = components(looked.repartition(n, "unit", "x").sortWithinPartitions("unit", "x").mapInArrow(_refine_pass(p), "a long, b long"))
     # one document stands for each set
-    stand = info.where("n > 0").groupBy("node").agg(F.min("_rk").alias("_rk"), F.max("n").alias("n"))
+    stand = info.where("n > 0").groupBy("node").agg(F.min(F.struct(*ROW)).alias("r"), F.max("n").alias("n")).select("node", "r.*", "n")
     wanted = candidates.join(stand, "node")
     size = wanted.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
     too_large = (F.col("sets") > p.unit_sets) | (F.col("weight") > p.unit_shingles)
-    wanted = written(wanted.join(size, "root").select("_rk", "node", F.col("root").alias("unit"), too_large.alias("large")), "op1")
+    wanted = written(wanted.join(size, "root").select(*ROW, "node", F.col("root").alias("unit"), too_large.alias("large")), "op1")
     any_large = wanted.where("large").limit(1).count() > 0
 
     def sets_of(want: DataFrame, with_signatures: bool) -> DataFrame:
-        texts = src.select("_rk", "text").join(want.hint("shuffle_hash"), "_rk").select("node", "unit", "text")
+        texts = src.select(*ROW, "text").join(want.hint("shuffle_hash"), list(ROW)).select("node", "unit", "text")
         return texts.mapInArrow(_set_pass(p, with_signatures), _SETS)
 
     small = sets_of(wanted.where("not large").drop("large"), False)
@@ -520,13 +597,13 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     joined = components(links)
 
     # the least id of each set, then of each component
-    own = src.select("doc_id", "_rk").join(info.dropDuplicates(["_rk"]), "_rk")
+    own = src.select("doc_id", *ROW).join(info.dropDuplicates(list(ROW)), list(ROW))
     least = own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(joined, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     per_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = rooted.join(per_root, "root").select("node", "component_id")
+    of_node = rooted.join(per_root, "root").select("node", "root", "component_id")
     out = own.join(of_node, "node", "left")
-    return out.select("_rk", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select(*ROW, F.col("root").alias("_root"), "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def ngram_jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -537,15 +614,28 @@ def ngram_jaccard_groups(docs: DataFrame, params: JaccardParams | None = None, i
     rows link like any equal texts.  A row with a null id takes part, and where all ids of a component are null so is its
     ``component_id``.  Extra columns are ignored.  An empty table gives an empty result.
     """
-    return _groups(docs, params, id_col, text_col).drop("_rk")
+    return _groups(docs, params, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, params: JaccardParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the rows of the least id of every group of near copies; columns stay as they are.
+    """``docs`` with one row of every group of near copies; columns stay as they are, whatever their names.
 
-    Rows without words, and rows whose id or group is null, all stay.  Rows that repeat an id and a text stay together.
+    The row of the least id stays (null ids behind all), of those that share it the one with the least hash of its text,
+    and of rows that repeat an id and a text one.  Rows without words all stay.  An empty table gives an empty result.
     """
-    groups = _groups(docs, params, id_col, text_col)
-    gone = groups.where("component_id is not null and doc_id is not null and component_id <> doc_id").select("_rk").distinct()
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col), F.col(text_col)))
-    return keyed.join(gone.hint("shuffle_hash"), "_rk", "left_anti").select(*docs.columns)
+    groups = written(_groups(docs, params, id_col, text_col).where("_root is not null").select(*ROW, "_root", F.col("doc_id").alias("_id")), "op1")
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), *ROW)
+    first = groups.groupBy("_root").agg(F.min(place).alias("p")).select("_root", *[F.col(f"p.{k}").alias(f"{k}_first") for k in ROW])
+    stays = F.lit(True)
+    for k in ROW:
+        stays = stays & (F.col(k) == F.col(f"{k}_first"))
+    # a row's hashes, whether it is its group's first, and how often it is there
+    rows = groups.groupBy(*ROW, "_root").agg(F.count("*").alias("times"))
+    judged = written(rows.join(first, "_root").select(*ROW, stays.alias("stays"), "times").where("not stays or times > 1"), "op1")
+    keyed = docs.select(struct_of(docs), *row_key(id_col, text_col))
+    out = keyed.join(judged.hint("shuffle_hash"), list(ROW), "left_anti").select("_row")
+    if judged.where("stays").limit(1).count():
+        # of rows that repeat an id and a text one stays: they are put together map-side
+        again = keyed.join(judged.where("stays").hint("shuffle_hash"), list(ROW), "left_semi")
+        out = out.unionByName(again.groupBy(*ROW).agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

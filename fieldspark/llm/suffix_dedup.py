@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import U64, buckets_of, documents_of, mix, pack_buckets, partitions, rolling, text_bytes, unpack, written
+from fieldspark.llm.common import ROW, U64, buckets_of, documents_of, mix, pack_buckets, partitions, rolling, row_key, text_bytes, unpack, written
 
 PACKED = "bucket int, kind int, n int, blob binary"
 
@@ -215,9 +215,9 @@ def _context_pass(p: RepeatParams, n_buckets: int):
                         if pre is None:
                             pre = roll.prefix(text), second.prefix(text)
                         s = np.arange(lo, lo + size - p.length + 1)
-                        win.append((roll.spans(pre[0], s, s + p.length), second.spans(pre[1], s, s + p.length), np.full(len(s), a["h"]), np.full(len(s), a["c"]), s - lo, np.full(len(s), a["ord"]), s, np.full(len(s), a["copies"]), np.full(len(s), a["n"])))
+                        win.append((roll.spans(pre[0], s, s + p.length), second.spans(pre[1], s, s + p.length), *[np.full(len(s), a[k]) for k in ("h", "c")], s - lo, *[np.full(len(s), a[k]) for k in ("ord", "rk")], s, *[np.full(len(s), a[k]) for k in ("copies", "n")]))
                     else:
-                        meta.append((a["h"], a["c"], a["ord"], lo, size, a["copies"], a["n"]))
+                        meta.append((a["h"], a["c"], a["ord"], a["rk"], lo, size, a["copies"], a["n"]))
                         blobs.append(text[lo : lo + size].tobytes())
             rows = []
             if meta:
@@ -229,7 +229,7 @@ def _context_pass(p: RepeatParams, n_buckets: int):
                     i = order[x:y]
                     rows.append((int(bucket[i[0]]), 0, len(i), m[i].tobytes() + b"".join(blobs[j] for j in i)))
             if win:
-                rows += _local_windows(*(np.concatenate(x) for x in zip(*win, strict=True)), p, n_buckets)
+                rows += _local_windows(*(np.concatenate(x) for x in zip(*win, strict=True)), p=p, n_buckets=n_buckets)
             if rows:
                 b, k, n, blob = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(n, pa.int32()), pa.array(blob, pa.binary())], ["bucket", "kind", "n", "blob"])
@@ -246,10 +246,20 @@ def _window_runs(w1, w2, order_by):
     return order, first
 
 
-def _local_windows(w1, w2, h, c, off, ord_, pos, copies, many, p: RepeatParams, n_buckets: int):
+def _once(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows whose (h, c, offset), the third to fifth column, came before are left out: rows that repeat an id and a text ship their contexts each."""
+    h, c, off = columns[2:5]
+    order = np.lexsort((off, c, h))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]) | (off[order][1:] != off[order][:-1])
+    return [x[order[new]] for x in columns]
+
+
+def _local_windows(*windows: np.ndarray, p: RepeatParams, n_buckets: int):
     """Combine a batch's windows: kind 2 answers what the batch itself shows, kind 1 forwards one row a window."""
     rows = []
-    order, first = _window_runs(w1, w2, (pos, ord_))
+    w1, w2, h, c, off, ord_, rk, pos, copies, many = _once(*windows)
+    order, first = _window_runs(w1, w2, (pos, rk, ord_))
     group = np.cumsum(first) - 1
     times = np.bincount(group, copies[order] if p.keep == "none" else None)
     known = (times[group] > 1) if p.keep == "none" else ~first
@@ -258,7 +268,7 @@ def _local_windows(w1, w2, h, c, off, ord_, pos, copies, many, p: RepeatParams,
         rows += [(b, 2, n, blob) for b, n, blob in pack_buckets(((h[i] ^ c[i]).view(U64) % U64(n_buckets)).astype(np.int64), h[i], c[i], off[i], many[i])]
     i = order[first]
     more = (times > 1).astype(np.int64)
-    rows += [(b, 1, n, blob) for b, n, blob in pack_buckets((w1[i] % U64(n_buckets)).astype(np.int64), w1[i], w2[i], h[i], c[i], off[i], ord_[i], pos[i], more, many[i])]
+    rows += [(b, 1, n, blob) for b, n, blob in pack_buckets((w1[i] % U64(n_buckets)).astype(np.int64), w1[i], w2[i], h[i], c[i], off[i], ord_[i], rk[i], pos[i], more, many[i])]
     return rows
 
 
@@ -278,12 +288,13 @@ def _hits(h: np.ndarray, c: np.ndarray, off: np.ndarray, many: np.ndarray, p: Re
 
 def _factor_pass(p: RepeatParams):
     def contexts(meta: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch | None:
-        order = np.lexsort((meta[:, 3], meta[:, 2]))
+        # the one order in which copies count as earlier: id, then text, then position
+        order = np.lexsort((meta[:, 4], meta[:, 3], meta[:, 2]))
         meta, blobs = meta[order], [blobs[i] for i in order]
         begin, later, any_copy = repeated_windows(blobs, p.length)
         found = []
         flag = later if p.keep == "first" else any_copy
-        for at, (h, c, _, _, size, copies, n) in zip(begin, meta, strict=True):
+        for at, (h, c, _, _, _, size, copies, n) in zip(begin, meta, strict=True):
             starts = size - p.length + 1
             hit = (0, starts - 1) if copies > 1 and p.keep == "none" else np.flatnonzero(flag[at : at + starts])
             if len(hit):
@@ -298,19 +309,21 @@ def _factor_pass(p: RepeatParams):
             meta, blobs, win = [], [], []
             for kind, n, blob in held:
                 if kind == 0:
-                    m = np.frombuffer(blob, np.int64, n * 7).reshape(n, 7)
-                    ends = np.cumsum(m[:, 4]) + n * 56
+                    m = np.frombuffer(blob, np.int64, n * 8).reshape(n, 8)
+                    ends = np.cumsum(m[:, 5]) + n * 64
                     meta.append(m)
-                    blobs += [blob[e - s : e] for s, e in zip(m[:, 4], ends, strict=True)]
+                    blobs += [blob[e - s : e] for s, e in zip(m[:, 5], ends, strict=True)]
                 elif kind == 2:
                     yield _hits(*unpack(n, blob, *[np.int64] * 4), p)
                 else:
-                    win.append(unpack(n, blob, U64, U64, *[np.int64] * 7))
+                    win.append(unpack(n, blob, U64, U64, *[np.int64] * 8))
             if meta:
                 m = np.concatenate(meta)
-                order = np.argsort(m[:, 0], kind="stable")
+                order = np.lexsort((m[:, 1], m[:, 0]))
+                # a context that came twice (of rows that repeat an id and a text) is looked at once
+                order = order[np.r_[True, (m[order[1:], :2] != m[order[:-1], :2]).any(1)]]
                 # chunks end between anchors, so all contexts of an anchor meet; an anchor has at most ``hot`` of them
-                size = np.cumsum(m[order, 4] + 1)
+                size = np.cumsum(m[order, 5] + 1)
                 h = m[order, 0]
                 edge = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
                 lo = 0
@@ -324,8 +337,8 @@ def _factor_pass(p: RepeatParams):
                         yield out
                     lo = hi
             if win:
-                w1, w2, h, c, off, ord_, pos, more, many = (np.concatenate(x) for x in zip(*win, strict=True))
-                order, first = _window_runs(w1, w2, (pos, ord_))
+                w1, w2, h, c, off, ord_, rk, pos, more, many = _once(*(np.concatenate(x) for x in zip(*win, strict=True)))
+                order, first = _window_runs(w1, w2, (pos, rk, ord_))
                 group = np.cumsum(first) - 1
                 if p.keep == "first":
                     hit = ~first
@@ -342,14 +355,14 @@ def _factor_pass(p: RepeatParams):
 
 
 def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
-    """``src(_rk, ord, _rest, _text)`` to ``(_rk, stretches)``: arrays of (lo, hi) byte offsets, one per anchor, unmerged.
+    """``src(_rk, _rk2, ord, _rest, _text)`` to ``(_rk, _rk2, stretches)``: arrays of (lo, hi) byte offsets, one per anchor, unmerged.
 
-    ``_rest`` only rides along, so that this and the caller's join on ``_rk`` share one exchange of the texts.
+    ``_rest`` only rides along, so that this and the caller's join on the row's hashes share one exchange of the texts.
     """
     spark = src.sparkSession
     n = partitions(spark)
     first = p.keep == "first"
-    keys = ["ord", "_rk"] if first else ["_rk"]
+    keys = ["ord", *ROW] if first else list(ROW)
     place = F.struct(*keys, "lo")
     marks = src.select(*keys, F.col("_text").alias("text")).mapInArrow(_anchor_pass(p, len(keys)), "h long, c long, lo int, size int, " + ", ".join(f"{k} long" for k in keys))
     marks = written(marks, "op3")
@@ -366,26 +379,26 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
 
     even = again.where("even and not is_first") if first else again.where("even")
     stretch = lambda lo, hi: F.struct((F.col("lo") + lo).alias("lo"), (F.col("lo") + hi).alias("hi")).alias("s")
-    whole = even.select("_rk", stretch(F.lit(0), F.col("size")))
+    whole = even.select(*ROW, stretch(F.lit(0), F.col("size")))
     odd = again.where("not even")
     one = odd.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct(*keys, "lo", "size", "n")).alias("r"))
-    ask = one.select(F.col("r._rk").alias("_rk"), F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), "r.lo", "r.size", "copies", "r.n", (F.col("r.n") > p.hot).alias("hot")).alias("a"))
-    ask = ask.groupBy("_rk").agg(F.collect_list("a").alias("ask"))
-    text_of = src.join(ask.hint("shuffle_hash"), "_rk").select(F.col("_text").alias("text"), "ask", "ord", "_rest")
+    ask = one.select(*[F.col(f"r.{k}").alias(k) for k in ROW], F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), F.col("r._rk").alias("rk"), "r.lo", "r.size", "copies", "r.n", (F.col("r.n") > p.hot).alias("hot")).alias("a"))
+    ask = ask.groupBy(*ROW).agg(F.collect_list("a").alias("ask"))
+    text_of = src.join(ask.hint("shuffle_hash"), list(ROW)).select(F.col("_text").alias("text"), "ask", "ord", "_rest")
     packed = text_of.mapInArrow(_context_pass(p, 4 * n), PACKED)
     hits = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT)
     hits = hits.groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"), F.max("n").alias("n"))
     # both sides know how often the anchor occurs: its rows go to as many places as they make blocks
     slots = F.greatest(F.ceil(F.col("n") / p.block), F.lit(1)).cast("long")
-    dealt = lambda d: d.withColumn("slot", F.pmod(F.xxhash64("_rk", "lo"), slots)).drop("n")
+    dealt = lambda d: d.withColumn("slot", F.pmod(F.xxhash64(*ROW, "lo"), slots)).drop("n")
     copied = lambda d: d.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1))).drop("n")
-    part = dealt(odd).join(copied(hits), ["h", "c", "slot"]).select("_rk", stretch(F.col("dlo"), F.col("dhi")))
+    part = dealt(odd).join(copied(hits), ["h", "c", "slot"]).select(*ROW, stretch(F.col("dlo"), F.col("dhi")))
     if first:
         # copies of a whole context after its first are covered entirely
         lead = copied(one.select("h", "c", F.struct(*[f"r.{k}" for k in keys], "r.lo").alias("lead"), "r.n"))
         copy = dealt(odd).join(lead, ["h", "c", "slot"]).where(F.col("lead") != place)
-        part = part.unionByName(copy.select("_rk", stretch(F.lit(0), F.col("size"))))
-    return whole.unionByName(part).groupBy("_rk").agg(F.collect_list("s").alias("stretches"))
+        part = part.unionByName(copy.select(*ROW, stretch(F.lit(0), F.col("size"))))
+    return whole.unionByName(part).groupBy(*ROW).agg(F.collect_list("s").alias("stretches"))
 
 
 def merged(s: np.ndarray) -> np.ndarray:
@@ -455,12 +468,12 @@ def _text_pass(schema_names: list[str]):
 
 def _with_stretches(docs: DataFrame, p: RepeatParams, rest: list[str], id_col: str, text_col: str) -> DataFrame:
     src = docs.select(
-        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"),
+        *row_key(id_col, text_col),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"),
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_rest"),
         F.col(text_col).alias("_text"),
     )
-    joined = src.join(repeated_stretches(src, p).hint("shuffle_hash"), "_rk", "left")
+    joined = src.join(repeated_stretches(src, p).hint("shuffle_hash"), list(ROW), "left")
     return joined.select("_rest", "_text", "stretches", "ord")
 
 
@@ -478,7 +491,12 @@ def repeat_digest(docs: DataFrame, params: RepeatParams | None = None, id_col: s
 
 
 def remove_repeats(docs: DataFrame, params: RepeatParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages taken out of the text (by default the first copy stays); rows and columns stay."""
+    """``docs`` with repeated passages taken out of the text (by default the first copy stays); rows and columns stay.
+
+    The first copy is that of the least id (null ids before all), then of the least hash of the text, then of the least
+    position.  Rows that repeat an id and a text are one document here and keep the same text, so one whole copy of every
+    passage is left.  A null text stays null; an empty table gives an empty result.
+    """
     p = params or RepeatParams(keep="first")
     rows = _with_stretches(docs, p, [c for c in docs.columns if c != text_col], id_col, text_col)
     schema = rows.select("_rest", F.col("_text").alias("_new")).schema

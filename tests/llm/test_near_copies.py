@@ -73,7 +73,7 @@ def test_nulls_repeats_and_empty(make, spark):
     assert J.ngram_jaccard_groups(df.where("false")).count() == 0
     kept = J.keep_one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 1, 4, 4]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [0, 1, 4, None]
 
 
 def test_components(spark):
@@ -101,3 +101,34 @@ def test_whole_small_table(spark, sample):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert groups(J.ngram_jaccard_groups(docs)) == brute.jaccard_groups(rows, 4, 85, 100)
     assert docs.count() == J.ngram_jaccard_groups(docs.withColumn("sig", F.lit(1))).count()
+
+
+def test_subsets_are_enumerated():
+    """Every window that allows differences enumerates subsets of second-level partitions, and any k differences leave one signature."""
+    rng = np.random.default_rng(1)
+    for p in (J.JaccardParams(), J.JaccardParams(words=5, num=80), J.JaccardParams(num=60)):
+        for n in (5, 12, 30, 70, 150, 400, 900):
+            for w in p.windows(n):
+                ways = w.subsets()
+                assert len(ways) == len(set(ways)) and all(len(x) == w.second - w.differ for x in ways)
+                assert (w.differ, w.second, ways) == (0, 1, [(0,)]) or (len(ways) >= 3 and w.second > w.differ + 1)
+            # differences spread as evenly over the domain as can be, the worst case of partitioning
+            a = (np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n)) + rng.integers(0, 1000, n).astype(np.uint64)
+            k = p.most_different(2 * n) // 2
+            b = a.copy()
+            b[rng.permutation(n)[:k]] ^= np.uint64(1)
+            both = len(np.intersect1d(a, b))
+            if p.den * both >= p.num * (2 * n - both):
+                assert set(J.signatures(a, p)) & set(J.signatures(np.unique(b), p))
+
+
+def test_one_row_of_each_group_stays(make):
+    t = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    near = t[0] + " more"
+    df = make([t[0], t[0], t[0], near, t[1], t[1], t[2], t[2], "", "", None], ids=[1, 1, 2, 1, None, None, 7, 7, 3, 3, 3])
+    df = df.withColumn("_row", df.n).withColumn("_rk", df.doc_id).withColumn("stays", df.n).withColumn("_root", df.n)
+    kept = J.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    rows = [(r["doc_id"], (r["text"] or "")[:2], r["_rk"], r["_row"]) for r in kept.collect()]
+    assert sorted(rows, key=str) == sorted([(1, "a0", 1, "k"), (None, "b0", None, "k"), (7, "c0", 7, "k"), (3, "", 3, "k"), (3, "", 3, "k"), (3, "", 3, "k")], key=str)
+    assert J.keep_one_of_each(df.where("false")).count() == 0

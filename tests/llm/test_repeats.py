@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from fieldspark.llm import suffix_dedup as R
+from fieldspark.llm.common import row_key
 
 
 def corpus(seed, n=60, alphabet="abcdefgh ü\n"):
@@ -39,6 +40,31 @@ def test_first_copy_stays(make, hot):
         assert got[i] == (None if texts[i] is None else bytes(x for x, gone in zip(b, mask, strict=True) if not gone).decode())
 
 
+@pytest.mark.parametrize("hot", [4000, 2, 0])
+def test_first_copy_stays_of_repeated_rows_and_ids(make, hot):
+    """Rows that repeat an id and a text, ids of several texts and null ids: one whole copy of every passage is left."""
+    texts = corpus(78, 40, "abcdefgh \n")
+    rng = random.Random(9)
+    rows = [(None if rng.random() < 0.2 else rng.randrange(25), t) for t in texts]
+    rows += rng.choices(rows, k=25) + [(1, texts[8])] * 3 + [(2, "xy" + (texts[8] or "") + "z")]
+    p = R.RepeatParams(length=16, gram=6, hot=hot, keep="first")
+    df = make([t for _, t in rows], ids=[i for i, _ in rows])
+    keyed = {(r["doc_id"], r["text"]): r["_rk"] for r in df.select("doc_id", "text", *row_key()).collect()}
+    order = sorted(set(rows), key=lambda r: (-(1 << 63) if r[0] is None else r[0], keyed[r]))
+    masks = brute.repeat_masks([(t or "").encode() for _, t in order], 16, "first")
+    want = {(i, t): None if t is None else bytes(x for x, gone in zip(t.encode(), m, strict=True) if not gone).decode() for (i, t), m in zip(order, masks, strict=True)}
+    got = sorted(((r["doc_id"], r["text"]) for r in R.remove_repeats(df, p).collect()), key=str)
+    assert got == sorted(((i, want[i, t]) for i, t in rows), key=str)
+
+
+def test_passage_of_repeated_rows_is_not_lost(make):
+    rng = random.Random(11)
+    t = "".join(rng.choices("abcdefghij \n", k=1399))
+    df = make([t, t, "start " + t[300:900] + " end"], ids=[1, 1, 2])
+    got = [r["text"] for r in R.remove_repeats(df).orderBy("doc_id").collect()]
+    assert got[:2] == [t, t] and len(got[2]) < 30
+
+
 def test_characters_stay_whole(make):
     base = "".join(chr(0xC0 + i) for i in range(150))
     df = make(["x" + base + "y", "z" + base + "w", "plain"])
