@@ -38,12 +38,13 @@ def byte_symbols() -> dict[int, str]:
 
 @lru_cache(maxsize=4)
 def byte_level_encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a tokenizers JSON file as a rank table: ids are the file's, special tokens are plain text."""
+    """The byte-level BPE of a tokenizers JSON file as a rank table: ids are the file's, its added tokens are split off first."""
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        spec = json.load(f)
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     back = {c: b for b, c in byte_symbols().items()}
-    ranks = {bytes(back[c] for c in piece): i for piece, i in vocab.items() if all(c in back for c in piece)}
-    return tiktoken.Encoding("json", pat_str=GPT_PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if k != b"<|endoftext|>"}, special_tokens={})
+    ranks = {bytes(back[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added and all(c in back for c in piece)}
+    return tiktoken.Encoding("json", pat_str=GPT_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces_of(n_ids: int, length: int) -> list[tuple[int, int]]:
@@ -60,7 +61,7 @@ def _token_pass(path: str, length: int, end_id: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.asarray(enc.encode_ordinary(text or ""), np.uint32), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.asarray(enc.encode(text or "", allowed_special="all"), np.uint32), np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(pieces_of(len(ids), length)):
                     for col, v in zip(out, (doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)), strict=True):
                         col.append(v)
@@ -130,7 +131,8 @@ def _pack_pass(length: int, open_bins: int, block: int):
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 0, open_bins: int = 16384, block: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents with the sequence and offset each is packed at.
 
-    A document is its ids and then ``end_id``; only longer ones than ``length`` are cut.  A null or empty text is the one
+    A document is its ids, as the tokenizers file gives them without special tokens of its own, and then ``end_id``; the
+    text of an added token is that token.  Only longer ones than ``length`` are cut.  A null or empty text is the one
     id ``end_id``.  Null and repeated ids are packed like any others.  Columns: doc_id, piece, start, length, ids_crc32,
     n_ids, sequence_id, offset; other columns are not read.  An empty table gives an empty result.  ``open_bins`` bounds
     a task's memory; every piece is placed whatever its value.

@@ -99,7 +99,7 @@ FROM marked GROUP BY doc_id
 
 OP10_SQL = r"""
 WITH said AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(floor(turn / 64.0) AS BIGINT) AS part
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations
 ), seats AS (
   SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'
@@ -108,15 +108,15 @@ WITH said AS (
          '<|im_start|>' || CASE WHEN s.role = p.speaker THEN 'assistant' WHEN s.role = 'system' THEN s.role ELSE 'user name=' || s.role END || chr(10) AS head
   FROM said s JOIN seats p ON s.conv_id = p.conv_id
 ), placed AS (
-  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
   FROM seen
 )
-SELECT conv_id, speaker, part, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+SELECT conv_id, speaker, string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
        CAST(count(*) AS BIGINT) AS n_turns, CAST(count(*) FILTER (target) AS BIGINT) AS n_target_turns,
        CAST(sum(length(head) + length(text) + 11) AS BIGINT) AS n_chars,
        CAST(coalesce(sum(length(text)) FILTER (target), 0) AS BIGINT) AS target_chars,
        coalesce(string_agg(CAST(begins + length(head) AS VARCHAR) || '+' || CAST(length(text) AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (target), '') AS spans
-FROM placed GROUP BY conv_id, speaker, part
+FROM placed GROUP BY conv_id, speaker
 """
 
 ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL, "op10_perspective_rotation": OP10_SQL}

@@ -102,21 +102,35 @@ def test_hadamard_is_orthonormal():
 
 
 def test_rotation(spark):
-    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "who"), (1, 70, "bob", "späte")]
-    df = spark.createDataFrame([(*t, 9, 9) for t in turns], "conv_id long, turn long, role string, text string, speaker int, part int")
-    rows = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate_perspectives(df).collect()}
-    assert set(rows) == {(1, "ann", 0), (1, "bob", 0), (1, "ann", 1), (1, "bob", 1), (None, "unknown", 0)}
-    ann = rows[1, "ann", 0]
-    assert ann["rendered"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nhello<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (2, 0, "system", "alone"), (None, 0, None, "who"), (1, 70, "bob", "späte"), (1, None, "bob", "?")]
+    df = spark.createDataFrame([(*t, 9, 9) for t in turns], "conv_id long, turn long, role string, text string, speaker int, block int")
+    rows = {(r["conv_id"], r["speaker"]): r for r in chat.rotate_perspectives(df).collect()}
+    assert set(rows) == {(1, "ann"), (1, "bob"), (None, "unknown")}
+    ann = rows[1, "ann"]
+    bob_said = "<|im_start|>user name=bob\n{}<|im_end|>\n".format
+    assert ann["rendered"] == bob_said("?") + "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n" + bob_said("hello") + "<|im_start|>assistant\n<|im_end|>\n" + bob_said("späte")
     assert [ann["rendered"][s["start"] : s["start"] + s["length"]] for s in ann["spans"]] == ["hi", ""]
-    bob = rows[1, "bob", 1]
-    assert [bob["rendered"][s["start"] : s["start"] + s["length"]] for s in bob["spans"]] == ["späte"] and rows[1, "ann", 1]["n_target_turns"] == 0
+    bob = rows[1, "bob"]
+    assert [bob["rendered"][s["start"] : s["start"] + s["length"]] for s in bob["spans"]] == ["?", "hello", "späte"] and bob["n_turns"] == 6
     assert chat.rotate_perspectives(df.where("false")).count() == 0
 
 
+def test_a_long_dialogue_is_whole(spark):
+    turns = [(1, i, "system" if i == 0 else f"p{i % 3}", "be kind" if i == 0 else f"turn {i}") for i in range(200)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for p in (chat.ChatParams(), chat.ChatParams(block=7)):
+        rows = {r["speaker"]: r for r in chat.rotate_perspectives(df, p).collect()}
+        assert set(rows) == {"p0", "p1", "p2"}
+        for who, r in rows.items():
+            name = lambda x: "system" if x == "system" else "assistant" if x == who else f"user name={x}"  # noqa: B023, E731
+            assert r["rendered"] == "".join(f"<|im_start|>{name(x)}\n{t}<|im_end|>\n" for _, _, x, t in turns)
+            assert [r["rendered"][s["start"] : s["start"] + s["length"]] for s in r["spans"]] == [t for _, _, x, t in turns if x == who]
+            assert (r["n_turns"], r["n_chars"], r["n_target_turns"]) == (200, len(r["rendered"]), len(r["spans"]))
+
+
 def test_rotation_equals_sql(spark):
     d = "/root/testdata/sf0.001"
-    cols = ["conv_id", "speaker", "part", "rendered", "n_turns", "n_target_turns", "n_chars", "target_chars", "spans"]
+    cols = ["conv_id", "speaker", "rendered", "n_turns", "n_target_turns", "n_chars", "target_chars", "spans"]
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{d}/conversations.parquet'")
     sql = con.execute(f"select {', '.join(cols)} from ({queries.OP10_SQL})").fetchall()
@@ -169,7 +183,7 @@ def test_pipeline_equals_brute_force(spark, sample):
             assert got["text"] == rows["ngram_jaccard"][i]["text"]
     # packing: all tokens of what is left
     enc = packing.byte_level_encoding(P.path("byte_bpe_50k.json"))
-    total = sum(len(enc.encode_ordinary(r["text"])) + 1 for r in rows["suffix_array_dedup"].values())
+    total = sum(len(enc.encode(r["text"], allowed_special="all")) + 1 for r in rows["suffix_array_dedup"].values())
     assert sum(r["length"] for r in steps["best_fit_packing"].collect()) == total
     assert steps["best_fit_packing"].count() == corpus_pipeline.run(spark, sample).count()
 

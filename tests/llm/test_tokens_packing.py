@@ -51,10 +51,19 @@ def test_round_trip_query_shape(make):
 def test_json_vocabulary_as_ranks():
     path = P.path("byte_bpe_50k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     enc = packing.byte_level_encoding(path)
-    for t in random_texts(2):
-        assert enc.encode_ordinary(t) == whole.encode(t, add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    special = [end, end * 3, f"{end}a", f"a{end}", f"a {end}  {end}\n\n b", f" {end} ", "<|endoftext|", f"<|{end}|>", f"x\n {end}\n 1"]
+    for t in random_texts(2) + special:
+        assert enc.encode(t, allowed_special="all") == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_the_operator(make):
+    path, texts = P.path("byte_bpe_50k.json"), ["a<|endoftext|>b", "<|endoftext|>", "", None, "y" * 300_000]
+    whole = Tokenizer.from_file(path)
+    for r in packing.pack_documents(make(texts), path, length=1 << 20).collect():
+        ids = np.array(whole.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [0], "<u4")
+        assert r["length"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids.tobytes())
 
 
 def check_packing(rows, length):
@@ -83,7 +92,7 @@ def test_packing(make, open_bins, block):
     enc = packing.byte_level_encoding(path)
     total = 0
     for i, t in enumerate(texts):
-        ids = np.array([*enc.encode_ordinary(t or ""), 0], "<u4")
+        ids = np.array([*enc.encode(t or "", allowed_special="all"), 0], "<u4")
         total += len(ids)
         pieces = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [r["piece"] for r in pieces] == list(range(len(pieces)))
