@@ -14,6 +14,7 @@ vectors; prediction covers every row and the whole of every text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,19 +22,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldspark.llm.common import U64, mix
+from fieldspark.llm.common import U64
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """Sample bound per language, bound on languages, landmarks per language, n-grams, hashed places, ridge, batch."""
+    """Sample and landmarks per language; the bounds on both over all languages (of very many each gets fewer, one at least); n-grams, hashed
+    places, ridge, batch."""
 
     per_language: int = 400
-    max_languages: int = 200
     landmarks: int = 48
+    max_sample: int = 40_000
+    max_landmarks: int = 2400
     max_n: int = 4
     dims: int = 1 << 13
     ridge: float = 1e-2
@@ -103,17 +107,20 @@ def fit_kernel_ridge(x: np.ndarray, labels: list[str], p: LanguageParams) -> Lan
     y = np.array([languages.index(v) for v in labels])
     x = x.astype(np.float64)
     norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = np.concatenate([np.flatnonzero(y == k)[: p.landmarks] for k in range(len(languages))]) if languages else np.zeros(0, int)
+    each = max(1, min(p.landmarks, p.max_landmarks // max(1, len(languages))))
+    marks = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])[: p.max_landmarks] if languages else np.zeros(0, int)
     z = (x[marks] / norm[marks]).T
     value, vector = np.linalg.eigh(z.T @ z)
     good = value > 1e-8 * max(value.max(initial=0.0), 1e-30)
     white = vector[:, good] / np.sqrt(value[good])
     phi = (x / norm) @ z @ white
-    target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
     count = np.bincount(y, minlength=len(languages)).astype(float)
     balance = (len(y) / (max(len(languages), 1) * count))[y][:, None]
     gram = phi.T @ (balance * phi) + p.ridge * len(y) * np.eye(phi.shape[1])
-    weights = white @ np.linalg.solve(gram, phi.T @ (balance * target))
+    # targets are 1 for a row's own language and -1 for the others
+    own = np.zeros((len(languages), phi.shape[1]))
+    np.add.at(own, y, balance * phi)
+    weights = white @ np.linalg.solve(gram, (2 * own - own.sum(0)).T)
     return LanguageModel(p, languages, z.astype(np.float32), weights.astype(np.float32))
 
 
@@ -132,28 +139,32 @@ def _bits_pass(p: LanguageParams):
 
 
 def fit_languages(labelled: DataFrame, params: LanguageParams | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on at most ``per_language`` documents of each of the ``max_languages`` most frequent languages.
+    """Fit on at most ``per_language`` documents of every language there is.
 
-    The sample is by hash of the id, so it does not depend on order or partitions.  Rows without a label, or whose text
-    has no letter, teach nothing.  Without any labelled row the model knows no language and predicts ``und``.
+    The sample is by hash of id and text, so it depends neither on order nor on partitions, and repeated or null ids are
+    drawn like others; equal texts of a language count once.  Rows without a label, or whose text has no letter, teach
+    nothing.  Without any labelled row the model knows no language and predicts ``und``.
     """
     p = params or LanguageParams()
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(p.max_languages).collect()
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where("lang is not null and text is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    none = LanguageModel(p, [], np.zeros((p.dims, 0), np.float32), np.zeros((0, 0), np.float32))
     if not counts:
-        return LanguageModel(p, [], np.zeros((p.dims, 0), np.float32), np.zeros((0, 0), np.float32))
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r[lang_col]), F.lit(min(1.0, 1.25 * p.per_language / r["count"])))])
-    sample = rows.where(draw < F.element_at(rate, F.col(lang_col)))
-    got = sample.select(F.col(lang_col).cast("string"), text_col).mapInArrow(_bits_pass(p), "lang string, bits binary").collect()
+        return none
+    per = max(1, min(p.per_language, p.max_sample // len(counts)))
+    # a share of each language, so that every task sends its part of a bounded sample; languages are few (one row each)
+    rates = labelled.sparkSession.createDataFrame([(k, min(1.0, 1.25 * (per + 8) / n)) for k, n in counts.items()], "lang string, rate double")
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col("id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    sample = rows.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
+    got = sample.mapInArrow(_bits_pass(p), "lang string, bits binary").distinct().collect()
     got = sorted((r["lang"], bytes(r["bits"])) for r in got)
     picked: dict[str, list[bytes]] = {}
-    for lang, bits in sorted(got, key=lambda r: (r[0], int(mix(np.frombuffer(r[1][:8], U64))[0]), r[1])):
-        if len(picked.setdefault(lang, [])) < p.per_language:
+    for lang, bits in sorted(got, key=lambda r: (r[0], zlib.crc32(r[1]), r[1])):
+        if len(picked.setdefault(lang, [])) < per:
             picked[lang].append(bits)
     labels = [k for k, v in picked.items() for _ in v]
     if not labels:
-        return LanguageModel(p, [], np.zeros((p.dims, 0), np.float32), np.zeros((0, 0), np.float32))
+        return none
     x = np.unpackbits(np.frombuffer(b"".join(b for v in picked.values() for b in v), np.uint8)).reshape(len(labels), p.dims)
     return fit_kernel_ridge(x, labels, p)
 
@@ -190,11 +201,14 @@ def _predict_pass(model: LanguageModel, at: int, extra: int):
 def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1); ``und`` and 0 for a null text or one without letters.
 
-    Nothing but the text is looked at.  Every row is returned once, whatever its other columns hold.
+    Nothing but the text is looked at.  Every row is returned once, whatever its other columns hold; columns that are
+    named like the two new ones are replaced by them.  An empty table gives an empty result.
     """
+    docs = docs.drop(*({"lang_pred", "score"} - {text_col}))
     at = docs.columns.index(text_col)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
-    return docs.mapInArrow(_predict_pass(model, at, int(keep_text)), ", ".join([*fields, "lang_pred string", "score double"]))
+    fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
+    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return docs.mapInArrow(_predict_pass(model, at, int(keep_text)), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,10 +1,14 @@
 """Removal of boilerplate lines by the number of distinct sites they are spread over.
 
-Lines are counted by hash, combined map-side; a line seen fewer times than
-``min_sites`` cannot reach that many sites.  The others get a HyperLogLog sketch of
-their sites, again a merging aggregate.  Where the estimate lies within ``band`` of
-the threshold the sites are counted exactly.  Lines on ``min_sites`` sites or more
-are removed from every document but the first that has them (or from all).
+Texts are split and hashed once, and the lines' hashes written.  Lines are counted by
+hash, combined map-side; a line seen fewer times than ``min_sites`` cannot reach that
+many sites.  The others get a HyperLogLog sketch of their sites, again a merging
+aggregate.  Where the estimate lies within ``band`` of the threshold the sites are
+counted exactly.  Lines on ``min_sites`` sites or more are removed from every document
+but the first that has them (or from all).
+
+A line that fills more than its share of a partition is dealt over as many slots as it
+fills shares, in every join that has it.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import written
+from fieldspark.llm.common import ROW, discard, partitions, row_key, struct_of, written
 
 #: The white space that is stripped from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
@@ -31,26 +35,46 @@ class LineParams:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(_rk, ord, site, pos, h1, h2) of every line that is not blank."""
-    exploded = docs.select("_rk", "ord", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(hashes of the row, ord, site, pos, h1, h2) of every line that is not blank."""
+    exploded = docs.select(*ROW, "ord", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     key = F.btrim("line", F.lit(BLANKS))
-    return exploded.withColumn("key", key).where("key <> ''").select("_rk", "ord", "site", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+    return exploded.withColumn("key", key).where("key <> ''").select(*ROW, "ord", "site", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
 
 
-def boilerplate_lines(docs: DataFrame, p: LineParams) -> DataFrame:
-    """(h1, h2, first) of the lines spread over ``min_sites`` sites or more; ``first`` is the least (ord, pos) of a copy."""
-    lines = _lines(docs)
-    often = lines.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min(F.struct("ord", "pos", "_rk")).alias("first")).where(F.col("n") >= p.min_sites)
-    # written, so that both sides of the join are plain exchanges and Spark can split a very frequent line
-    often = written(often, "op6")
-    seen = lines.where("site is not null").join(often.hint("shuffle_hash"), ["h1", "h2"])
+def _deal(lines: DataFrame, counted: DataFrame, share: int) -> DataFrame:
+    """``lines`` with the columns of ``counted(h1, h2, rows, ...)``; a line of more than ``share`` rows is dealt over slots.
+
+    ``share`` is a fixed part of all rows, so no more lines than there are shares can be as frequent as that: the broadcast
+    that tells them is bounded by the number of partitions, whatever the data.
+    """
+    slots = F.ceil(F.col("rows") / share).cast("long")
+    hot = counted.where(F.col("rows") > share).select("h1", "h2", slots.alias("_slots"))
+    place = F.pmod(F.xxhash64(*ROW, "pos"), F.coalesce("_slots", F.lit(1).cast("long")))
+    dealt = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("_slot", place).drop("_slots")
+    copies = counted.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)))
+    return dealt.join(copies.hint("shuffle_hash"), ["h1", "h2", "_slot"]).drop("_slot")
+
+
+def boilerplate_places(docs: DataFrame, p: LineParams) -> DataFrame:
+    """(hashes of the row, pos) of every line to remove."""
+    lines = written(_lines(docs), "op6")
+    share = max(1, -(-lines.count() // (4 * partitions(docs.sparkSession))))
+    count = lines.groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.count("site").alias("sited"), F.min(F.struct("ord", "pos", *ROW)).alias("first"))
+    often = written(count.where(F.col("sited") >= p.min_sites).drop("sited"), "op6")
+    seen = written(_deal(lines, often, share), "op6")
     # one row per line and site first: copies on a hot site never meet in one place
-    spread = written(seen.groupBy("h1", "h2", "site").agg(F.first("first").alias("first")), "op6")
-    sketch = spread.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(p.lg_k))).alias("sites"), F.first("first").alias("first"))
-    sure = sketch.where(F.col("sites") > p.min_sites * (1 + p.band)).select("h1", "h2", "first")
-    near = sketch.where(F.col("sites").between(p.min_sites * (1 - p.band), p.min_sites * (1 + p.band))).select("h1", "h2", "first")
-    exact = spread.drop("first").join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.first("first").alias("first"))
-    return sure.unionByName(exact.where(F.col("sites") >= p.min_sites).select("h1", "h2", "first"))
+    spread = written(seen.where("site is not null").groupBy("h1", "h2", "site").agg(F.first("rows").alias("rows")), "op6")
+    sketch = spread.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(p.lg_k))).alias("sites"), F.first("rows").alias("rows"))
+    sure = sketch.where(F.col("sites") > p.min_sites * (1 + p.band)).select("h1", "h2", "rows")
+    near = sketch.where(F.col("sites").between(p.min_sites * (1 - p.band), p.min_sites * (1 + p.band))).select("h1", "h2")
+    exact = spread.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.first("rows").alias("rows"))
+    bad = written(sure.unionByName(exact.where(F.col("sites") >= p.min_sites).select("h1", "h2", "rows")), "op6")
+    found = _deal(seen.drop("rows"), bad, share)
+    if p.keep_first:
+        found = found.where(F.struct("ord", "pos", *ROW) != F.col("first"))
+    found = written(found.select(*ROW, "pos"), "op6")
+    discard(lines, often, seen, spread, bad)
+    return found
 
 
 def remove_boilerplate(docs: DataFrame, params: LineParams | None = None, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -59,22 +83,20 @@ def remove_boilerplate(docs: DataFrame, params: LineParams | None = None, id_col
     Lines are compared without blanks at their ends; blank lines are never removed.  A null text stays null (no lines);
     an empty one is one blank line.  A line's null sites count for nothing.  Copies inside one document count as one
     site; with ``keep_first`` the very first copy (least id, null ids before all, then position) stays.  Rows that repeat
-    an id and a text are treated alike.  Other columns stay as they are; an empty table gives an empty result.
+    an id and a text are treated alike.  Other columns stay as they are, whatever their names, but for columns named
+    ``n_lines`` or ``n_removed_lines``, which these replace; an empty table gives an empty result.
     """
     p = params or LineParams()
-    rk = F.xxhash64(F.col(id_col), F.col(text_col))
-    narrow = docs.select(rk.alias("_rk"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
-    bad = written(boilerplate_lines(narrow, p), "op6")
-    found = _lines(narrow).join(bad, ["h1", "h2"])
-    if p.keep_first:
-        found = found.where(F.struct("ord", "pos", "_rk") != F.col("first"))
-    drop = found.groupBy("_rk").agg(F.collect_set("pos").alias("_drop"))
-    keyed = docs.withColumn("_rk", rk).join(drop.hint("shuffle_hash"), "_rk", "left")
-    split = F.split(F.col(text_col), "\n")
+    narrow = docs.select(*row_key(id_col, text_col), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("ord"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
+    drop = boilerplate_places(narrow, p).groupBy(*ROW).agg(F.collect_set("pos").alias("_drop"))
+    keyed = docs.select(struct_of(docs), *row_key(id_col, text_col)).join(drop.hint("shuffle_hash"), list(ROW), "left").select("_row", "_drop")
+    text = F.col(f"_row.`{text_col}`")
+    split = F.split(text, "\n")
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")
     removed = F.coalesce(F.size("_drop"), F.lit(0)).cast("long")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     return keyed.select(
-        *[F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[(F.when(F.col("_drop").isNull(), text).otherwise(kept) if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in own],
         F.coalesce(F.size(split).cast("long"), F.lit(0).cast("long")).alias("n_lines"),
         removed.alias("n_removed_lines"),
     )

@@ -3,6 +3,8 @@ import random
 import brute
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from fieldspark.llm import cotraining, language_id, line_dedup, quality_rules
 from fieldspark.llm.queries import OP6_SQL
@@ -101,6 +103,102 @@ def test_lines_nulls_repeats_and_empty(make):
     assert line_dedup.remove_boilerplate(docs.where("false"), p).count() == 0
 
 
+def test_lines_and_languages_with_clashing_columns(make):
+    docs = make(["x\ny", "x\nz", "x", None], source=["a", "b", "c", "d"])
+    for c in ("_rk", "_rk2", "_drop", "_row", "h1", "pos", "site", "first", "_slot", "lang_pred", "score"):
+        docs = docs.withColumn(c, F.col("doc_id") + 100)
+    docs = docs.withColumn("n_lines", F.lit("mine"))
+    out = line_dedup.remove_boilerplate(docs, line_dedup.LineParams(min_sites=3))
+    assert out.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_removed_lines"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert {i: (r["text"], r["n_lines"], r["n_removed_lines"]) for i, r in rows.items()} == {0: ("x\ny", 2, 0), 1: ("z", 2, 1), 2: ("", 1, 1), 3: (None, 0, 0)}
+    assert all(r[c] == i + 100 for i, r in rows.items() for c in ("_rk", "_rk2", "_drop", "_row", "h1", "pos", "site", "first", "_slot"))
+    said = language_id.predict_languages(docs, language_id.fit_languages(docs))
+    assert sorted(said.columns) == sorted(docs.columns) and dict(said.dtypes)["lang_pred"] == "string" and said.count() == 4
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_a_hot_line_is_dealt_over_slots(make, spark, partitions):
+    texts = ["hot line\nown %d" % i for i in range(300)] + ["warm\nhot line"] * 20
+    docs = make(texts, source=[f"s{i % 40}" for i in range(320)]).repartition(partitions)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed_lines"], r["text"]) for r in line_dedup.remove_boilerplate(docs).collect()}
+    documents = docs.select("doc_id", "text", "source").toPandas()  # noqa: F841  read by name
+    assert got == {r[0]: (r[1], r[2], r[3]) for r in duckdb.sql(OP6_SQL).fetchall()}
+
+
+def test_language_sample_is_bounded(make):
+    """Repeated and null ids, and one text very many times, do not swell the sample; every language is learned."""
+    words = {f"l{k:03d}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ka", "lo", "mi", "nu")] for k in range(230)}
+    texts = [f"{' '.join(w * 3)}" for w in words.values() for _ in range(2)] + ["ein satz"] * 300
+    lang = [k for k in words for _ in range(2)] + ["de"] * 300
+    docs = make(texts, ids=[None if i % 2 else 5 for i in range(len(texts))], lang=lang)
+    model = language_id.fit_languages(docs, language_id.LanguageParams(dims=1 << 10, max_landmarks=300))
+    assert model.languages == sorted({*words, "de"}) and model.landmarks.shape[1] <= 300
+
+
+def test_kernel_ridge_equals_a_plain_twin():
+    """Kernel, Nystroem features and ridge solution once more, by sets of n-grams and dense targets."""
+    rng = random.Random(4)
+    p = language_id.LanguageParams(landmarks=5, dims=1 << 12)
+    texts = [" ".join(rng.choices(["the", "of", "house", "and"] if i % 3 else ["der", "und", "haus", "die"], k=8)) for i in range(60)]
+    labels = ["en" if i % 3 else "de" for i in range(60)]
+
+    def grams(t):
+        t = " " + t + " "
+        return {t[i : i + n] for n in range(1, p.max_n + 1) for i in range(len(t) - n + 1)}
+
+    rows = np.zeros((60, p.dims), np.uint8)
+    for t, r in zip(texts, rows, strict=True):
+        language_id.presence(t, p, r)
+    order = sorted(range(60), key=lambda i: labels[i])
+    model = language_id.fit_kernel_ridge(rows[order], [labels[i] for i in order], p)
+    got = model.scores(rows.astype(np.float32))
+    sets = [grams(t) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [i for k in ("de", "en") for i in [j for j in order if labels[j] == k][:5]]
+    kmm = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(kmm)
+    good = value > 1e-8 * value.max()
+    white = vector[:, good] / np.sqrt(value[good])
+    phi = np.array([[kernel(sets[a], sets[b]) for b in marks] for a in range(60)]) @ white
+    y = np.array([[1.0 if labels[i] == k else -1.0 for k in ("de", "en")] for i in range(60)])
+    weight = np.array([60 / (2 * labels.count(k)) for k in labels])[:, None]
+    w = np.linalg.solve(phi.T @ (weight * phi) + p.ridge * 60 * np.eye(phi.shape[1]), phi.T @ (weight * y))
+    want = phi @ w
+    assert (got.argmax(1) == want.argmax(1)).all() and np.abs(got - want).max() < 0.1
+
+
+def test_fences_equal_a_plain_twin(make):
+    """Quantiles of groups small enough for exact sketches, fences and filtering once more over lists."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["a", "bb", "#c", "dddd", "e&", "ff"], k=rng.randrange(40, 90))) + "\nx" * rng.randrange(3) for _ in range(240)]
+    lang, source = [("en", "fr")[i % 2] for i in range(240)], [f"s{i % 5 // 2}" for i in range(240)]
+    p = quality_rules.QualityParams(spread=1.0)
+    got = {r["doc_id"]: r for r in quality_rules.apply_quality_rules(make(texts, lang=lang, source=source), p).collect()}
+    metrics = list(quality_rules.METRICS)
+    good = [i for i in got if not got[i]["base_failed"]]
+    group = lambda i, key: [j for j in good if key(j) == key(i)]
+
+    def quantile(xs, q):
+        xs = sorted(xs)
+        return xs[min(len(xs) - 1, max(0, int(np.ceil(q * len(xs) - 1e-9)) - 1))]
+
+    for i in good:
+        wide = group(i, lambda j: lang[j])
+        wide = wide if len(wide) >= p.min_group else good
+        own = group(i, lambda j: (lang[j], source[j]))
+        own = own if len(own) >= p.min_group else wide
+        kept = True
+        for m in metrics:
+            up, down, outer, share = quality_rules.METRICS[m]
+            q, w = ([quantile([got[j][m] for j in g], x) for x in (1 - outer, 0.5, outer)] for g in (own, wide))
+            top = q[2] + p.spread * share * max(q[2] - q[1], w[2] - w[1]) if up else float("inf")
+            bottom = q[0] - p.spread * share * max(q[1] - q[0], w[1] - w[0]) if down else -float("inf")
+            kept = kept and bottom <= got[i][m] <= top
+        assert got[i]["kept"] == kept
+    assert 0 < sum(got[i]["kept"] for i in good) < len(good)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_languages(docs.where(~language_id.held_out()))
