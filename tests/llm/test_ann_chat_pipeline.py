@@ -81,11 +81,61 @@ def test_norms_of_any_size(spark):
 def test_small_blocks_give_the_same(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32).astype(float)
-    for p in (A.AnnParams(k=5), A.AnnParams(k=5, block=16), A.AnnParams(k=5, small=0, probes=32, block=8)):
+    # all queries are in the fitting sample, so a target of 1 makes the search exact
+    for p in (A.AnnParams(k=5, target=1.0), A.AnnParams(k=5, block=16, target=1.0), A.AnnParams(k=5, bucket=1, block=8, target=1.0)):
         got = {(r["query_id"], r["rank"]): r["vec_id"] for r in A.nearest_neighbours(vectors(spark, x), p).collect()}
         assert got == {(q, i + 1): v for q in range(0, 300, 20) for i, v in enumerate(exact(x, q, 5)[0])}
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_longer_hashes_keep_the_recall(spark, clustered):
+    """With buckets of 16 vectors the hash has two axes; probes are fitted, and clustered tables need few of them."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 24))
+    if clustered:
+        x = rng.normal(size=(200, 24))[rng.integers(0, 200, 6000)] + 0.1 * x
+    x = x.astype(np.float32).astype(float)
+    p = A.AnnParams(bucket=16)
+    assert A.second_axes(6000, 24, p) > 1 and A.second_axes(6000, 24, A.AnnParams()) == 1
+    made, fit = [], A.fitted_probes
+    A.fitted_probes = lambda *a: made.append((fit(*a), a[2])) or made[-1][0]
+    try:
+        rows = A.nearest_neighbours(vectors(spark, x), p, 40).collect()
+    finally:
+        A.fitted_probes = fit
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    share = sum(len(set(exact(x, q, 20)[0]) & g) for q, g in got.items()) / (20 * len(got))
+    assert sorted(got) == list(range(0, 6000, 40)) and share >= 0.9
+    probes, counts = made[0]
+    work = sum(probes[b] * n for b, n in counts.items()) / (6000 * 64 * A.second_axes(6000, 24, p))
+    assert not clustered or work < 0.1
+
+
+def test_fitted_probes_are_the_cheapest():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        band, place = rng.integers(0, 2, 12), rng.integers(0, 6, 12)
+        counts = {0: int(rng.integers(1, 50)), 1: int(rng.integers(1, 50))}
+        got = A.fitted_probes(place, band, counts, 6, 0.8)
+        found = lambda a: sum(place[i] < a[band[i]] for i in range(12))  # noqa: E731, B023
+        cost = lambda a: sum(a[b] * n for b, n in counts.items())  # noqa: E731, B023
+        assert found(got) >= 10
+        # no other choice finds as many for less
+        assert all(cost({0: a, 1: b}) >= cost(got) for a in range(1, 7) for b in range(1, 7) if found({0: a, 1: b}) >= found(got))
+
+
+def test_one_vector_very_often(spark):
+    x = np.random.default_rng(8).normal(size=(900, 8))
+    x[::3] = x[0]
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in A.nearest_neighbours(vectors(spark, x), A.AnnParams(k=4, block=32), 100).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert [v for _, v in sorted(got[0])] == [3, 6, 9, 12] and [v for _, v in sorted(got[300])] == [0, 3, 6, 9]
+
+
 def test_odd_vectors(spark):
     ok = [[1.0, 0.0], [1.0, 0.0], [0.5, 0.5], [-1.0, 0.0]]
     odd = [None, [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0], [1.0], []]
