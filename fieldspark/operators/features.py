@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.tapers import taper
 from fieldspark.operators.spectra import _detrended, _matrix
+from fieldspark.operators.windows import WindowScheme, sliding_windows
+
+Kernel = Callable[[Column], Column]
 
 
 def windowed_coherence(windows: DataFrame, a: str, b: str, length: int, share: float = 0.25, overlap: float = 0.5, family: str = "hann") -> DataFrame:
@@ -49,7 +53,46 @@ def windowed_coherence(windows: DataFrame, a: str, b: str, length: int, share: f
     return windows.mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "k int", "value double"]))
 
 
-Kernel = Callable[[Column], Column]
+@dataclass(frozen=True)
+class CoherenceFeature:
+    """Coherence of channel_1 at station_1 with channel_2 at station_2, and the kernel that makes weights of it."""
+
+    channel_1: str
+    station_1: str
+    channel_2: str
+    station_2: str
+    kernel: Kernel
+    share: float = 0.25
+    name: str = "striding_window_coherence"
+
+
+def paired_windows(series: DataFrame, feature: CoherenceFeature, s: WindowScheme) -> DataFrame:
+    """(station_1, [run_1,] w, n0, _a, _b): the windows of the two channels side by side.
+
+    Runs that begin at the same sample belong together, and so do their windows of one number.
+    """
+    keys = [c for c in ("station", "run") if c in series.columns]
+    side = lambda station, channel, name: sliding_windows(series.where(F.col("station") == station).select(*keys, "n", F.col(channel).alias(name)), keys, [name], s)
+    one, other = side(feature.station_1, feature.channel_1, "_a"), side(feature.station_2, feature.channel_2, "_b")
+    return one.join(other.select("w", "n0", "_b"), ["w", "n0"]).select(*keys, "w", "n0", "_a", "_b")
+
+
+def feature_weight_table(series: DataFrame, features: Sequence[CoherenceFeature], s: WindowScheme) -> DataFrame:
+    """(n0, weight) of one level's windows: the product over the features of their mean kernel values.
+
+    A window that a feature has no value for (the other station has no such window) has no row.
+    """
+    out = None
+    for f in features:
+        windows = paired_windows(series, f, s)
+        made = windowed_coherence(windows, "_a", "_b", s.length, f.share).withColumn("feature", F.lit(f.name))
+        one = feature_weights(made, {f.name: f.kernel}, ["n0"])
+        out = one if out is None else out.join(one.withColumnRenamed("weight", "_w"), "n0").withColumn("weight", F.col("weight") * F.col("_w")).drop("_w")
+    if out is None:
+        raise ValueError("no feature is given")
+    return out
+
+
 
 
 def threshold_kernel(at: float) -> Kernel:

@@ -169,7 +169,7 @@ class _State:
     steps: int = 0
     redescended: int = 0
     yy: float = 0.0
-    xy: np.ndarray = field(default_factory=lambda: np.zeros(2, complex))
+    ss: float = 0.0
 
 
 def _weights(stage: Column, size: Column, sigma: Column, p: RobustParams) -> Column:
@@ -201,7 +201,9 @@ def _steps_frame(spark, states: dict[tuple, dict[str, _State]], outputs: Sequenc
 
 
 def _cleaning(inputs: Sequence[str], outputs: Sequence[str], p: RobustParams) -> list[dict[str, Column]]:
-    """Columns to add one after the other: each output's cleaned data ``_<o>_c`` and psi' ``_<o>_psi`` under its band's state.
+    """Columns to add one after the other: each output's weighted residuals ``_<o>_e`` and psi' ``_<o>_psi`` under its band's state.
+
+    Cleaned data are the fit plus these.
 
     One projection a step, so that no expression is written out more than once; made once for all sweeps.
     """
@@ -216,41 +218,50 @@ def _cleaning(inputs: Sequence[str], outputs: Sequence[str], p: RobustParams) ->
     made = {}
     for o in outputs:
         stage, size, sigma = of(o)
-        yc = C.of(f"_{o}_f") + C.of(f"_{o}_d") * F.col(f"_{o}_w")
-        made |= {f"_{o}_c_re": yc.re, f"_{o}_c_im": yc.im, f"_{o}_psi": _psi(stage, F.col(f"_{o}_w"), size, sigma, p)}
+        e = C.of(f"_{o}_d") * F.col(f"_{o}_w")
+        made |= {f"_{o}_e_re": e.re, f"_{o}_e_im": e.im, f"_{o}_psi": _psi(stage, F.col(f"_{o}_w"), size, sigma, p)}
     return [*steps, made]
 
 
 def _sweep_sums(inputs: Sequence[str], z: Sequence[str], outputs: Sequence[str]) -> list[Column]:
     sums = []
     for o in outputs:
-        yc = C.of(f"_{o}_c")
-        sums += [F.sum(yc.abs2()).alias(f"{o}_yy"), F.sum(f"_{o}_psi").alias(f"{o}_psi")]
+        e = C.of(f"_{o}_e")
+        sums += [F.sum((C.of(f"_{o}_f") + e).abs2()).alias(f"{o}_yy"), F.sum(e.abs2()).alias(f"{o}_ss"), F.sum(f"_{o}_psi").alias(f"{o}_psi")]
         for i in (0, 1):
-            sums += (C.of(inputs[i]).conj() * yc).sum().named(f"{o}_x{i}")
+            sums += (C.of(inputs[i]).conj() * e).sum().named(f"{o}_x{i}")
             if z[i] != inputs[i]:
-                sums += (C.of(z[i]).conj() * yc).sum().named(f"{o}_z{i}")
+                sums += (C.of(z[i]).conj() * e).sum().named(f"{o}_z{i}")
     return sums
 
 
 def _sweep(obs: DataFrame, states, inputs, z, outputs, steps: list[dict[str, Column]], sums: list[Column]) -> dict[tuple, dict]:
-    """One pass: for each band and output the sums over cleaned data that the next step needs."""
+    """One pass: for each band and output the sums over cleaned data and their residuals that the next step needs."""
     df = obs.join(F.broadcast(_steps_frame(obs.sparkSession, states, outputs)), list(GROUP))
     for columns in steps:
         df = df.withColumns(columns)
     got = df.groupBy(*GROUP).agg(*sums).collect()
     pair = lambda r, o, k: np.array([complex(r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_re"], r[f"{o}_{k if z[i] != inputs[i] else 'x'}{i}_im"]) for i in (0, 1)])
-    return {(r["level"], r["band"]): {o: {"yy": r[f"{o}_yy"], "psi": r[f"{o}_psi"], "xy": pair(r, o, "x"), "zy": pair(r, o, "z")} for o in outputs} for r in got}
+    return {(r["level"], r["band"]): {o: {"yy": r[f"{o}_yy"], "ss": r[f"{o}_ss"], "psi": r[f"{o}_psi"], "xe": pair(r, o, "x"), "ze": pair(r, o, "z")} for o in outputs} for r in got}
+
 
+def _advance(s: _State, got: dict, p: RobustParams) -> None:
+    """Take the sums of one pass into the state: estimate, residual variance, and the stage that comes next.
 
-def _advance(s: _State, got: dict, p: RobustParams, remote: bool) -> None:
-    """Take the sums of one pass into the state: estimate, residual variance, and the stage that comes next."""
+    The estimate moves by what the residuals still hold, and their sum of squares follows from that move, which is small:
+    nothing cancels, however good the fit.  Only the first estimate has the data themselves as residuals; the pass after
+    it ("refine") gives it a variance that is as sound.
+    """
     old = s.b
-    s.b = np.linalg.solve(s.zx, got["zy"])
-    s.yy, s.xy = got["yy"], got["xy"]
-    explained = 2 * np.real(np.vdot(s.b, got["xy"])) - np.real(np.vdot(s.b, s.xx @ s.b)) if remote else np.real(np.vdot(got["xy"], np.linalg.solve(s.xx, got["xy"])))
-    s.var = max((got["yy"] - explained) / s.n, 0.0)
+    move = np.linalg.solve(s.zx, got["ze"])
+    s.b = old + move
+    s.yy = got["yy"]
+    s.ss = max(got["ss"] - 2 * np.real(np.vdot(move, got["xe"])) + np.real(np.vdot(move, s.xx @ move)), 0.0)
+    s.var = s.ss / s.n
     if s.stage == "start":
+        s.stage = "refine"
+        return
+    if s.stage == "refine":
         s.stage = "huber" if p.max_iterations > 0 else ("redescend" if p.max_redescending else "done")
         return
     s.psi = got["psi"] / s.n
@@ -295,15 +306,15 @@ def robust(obs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], refere
         if solvable:
             states[key] = {o: _State(r["n"], m["xx"], m["zx"]) for o in outputs}
             for o, s in states[key].items():  # least squares on the raw data, from the sums there are
-                sums = {f"{k}y": np.array([complex(r[f"{o}_raw{k}{i}_re"], r[f"{o}_raw{k}{i}_im"]) for i in (0, 1)]) for k in ("x", "z")}
-                _advance(s, {"yy": r[f"{o}_raw"], "psi": r["n"], **sums}, p, remote)
+                sums = {f"{k}e": np.array([complex(r[f"{o}_raw{k}{i}_re"], r[f"{o}_raw{k}{i}_im"]) for i in (0, 1)]) for k in ("x", "z")}
+                _advance(s, {"yy": r[f"{o}_raw"], "ss": r[f"{o}_raw"], "psi": r["n"], **sums}, p)
     steps, sums = _cleaning(inputs, outputs, p), _sweep_sums(inputs, z, outputs)
     while any(s.stage != "done" for per in states.values() for s in per.values()):
         live = {k: per for k, per in states.items() if any(s.stage != "done" for s in per.values())}
         for key, got in _sweep(obs, live, inputs, z, outputs, steps, sums).items():
             for o, s in live[key].items():
                 if s.stage != "done":
-                    _advance(s, got[o], p, remote)
+                    _advance(s, got[o], p)
     rows = []
     for key, r in base.items():
         for o in outputs:
@@ -311,13 +322,12 @@ def robust(obs: DataFrame, inputs: Sequence[str], outputs: Sequence[str], refere
             if s is None:
                 rows += [(*key, o, x, None, None, r["n"], 0, None, None, None, None, True) for x in inputs]
                 continue
-            # residuals of the cleaned and of the raw data under the final estimate, from sums
+            # residuals of the raw data under the final estimate, from sums
             quad = np.real(np.vdot(s.b, s.xx @ s.b))
-            ssr_clean = max(s.yy - 2 * np.real(np.vdot(s.b, s.xy)) + quad, 0.0)
             raw_xy = np.array([complex(r[f"{o}_rawx{i}_re"], r[f"{o}_rawx{i}_im"]) for i in (0, 1)])
             ssr = max(r[f"{o}_raw"] - 2 * np.real(np.vdot(s.b, raw_xy)) + quad, 0.0)
             dof = s.n - 2
-            cov_nn = float(ssr_clean / s.psi**2 / dof) if dof > 0 and s.psi else None
+            cov_nn = float(s.ss / s.psi**2 / dof) if dof > 0 and s.psi else None
             inv = np.linalg.inv(s.zx)
             cov_ss = inv @ s.xx @ inv.conj().T if remote else np.linalg.inv(s.xx)
             r2 = max(0.0, float(1 - ssr / s.yy)) if s.yy > 0 else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -54,9 +55,27 @@ def ascending_periods(tf: DataFrame) -> DataFrame:
 
 def clip_bands(tf: DataFrame, n: int) -> DataFrame:
     """Without the ``n`` longest periods."""
-    periods = tf.select("period").distinct()
-    ranked = periods.withColumn("_r", F.row_number().over(W.orderBy(F.desc("period"))))
-    return tf.join(F.broadcast(ranked.where(F.col("_r") > n).select("period")), "period", "left_semi")
+    longest = tf.select("period").distinct().orderBy(F.desc("period")).limit(n)
+    return tf.join(F.broadcast(longest), "period", "left_anti")
+
+
+def period_limits(tf: DataFrame) -> tuple[float, float]:
+    """Ends of a logarithmic axis for the table's periods: half decades, and 0.3 decades more where one is nearer than 0.15."""
+    r = tf.agg(F.min("period").alias("lo"), F.max("period").alias("hi")).first()
+    return _axis(r["lo"], r["hi"], 2)
+
+
+def resistivity_limits(tf: DataFrame) -> tuple[float, float]:
+    """The same for ``rho``, by whole decades; what does not vary gets 0.01 to 10,000."""
+    r = tf.agg(F.min("rho").alias("lo"), F.max("rho").alias("hi")).first()
+    lo, hi = _axis(max(r["lo"], 1e-20), max(r["hi"], 1e-20), 1)
+    return (0.01, 1e4) if abs(hi - lo) <= 1 else (lo, hi)
+
+
+def _axis(lo: float, hi: float, per_decade: int) -> tuple[float, float]:
+    a, b = math.log10(lo), math.log10(hi)
+    down, up = math.floor(a * per_decade) / per_decade, math.ceil(b * per_decade) / per_decade
+    return 10 ** (down - 0.3 * (a - down < 0.15)), 10 ** (up + 0.3 * (up - b < 0.15))
 
 
 # --------------------------------------------------------------------------- comparison on common periods

@@ -1,18 +1,22 @@
 """Sliding windows over sample numbers.
 
 Window w of length L and advance A = L - overlap covers samples [w A, w A + L)
-counted from the series' first.  Every sample goes to the ceil(L / A) windows it
-belongs to and windows are grouped by (series, w): one long series is many groups,
-and each group is L samples.  Only whole windows exist.
+counted from the series' first.  A series is cut into blocks of some windows' advances,
+each with the overlap that its last windows reach into: one long series is many groups
+of bounded size, and a sample is moved once, or twice near a block's edge.  Windows are
+slices of a block.  Only whole windows exist.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from fieldspark.functions.tapers import TaperFactors, taper
 from fieldspark.operators.series import extent
@@ -85,12 +89,51 @@ def assign_windows(df: DataFrame, keys: Sequence[str], s: WindowScheme) -> DataF
     return out.drop("_n_win", "_r", "_first", "_last", "n_last")
 
 
-def sliding_windows(df: DataFrame, keys: Sequence[str], values: Sequence[str], s: WindowScheme) -> DataFrame:
-    """One row per (series, w): ``n0``, the first sample number, and an array per channel.  Incomplete windows are left out."""
-    cells = assign_windows(df, keys, s)
-    rows = cells.groupBy(*keys, "w").agg(F.first("n_first").alias("_n_first"), F.sort_array(F.collect_list(F.struct("j", *values))).alias("_x"))
-    rows = rows.where(F.size("_x") == s.length)
-    return rows.select(*keys, "w", (F.col("_n_first") + F.col("w") * s.advance).alias("n0"), *[F.col(f"_x.{v}").alias(v) for v in values])
+def _slice_pass(n_keys: int, names: list[str], per_block: int, length: int, advance: int):
+    """Of (keys, block, first sample number, samples in order): the block's whole windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, first = (batch.column(n_keys + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(n_keys + 2)
+            ends = np.cumsum(np.asarray(lists.value_lengths()))
+            flat = lists.flatten()
+            at = np.asarray(flat.field(0))
+            row, w, place = [], [], []
+            for i, end in enumerate(ends):
+                begin = ends[i - 1] if i else 0
+                number = block[i] * per_block + np.arange(per_block)
+                start = begin + np.searchsorted(at[begin:end], number * advance)
+                start, number = start[start + length <= end], number[start + length <= end]
+                whole = (at[start] == number * advance) & (at[start + length - 1] == number * advance + length - 1)
+                row.append(np.full(int(whole.sum()), i))
+                w.append(number[whole])
+                place.append(start[whole])
+            row, w, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, w, place))
+            take = pa.array((place[:, None] + np.arange(length)).ravel())
+            offsets = pa.array(np.arange(len(w) + 1, dtype=np.int32) * length)
+            out = [batch.column(i).take(pa.array(row)) for i in range(n_keys)] + [pa.array(w), pa.array(first[row] + w * advance)]
+            out += [pa.ListArray.from_arrays(offsets, flat.field(j + 1).take(take)) for j in range(len(names) - n_keys - 2)]
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+def sliding_windows(df: DataFrame, keys: Sequence[str], values: Sequence[str], s: WindowScheme, per_block: int = 64) -> DataFrame:
+    """One row per (series, w): ``n0``, the first sample number, and an array per channel.  Incomplete windows are left out.
+
+    ``per_block`` windows are cut from one block; it does not change the result.
+    """
+    per_block = max(per_block, -(-s.overlap // s.advance))
+    size = per_block * s.advance
+    at = F.col("n") - F.col("n_first")
+    own = F.floor(at / size)
+    reach = F.array_compact(F.array(own, F.when((F.pmod(at, F.lit(size)) < s.overlap) & (own > 0), own - 1)))
+    placed = df.select(*keys, "n", *values).join(extent(df, keys).select(*keys, "n_first"), list(keys)).select(*keys, F.explode(reach).alias("_b"), "n_first", F.struct(at.alias("_r"), *values).alias("_s"))
+    rows = placed.groupBy(*keys, "_b", "n_first").agg(F.sort_array(F.collect_list("_s")).alias("_x"))
+    kinds = {f.name: f for f in df.schema.fields}
+    fields = [*[kinds[k] for k in keys], StructField("w", LongType()), StructField("n0", LongType()), *[StructField(v, ArrayType(kinds[v].dataType)) for v in values]]
+    return rows.select(*keys, "_b", "n_first", "_x").mapInArrow(_slice_pass(len(keys), [f.name for f in fields], per_block, s.length, s.advance), StructType(fields))
 
 
 def window_edges(df: DataFrame, keys: Sequence[str], s: WindowScheme) -> DataFrame:

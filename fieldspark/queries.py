@@ -6,12 +6,16 @@ makes floating-point results comparable between engines.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldspark.functions.complexcol import C, clean
+from fieldspark.functions.physics import correction_factor
 from fieldspark.functions.tapers import FAMILIES, TaperFactors, taper
 from fieldspark.operators import bands as B
 from fieldspark.operators import crosspower as X
@@ -22,9 +26,10 @@ from fieldspark.operators import series as S
 from fieldspark.operators import spectra as SP
 from fieldspark.operators import transfer as T
 from fieldspark.operators import windows as WN
+from fieldspark.operators.lineage import shared_dir
 from fieldspark.plans import planning as P
 from fieldspark.plans.config import create_config
-from fieldspark.plans.process import process
+from fieldspark.plans.process import CoefficientStore, process
 from fieldspark.sources import tables
 from fieldspark.sources.bandfile import DEFAULT_BANDS, band_table
 
@@ -106,12 +111,14 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
     return tables.daily_series(spark, d)
 
 
-def windows(spark: SparkSession, d: str) -> DataFrame:
-    return WN.sliding_windows(daily(spark, d), ["station"], CH, SCHEME)
+def windows(spark: SparkSession, d: str, station: str | None = None) -> DataFrame:
+    series = daily(spark, d)
+    return WN.sliding_windows(series if station is None else series.where(F.col("station") == station), ["station"], CH, SCHEME)
 
 
-def coefficients(spark: SparkSession, d: str) -> DataFrame:
-    return SP.transform(windows(spark, d), CH, SCHEME, k_lo=5, k_hi=30)
+def coefficients(spark: SparkSession, d: str, station: str | None = None) -> DataFrame:
+    """Coefficients; a station is picked from the series, as no filter passes the transform."""
+    return SP.transform(windows(spark, d, station), CH, SCHEME, k_lo=5, k_hi=30)
 
 
 def level0_bands(spark: SparkSession) -> DataFrame:
@@ -119,12 +126,11 @@ def level0_bands(spark: SparkSession) -> DataFrame:
 
 
 def local_obs(spark: SparkSession, d: str) -> DataFrame:
-    return B.assign_bands(coefficients(spark, d).where("station = 'O'").withColumn("level", F.lit(0)), level0_bands(spark))
+    return B.assign_bands(coefficients(spark, d, "O").withColumn("level", F.lit(0)), level0_bands(spark))
 
 
 def remote_obs(spark: SparkSession, d: str) -> DataFrame:
-    fc = coefficients(spark, d)
-    joined = SP.align_local_remote(fc.where("station = 'O'"), fc.where("station = 'F'"), ["hx", "hy"])
+    joined = SP.align_local_remote(coefficients(spark, d, "O"), coefficients(spark, d, "F"), ["hx", "hy"])
     return B.assign_bands(joined.withColumn("level", F.lit(0)), level0_bands(spark))
 
 
@@ -160,25 +166,15 @@ def drop_short_runs(spark, d):
     return P.drop_short(tables.customer_runs(spark, d), 1500 * 86400.0).select("station", "run")
 
 
-@query(f"""WITH {RUNS_SQL} SELECT a.station, a.run, b.station AS remote_station, b.run AS remote_run, greatest(a."start", b."start") AS "start", least(a."end", b."end") AS "end"
-  FROM runs a JOIN runs b ON a."start" < b."end" AND b."start" < a."end" WHERE a.station = '0' AND b.station = '1' AND a."start" < a."end" AND b."start" < b."end" """)
-def simultaneous_intervals(spark, d):
-    runs = tables.customer_runs(spark, d)
-    return P.simultaneous_intervals(runs.where("station = '0'"), runs.where("station = '1'"), 720 * 86400)
-
-
-@query(f"""WITH {RUNS_SQL}, pair AS (SELECT a.station, a.run, b.station AS rs, b.run AS rr, greatest(a."start", b."start") AS s, least(a."end", b."end") AS e
-  FROM runs a JOIN runs b ON a."start" < b."end" AND b."start" < a."end" WHERE a.station = '0' AND b.station = '1' AND a."start" < a."end" AND b."start" < b."end")
-  SELECT station, false AS remote, count(*) AS n, round(sum(epoch_us(e) / 1e6 - epoch_us(s) / 1e6), 3) AS duration FROM pair GROUP BY ALL
-  UNION ALL SELECT rs, true, count(*), round(sum(epoch_us(e) / 1e6 - epoch_us(s) / 1e6), 3) FROM pair GROUP BY ALL""")
-def kernel_rows(spark, d):
-    rows = P.kernel_rows(simultaneous_intervals(spark, d))
-    return rounded(rows.groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration")), 3)
+PAIRS_SQL = RUNS_SQL + """, pair AS (
+  SELECT a.station, a.run, b.station AS remote_station, b.run AS remote_run, greatest(a."start", b."start") AS "start", least(a."end", b."end") AS "end"
+  FROM runs a JOIN runs b ON b.station = CAST((CAST(a.station AS BIGINT) + 1) % (SELECT max(n_nationkey) + 1 FROM nation) AS VARCHAR) AND a."start" < b."end" AND b."start" < a."end"
+  WHERE a."start" < a."end" AND b."start" < b."end")"""
 
 
-@query()
-def simultaneous_intervals_all_stations(spark, d):
-    """Every station against the next nation as its remote partner, the last against the first; no SQL."""
+@query(f"WITH {PAIRS_SQL} SELECT * FROM pair")
+def simultaneous_intervals(spark, d):
+    """Every station against the next nation as its remote partner, the last against the first."""
     runs = tables.customer_runs(spark, d)
     nations = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
     last = nations.agg(F.max("i").alias("last"))
@@ -188,9 +184,10 @@ def simultaneous_intervals_all_stations(spark, d):
     return P.simultaneous_intervals(runs, runs, 720 * 86400, partners)
 
 
-@query()
-def kernel_rows_all_stations(spark, d):
-    rows = P.kernel_rows(simultaneous_intervals_all_stations(spark, d))
+@query(f"""WITH {PAIRS_SQL}, d AS (SELECT *, epoch_us("end") / 1e6 - epoch_us("start") / 1e6 AS sec FROM pair)
+  SELECT station, false AS remote, count(*) AS n, round(sum(sec), 3) AS duration FROM d GROUP BY ALL UNION ALL SELECT remote_station, true, count(*), round(sum(sec), 3) FROM d GROUP BY ALL""")
+def kernel_rows(spark, d):
+    rows = P.kernel_rows(simultaneous_intervals(spark, d))
     return rounded(rows.groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration")), 3)
 
 
@@ -249,14 +246,14 @@ def nan_to_mean(spark, d):
     return rounded(S.nan_to_mean(densify_time_axis(spark, d), ["station", "channel"], ["v"]), 9)
 
 
-@query(f"WITH {HOURLY_SQL} SELECT station, channel, CAST(count(*) AS BIGINT) AS n FROM dense WHERE v IS NOT NULL GROUP BY ALL")
+@query(f"WITH {HOURLY_SQL} SELECT station, channel, n, v FROM dense WHERE v IS NOT NULL")
 def drop_incomplete(spark, d):
-    return S.drop_incomplete(densify_time_axis(spark, d), ["v"], finite=True).groupBy("station", "channel").agg(F.count("*").alias("n"))
+    return S.drop_incomplete(densify_time_axis(spark, d), ["v"], finite=True)
 
 
-@query(f"""WITH {HOURLY_SQL} SELECT station, channel FROM hourly WHERE n < 100 GROUP BY 1, 2 HAVING sum(abs(CASE WHEN channel = 'error' THEN 0 ELSE v END)) = 0""")
+@query(f"""WITH {HOURLY_SQL} SELECT station, channel FROM hourly GROUP BY 1, 2 HAVING sum(abs(CASE WHEN channel = 'error' THEN 0 ELSE v END)) = 0""")
 def all_zero_runs(spark, d):
-    # all hours; the SQL looks at the first 100 only, which have every channel in the given tables
+    # the channel "error" is made all zero, so that there is one
     h = tables.hourly_events(spark, d)
     return S.all_zero_runs(h.withColumn("v", F.when(F.col("channel") == "error", 0.0).otherwise(F.col("v"))), ["station", "channel"], ["v"])
 
@@ -273,11 +270,12 @@ def time_axis_match(spark, d):
     return S.axes_match(x.where("station = 'O'"), x.where("station = 'F'"))
 
 
-@query(f"""WITH {HOURLY_SQL}, lim AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(n) AS lo, max(n) AS hi FROM hourly WHERE station = '0' UNION ALL SELECT min(n), max(n) FROM hourly WHERE station = '1' AND n > 50))
-  SELECT 'a' AS side, channel, n FROM hourly, lim WHERE station = '0' AND n BETWEEN lo AND hi UNION ALL SELECT 'b', channel, n FROM hourly, lim WHERE station = '1' AND n > 50 AND n BETWEEN lo AND hi""")
+@query(f"""WITH {HOURLY_SQL}, lim AS (SELECT max(lo) AS lo, min(hi) AS hi FROM (SELECT min(n) AS lo, max(n) AS hi FROM hourly WHERE station = '0' UNION ALL SELECT min(n) + 50, max(n) + 50 FROM hourly WHERE station = '1'))
+  SELECT 'a' AS side, channel, n FROM hourly, lim WHERE station = '0' AND n BETWEEN lo AND hi UNION ALL SELECT 'b', channel, n + 50 FROM hourly, lim WHERE station = '1' AND n + 50 BETWEEN lo AND hi""")
 def overlap_trim(spark, d):
     h = tables.hourly_events(spark, d)
-    a, b = S.overlap_trim(h.where("station = '0'"), h.where("station = '1' and n > 50"))
+    # the second station's clock is 50 hours ahead
+    a, b = S.overlap_trim(h.where("station = '0'"), h.where("station = '1'").withColumn("n", F.col("n") + 50))
     return a.select(F.lit("a").alias("side"), "channel", "n").unionByName(b.select(F.lit("b").alias("side"), "channel", "n"))
 
 
@@ -376,13 +374,41 @@ def taper_factors(spark, d):
     return rounded(spark.createDataFrame(rows, "family string, s1 double, s2 double, coherent_gain double, nenbw double"), 9)
 
 
-@query()
-def taper_families(spark, d):
-    args = {"kaiser": (8.0,), "gaussian": (16.0,), "general_gaussian": (1.5, 16.0), "tukey": (0.25,), "chebwin": (80.0,), "dpss": (2.5,), "slepian": (2.5,)}
-    rows = [(f, j, float(v)) for f in sorted(FAMILIES) for j, v in enumerate(taper(f, 64, *args.get(f, ())))]
+COSINE_SUMS = {
+    "hann": (0.5, 0.5), "hamming": (0.54, 0.46), "blackman": (0.42, 0.5, 0.08), "blackmanharris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411), "flattop": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+}
+TAPER_ARGS = {"kaiser": (8.0,), "gaussian": (16.0,), "general_gaussian": (1.5, 16.0), "tukey": (0.25,), "chebwin": (80.0,), "dpss": (2.5,), "slepian": (2.5,)}
+#: Of 64 samples; j counts them, c is the distance from the middle of the 65 of the symmetric form.
+TAPER_SQL = {
+    "boxcar": "1.0", "bartlett": "1 - abs(c) / 32", "triang": "1 - abs(c) / 33", "parzen": "CASE WHEN abs(c) / 32.5 <= 0.5 THEN 1 - 6 * power(abs(c) / 32.5, 2) * (1 - abs(c) / 32.5) ELSE 2 * power(1 - abs(c) / 32.5, 3) END",
+    "bohman": "greatest((1 - abs(c) / 32) * cos(pi() * abs(c) / 32) + sin(pi() * abs(c) / 32) / pi(), 0)", "barthann": "0.62 - 0.48 * abs(j / 64.0 - 0.5) + 0.38 * cos(2 * pi() * abs(j / 64.0 - 0.5))",
+    "kaiser": "(SELECT sum(power(4 * sqrt(greatest(0, 1 - power(c / 32, 2))), 2 * m) / power(gamma(m + 1), 2)) FROM m) / (SELECT sum(power(4.0, 2 * m) / power(gamma(m + 1), 2)) FROM m)",
+    "gaussian": "exp(-0.5 * power(abs(c) / 16, 2))", "general_gaussian": "exp(-0.5 * power(abs(c) / 16, 3))",
+    "tukey": "CASE WHEN least(j, 64 - j) / 32.0 < 0.25 THEN 0.5 * (1 - cos(pi() * least(j, 64 - j) / 32.0 / 0.25)) ELSE 1.0 END",
+    "chebwin": "(SELECT w FROM cheb WHERE k = abs(c)) / (SELECT max(w) FROM cheb)",
+} | {f: " + ".join(f"{(-1) ** i * a} * cos(2 * pi() * {i} * j / 64)" for i, a in enumerate(v)) for f, v in COSINE_SUMS.items()}
+TAPERS_SQL = """WITH j AS (SELECT j, CAST(j - 32 AS DOUBLE) AS c FROM (SELECT unnest(range(0, 64)) AS j)), m AS (SELECT CAST(unnest(range(0, 41)) AS DOUBLE) AS m),
+  x AS (SELECT m, cosh(acosh(10000.0) / 64) * cos(pi() * m / 65) AS x FROM (SELECT unnest(range(0, 65)) AS m)), p AS (SELECT m, CASE WHEN abs(x) > 1 THEN cosh(64 * acosh(abs(x))) ELSE cos(64 * acos(x)) END AS p FROM x),
+  cheb AS (SELECT k, sum(p * cos(2 * pi() * ((k * m) % 65) / 65)) AS w FROM p, (SELECT unnest(range(0, 33)) AS k) GROUP BY k) """ + " UNION ALL ".join(f"SELECT '{f}' AS family, CAST(j AS INTEGER) AS j, round({e}, 9) + 0.0 AS v FROM j" for f, e in TAPER_SQL.items())
+
+
+def _tapers(spark, families) -> DataFrame:
+    rows = [(f, j, float(v)) for f in sorted(families) for j, v in enumerate(taper(f, 64, *TAPER_ARGS.get(f, ())))]
     return rounded(spark.createDataFrame(rows, "family string, j int, v double"), 9)
 
 
+@query(TAPERS_SQL)
+def taper_families(spark, d):
+    return _tapers(spark, TAPER_SQL)
+
+
+@query()
+def taper_prolate(spark, d):
+    """Prolate spheroidal tapers are eigenvectors: no SQL."""
+    return _tapers(spark, set(FAMILIES) - set(TAPER_SQL))
+
+
 # --------------------------------------------------------------------------- spectra and bands
 
 
@@ -411,7 +437,14 @@ def calibrate(spark, d):
     return rounded(SP.calibrate(coefficients(spark, d), resp, ["hx", "ex"], {"ex": 10.0}).select("station", "w", "k", "hx_re", "hx_im", "ex_re", "ex_im"))
 
 
-@query()
+def _slope_sql(c: str) -> str:
+    return f"CASE WHEN lag(n) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead(n) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END AS {c}"
+
+
+WHITE_SQL = f"{DAILY_SQL}, white AS (SELECT station, n, {', '.join(map(_slope_sql, CH))} FROM daily WINDOW w AS (PARTITION BY station ORDER BY n))" + FC_SQL.replace(DAILY_SQL, "", 1).replace("FROM daily d JOIN", "FROM white d JOIN")
+
+
+@query(f"WITH {WHITE_SQL} SELECT station, w, n0, k, " + ", ".join(f"round({c}_im / (2 * pi() * k / 128), 6) + 0.0 AS {c}_re, round(-{c}_re / (2 * pi() * k / 128), 6) + 0.0 AS {c}_im" for c in CH) + " FROM fc")
 def prewhitened_stft(spark, d):
     return rounded(SP.stft(daily(spark, d), ["station"], CH, SCHEME, True, "linear", 5, 30))
 
@@ -433,7 +466,7 @@ def band_assignment(spark, d):
 
 @query(f"WITH {OBS_SQL} SELECT CAST(band AS INTEGER) AS band, CAST(count(*) AS BIGINT) AS n FROM obs GROUP BY ALL")
 def band_by_frequency(spark, d):
-    fc = coefficients(spark, d).where("station = 'O'")
+    fc = coefficients(spark, d, "O")
     return B.assign_bands_by_frequency(fc, level0_bands(spark), F.col("k") / 128.0).groupBy("band").agg(F.count("*").alias("n"))
 
 
@@ -535,28 +568,105 @@ def edf_leverage_one_pass(spark, d):
     return rounded(j.select("band", "w", "k", edf.alias("edf")))
 
 
-@query()
+def _moments_sql(source: str, a: str, b: str, where: str = "", keys: str = "band") -> str:
+    """Counts and means, and the inverse of the 2 x 2 covariance made of them."""
+    return f"""SELECT *, CASE WHEN det = 0 THEN 1e-4 ELSE s11 / det END AS h00, CASE WHEN det = 0 THEN 1e-4 ELSE s00 / det END AS h11, CASE WHEN det = 0 THEN 1e-4 ELSE -cr / det END AS hr, CASE WHEN det = 0 THEN 0 ELSE -ci / det END AS hi FROM (
+    SELECT *, s00 * s11 - cr * cr - ci * ci AS det FROM (SELECT {keys}, count(*) AS n, avg({a}_re * {a}_re + {a}_im * {a}_im) AS s00, avg({b}_re * {b}_re + {b}_im * {b}_im) AS s11, avg({b}_re * {a}_re + {b}_im * {a}_im) AS cr, avg({b}_im * {a}_re - {b}_re * {a}_im) AS ci FROM {source} {where} GROUP BY {keys}))"""
+
+
+def _edf_sql(a: str, b: str, h: str) -> str:
+    return f"({a}_re * {a}_re + {a}_im * {a}_im) * {h}.h00 + ({b}_re * {b}_re + {b}_im * {b}_im) * {h}.h11 + 2 * (({b}_re * {a}_re + {b}_im * {a}_im) * {h}.hr - ({b}_re * {a}_im - {b}_im * {a}_re) * {h}.hi)"
+
+
+def edf_sql(rounds: int = 14) -> str:
+    """Leverage with the covariance of the inliers, round by round (a settled band stays), and the weights of both stations."""
+    parts = [f"WITH {OBS_SQL}, h0 AS MATERIALIZED ({_moments_sql('obsr', 'hx', 'hy')}), n0s AS (SELECT band, n AS n_all FROM h0)"]
+    for i in range(1, rounds + 1):
+        parts.append(f"e{i} AS MATERIALIZED (SELECT o.*, {_edf_sql('hx', 'hy', 'h')} AS edf FROM obsr o JOIN h{i - 1} h ON o.band = h.band)")
+        parts.append(f"m{i} AS MATERIALIZED ({_moments_sql(f'e{i}', 'hx', 'hy', 'WHERE edf <= 20.0')})")
+        cols = ", ".join(f"CASE WHEN coalesce(m.n, 0) IN (0, h.n) THEN h.{c} ELSE m.{c} END AS {c}" for c in ("h00", "h11", "hr", "hi"))
+        parts.append(f"h{i} AS MATERIALIZED (SELECT h.band, coalesce(m.n, 0) AS n, {cols} FROM h{i - 1} h LEFT JOIN m{i} m ON h.band = m.band)")
+    wt = lambda e: f"CASE WHEN {e} > 10 * sqrt(n_all) THEN 0.0 WHEN {e} > 2 * sqrt(n_all) THEN sqrt(2 * sqrt(n_all) / {e}) ELSE 1.0 END"
+    parts.append(f"q AS ({_moments_sql('obsr', 'r_hx', 'r_hy')}), both_edf AS (SELECT o.band, o.w, o.k, n_all, {_edf_sql('hx', 'hy', 'h')} AS el, {_edf_sql('r_hx', 'r_hy', 'q')} AS er FROM obsr o JOIN h{rounds} h ON o.band = h.band JOIN q ON o.band = q.band JOIN n0s ON o.band = n0s.band)")
+    parts.append(f"ww AS (SELECT band, w, k, {wt('el')} AS wl, {wt('er')} AS wr FROM both_edf)")
+    return ", ".join(parts) + " SELECT CAST(band AS INTEGER) AS band, w, k, round(CASE WHEN wr > 5 * wl OR wl > 5 * wr THEN 0.0 ELSE wl * wr END, 6) + 0.0 AS weight FROM ww"
+
+
+@query(edf_sql())
 def edf_weights(spark, d):
     w = R.leverage_weights(remote_obs(spark, d), ["hx", "hy"], ["r_hx", "r_hy"])
     return rounded(w.select("band", "w", "k", "weight"))
 
 
+def robust_sql(source: str, ref: tuple[str, str], p: R.RobustParams | None = None) -> str:
+    """The M-estimate with every pass written out: residuals are formed anew under each estimate, settled outputs stay."""
+    p = p or R.RobustParams()
+    outputs = ("ex", "ey", "hz")
+    row = lambda o: f"SELECT band, '{o}' AS output, hx_re AS x0r, hx_im AS x0i, hy_re AS x1r, hy_im AS x1i, {ref[0]}_re AS z0r, {ref[0]}_im AS z0i, {ref[1]}_re AS z1r, {ref[1]}_im AS z1i, {o}_re AS yr, {o}_im AS yi FROM {source}"
+    dot = lambda a, b: (f"sum({a}r * {b}r + {a}i * {b}i)", f"sum({a}r * {b}i - {a}i * {b}r)")
+    mul = lambda a, b: (f"({a}r * {b}r - {a}i * {b}i)", f"({a}r * {b}i + {a}i * {b}r)")
+    named = lambda pair, name: f"{pair[0]} AS {name}r, {pair[1]} AS {name}i"
+    minus = lambda a, b: (f"({a[0]} - {b[0]})", f"({a[1]} - {b[1]})")
+    over = lambda a: (f"({a[0]} * dr + {a[1]} * di) / (dr * dr + di * di)", f"({a[1]} * dr - {a[0]} * di) / (dr * dr + di * di)")
+    gram = ", ".join(named(dot(f"{s}{i}", f"x{j}"), f"{'g' if s == 'z' else 'q'}{i}{j}") for s in "zx" for i in (0, 1) for j in (0, 1))
+    fit = lambda s: (f"x0r * {s}.b0r - x0i * {s}.b0i + x1r * {s}.b1r - x1i * {s}.b1i", f"x0r * {s}.b0i + x0i * {s}.b0r + x1r * {s}.b1i + x1i * {s}.b1r")
+    solved = named(over(minus(mul("u0", "g11"), mul("g01", "u1"))), "b0") + ", " + named(over(minus(mul("g00", "u1"), mul("u0", "g10"))), "b1")
+
+    def estimate(cleaned: str) -> str:
+        sums = ", ".join(named(dot(f"z{i}", "c"), f"u{i}") for i in (0, 1))
+        return f"SELECT band, output, n, {solved}, yy, psi FROM (SELECT band, output, {sums}, sum(cr * cr + ci * ci) AS yy, avg(psi) AS psi FROM {cleaned} GROUP BY band, output) JOIN gram USING (band)"
+
+    parts = [
+        f"yl AS MATERIALIZED ({' UNION ALL '.join(map(row, outputs))})",
+        f"gram AS MATERIALIZED (SELECT *, {named(minus(mul('g00', 'g11'), mul('g01', 'g10')), 'd')} FROM (SELECT band, count(*) AS n, {gram} FROM yl WHERE output = 'ex' GROUP BY band))",
+        "c0 AS MATERIALIZED (SELECT *, yr AS cr, yi AS ci, 1.0 AS psi FROM yl)",
+        f"b0 AS MATERIALIZED ({estimate('c0')})",
+    ]
+    sq = lambda b: f"SELECT c.band, c.output, sum(power(cr - ({fit('b')[0]}), 2) + power(ci - ({fit('b')[1]}), 2)) AS ss FROM {{}} c JOIN {b} b ON c.band = b.band AND c.output = b.output GROUP BY ALL"
+    parts.append(f"v0 AS MATERIALIZED ({sq('b0').format('c0')})")
+    cols = ("n", "b0r", "b0i", "b1r", "b1i", "yy")
+    parts.append("st0 AS MATERIALIZED (SELECT b.*, v.ss, v.ss / b.n AS var, 1 AS stage, 0 AS steps, 0 AS red FROM b0 b JOIN v0 v USING (band, output))")
+    factor = correction_factor(p.r0)
+    last = p.max_iterations + p.max_redescending
+    for i in range(1, last + 1):
+        weight = f"""CASE WHEN stage = 1 THEN CASE WHEN size <= {p.r0} * sg THEN 1.0 ELSE {p.r0} * sg / size END WHEN stage = 2 THEN exp(-exp(least({p.u0} * (size / sg - {p.u0}), 700.0))) ELSE 1.0 END"""
+        psi = f"CASE WHEN stage = 1 THEN CASE WHEN wt = 1 THEN 1.0 ELSE 0.0 END WHEN stage = 2 THEN greatest(wt * (1 - {p.u0} * exp(least({p.u0} * (size / sg - {p.u0}), 700.0)) * (size / sg)), 0.0) ELSE 1.0 END"
+        parts.append(f"f{i} AS (SELECT y.*, s.stage, sqrt(greatest(s.var, 0)) AS sg, {fit('s')[0]} AS fr, {fit('s')[1]} AS fi FROM yl y JOIN st{i - 1} s ON y.band = s.band AND y.output = s.output WHERE s.stage < 3)")
+        parts.append(f"r{i} AS (SELECT *, sqrt(power(yr - fr, 2) + power(yi - fi, 2)) AS size FROM f{i}), t{i} AS (SELECT *, {weight} AS wt FROM r{i})")
+        parts.append(f"c{i} AS MATERIALIZED (SELECT *, fr + (yr - fr) * wt AS cr, fi + (yi - fi) * wt AS ci, {psi} AS psi FROM t{i})")
+        parts.append(f"b{i} AS MATERIALIZED ({estimate(f'c{i}')}), v{i} AS MATERIALIZED ({sq(f'b{i}').format(f'c{i}')})")
+        move = lambda k: f"sqrt((power(b.b{k}r - s.b{k}r, 2) + power(b.b{k}i - s.b{k}i, 2)) / (power(s.b{k}r, 2) + power(s.b{k}i, 2)))"
+        live = f"SELECT b.band, b.output, {', '.join(f'b.{c}' for c in cols)}, b.psi AS psi1, s.psi AS psi0, v.ss, s.stage AS was, s.steps + (s.stage = 1)::INT AS steps, s.red + (s.stage = 2)::INT AS red, greatest({move(0)}, {move(1)}) AS change FROM b{i} b JOIN v{i} v USING (band, output) JOIN st{i - 1} s USING (band, output)"
+        nxt = f"CASE WHEN was = 1 THEN CASE WHEN change <= {p.tolerance} OR steps >= {p.max_iterations} THEN 2 ELSE 1 END ELSE CASE WHEN red >= {p.max_redescending} THEN 3 ELSE 2 END END"
+        parts.append(f"l{i} AS (SELECT *, {nxt} AS stage FROM ({live}))")
+        parts.append(f"st{i} AS MATERIALIZED (SELECT band, output, {', '.join(cols)}, CASE WHEN was = 2 AND stage = 3 THEN 2 * psi1 - 1 ELSE psi1 END AS psi, ss, ss / n * (CASE WHEN was = 1 THEN {factor!r} ELSE 1 END) AS var, stage, steps, red FROM l{i} UNION ALL SELECT band, output, {', '.join(cols)}, psi, ss, var, stage, steps, red FROM st{i - 1} WHERE stage = 3)")
+    final = f"st{last}"
+    parts.append(f"raw AS (SELECT y.band, y.output, sum(power(yr - ({fit('s')[0]}), 2) + power(yi - ({fit('s')[1]}), 2)) AS ssr FROM yl y JOIN {final} s ON y.band = s.band AND y.output = s.output GROUP BY ALL)")
+    wide = "s.band, s.output, s.n, s.psi, s.ss, greatest(0.0, 1 - r.ssr / s.yy) AS r2, s.ss / power(s.psi, 2) / (s.n - 2) AS cov_nn"
+    parts.append("est AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {wide}, '{x}' AS input, s.b{k}r AS re, s.b{k}i AS im FROM {final} s JOIN raw r ON s.band = r.band AND s.output = r.output" for k, x in enumerate(("hx", "hy"))) + ")")
+    return ", " + ", ".join(parts)
+
+
+def _robust_out(digits: int) -> str:
+    return f" SELECT CAST(band AS INTEGER) AS band, output, input, round(re, {digits}) + 0.0 AS re, round(im, {digits}) + 0.0 AS im, CAST(n AS BIGINT) AS n, round(r2, {digits}) + 0.0 AS r2, round(cov_nn, 3) + 0.0 AS cov_nn, false AS underdetermined FROM est"
+
+
 def _robust(spark, d, remote: bool) -> DataFrame:
     obs = (remote_obs if remote else local_obs)(spark, d)
     return R.robust(obs, ["hx", "hy"], ["ex", "ey", "hz"], ["r_hx", "r_hy"] if remote else None)
 
 
-@query()
+@query(f"WITH {OBS_SQL}" + robust_sql("obs", ("hx", "hy")) + _robust_out(6))
 def tf_rme(spark, d):
-    return rounded(_robust(spark, d, False).select("band", "output", "input", "re", "im", "n", "r2", "cov_nn", "underdetermined"))
+    return rounded(rounded(_robust(spark, d, False).select("band", "output", "input", "re", "im", "n", "r2", "cov_nn", "underdetermined"), 6, "re", "im", "r2"), 3, "cov_nn")
 
 
-@query()
+@query(f"WITH {OBS_SQL}" + robust_sql("obsr", ("r_hx", "r_hy")) + _robust_out(4))
 def tf_rme_rr(spark, d):
-    return rounded(_robust(spark, d, True).select("band", "output", "input", "re", "im", "n", "r2", "cov_nn", "underdetermined"), 4)
+    return rounded(rounded(_robust(spark, d, True).select("band", "output", "input", "re", "im", "n", "r2", "cov_nn", "underdetermined"), 4, "re", "im", "r2"), 3, "cov_nn")
 
 
-@query()
+@query(f"WITH {OBS_SQL}" + robust_sql("obs", ("hx", "hy")) + """ SELECT CAST(band AS INTEGER) AS band, output, input, round(sqrt(CASE WHEN input = 'hx' THEN q11r ELSE q00r END / (q00r * q11r - q01r * q01r - q01i * q01i) * cov_nn), 6) + 0.0 AS se FROM est JOIN (SELECT band, q00r, q11r, q01r, q01i FROM gram) USING (band)""")
 def standard_errors(spark, d):
     return rounded(T.standard_errors(_robust(spark, d, False), ["hx", "hy"]).select("band", "output", "input", "se"))
 
@@ -581,12 +691,26 @@ def weights_apply(spark, d):
     return rounded(B.apply_weights(obs, ["hx", "ex"]).select("band", "w", "k", "hx_re", "ex_im"))
 
 
-@query()
+COHERENCE_SQL = CELLS_SQL + """, sub AS (
+  SELECT station, w, n0, s, j - 16 * s AS i, hx - avg(hx) OVER p AS x, ex - avg(ex) OVER p AS y FROM cells, (SELECT unnest(range(0, 7)) AS s) WHERE j - 16 * s BETWEEN 0 AND 31 WINDOW p AS (PARTITION BY station, w, s)
+), tap AS (SELECT station, w, n0, s, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS x, y * (0.5 - 0.5 * cos(2 * pi() * i / 32)) AS y FROM sub
+), dft AS (
+  SELECT station, w, n0, s, h, sum(x * cos(2 * pi() * ((h * i) % 32) / 32)) AS xr, -sum(x * sin(2 * pi() * ((h * i) % 32) / 32)) AS xi, sum(y * cos(2 * pi() * ((h * i) % 32) / 32)) AS yr, -sum(y * sin(2 * pi() * ((h * i) % 32) / 32)) AS yi
+  FROM tap, (SELECT unnest(range(0, 17)) AS h) GROUP BY ALL
+), pow AS (SELECT station, w, n0, h, sum(xr * xr + xi * xi) * sum(yr * yr + yi * yi) AS p, power(sum(xr * yr + xi * yi), 2) + power(sum(xi * yr - xr * yi), 2) AS c FROM dft GROUP BY station, w, n0, h
+), coh AS (SELECT station, w, n0, h, CASE WHEN p > 0 THEN c / p ELSE 0 END AS c FROM pow
+), value AS (
+  SELECT a.station, a.w, a.n0, CAST(k AS INTEGER) AS k, a.c + (k / 4.0 - a.h) * (b.c - a.c) AS value FROM (SELECT unnest(range(0, 64)) AS k) JOIN coh a ON a.h = k // 4 JOIN coh b ON b.station = a.station AND b.w = a.w AND b.h = a.h + 1
+)"""
+
+
+@query(f"WITH {COHERENCE_SQL} SELECT station, w, n0, k, round(value, 6) + 0.0 AS value FROM value")
 def coherence_windowed(spark, d):
     return rounded(FE.windowed_coherence(windows(spark, d).select("station", "w", "n0", "hx", "ex"), "hx", "ex", 128))
 
 
-@query()
+@query(f"""WITH {COHERENCE_SQL}, m AS (SELECT station, w, avg(0.5 - 0.5 * cos(pi() * least(greatest((value - 0.2) / 0.6, 0.0), 1.0))) AS m FROM value GROUP BY station, w)
+  SELECT station, w, round(CASE WHEN m <= 0 THEN 0.0 ELSE m END, 6) + 0.0 AS weight FROM m""")
 def feature_weights(spark, d):
     f = FE.windowed_coherence(windows(spark, d).select("station", "w", "n0", "hx", "ex"), "hx", "ex", 128).withColumn("feature", F.lit("coherence"))
     return rounded(FE.feature_weights(f, {"coherence": FE.ramp_kernel(0.2, 0.8)}, ["station", "w"]))
@@ -603,7 +727,23 @@ def interp_common_periods(spark, d):
     return rounded(T.interpolate(tf, inner))
 
 
-@query()
+def _renamed(sql: str, names: tuple[str, ...], suffix: str) -> str:
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", f"{n}{suffix}", sql)
+    return sql
+
+
+COMPARE_SQL = f"WITH {OBS_SQL}" + _renamed(tf_sql("obs", ("hx", "hy"), ("ex", "ey")), ("g", "gd", "tf"), "_a") + _renamed(tf_sql("obsr", ("r_hx", "r_hy"), ("ex", "ey")), ("g", "gd", "tf"), "_b") + """,
+  p AS (SELECT 'a' AS side, t.*, 256.0 / (k_lo + k_hi) AS period FROM tf_a t JOIN bnd b ON t.band = b.band UNION ALL SELECT 'b', t.*, 256.0 / (k_lo + k_hi) FROM tf_b t JOIN bnd b ON t.band = b.band),
+  lim AS (SELECT min(period) AS lo, max(period) AS hi, count(DISTINCT period) AS n FROM p), grid AS (SELECT i, CASE WHEN i = 0 THEN lo WHEN i = n - 1 THEN hi ELSE power(10, log10(lo) + i * (log10(hi) - log10(lo)) / (n - 1)) END AS g FROM lim, LATERAL (SELECT unnest(range(0, n)) AS i) u),
+  seg AS (SELECT *, lead(period) OVER w AS p1, lead(re) OVER w AS r1, lead(im) OVER w AS i1, lead(period, 2) OVER w IS NULL AS last FROM p WINDOW w AS (PARTITION BY side, output, input ORDER BY period)),
+  it AS (SELECT side, output, input, i, re + (g - period) / (p1 - period) * (r1 - re) AS re, im + (g - period) / (p1 - period) * (i1 - im) AS im FROM seg JOIN grid ON g >= period AND (g < p1 OR last) WHERE p1 IS NOT NULL),
+  pr AS (SELECT a.output, a.input, sqrt(a.re * a.re + a.im * a.im) AS za, sqrt(b.re * b.re + b.im * b.im) AS zb, degrees(atan2(a.im * b.re - a.re * b.im, a.re * b.re + a.im * b.im)) AS dphi FROM it a JOIN it b ON a.side = 'a' AND b.side = 'b' AND a.output = b.output AND a.input = b.input AND a.i = b.i)
+  SELECT output, input, CAST(count(*) AS BIGINT) AS n, round(median(za / zb), 4) AS ratio_median, round(stddev_pop(za / zb), 4) AS ratio_std, round(covar_pop(ln(za), ln(zb)) / (stddev_pop(ln(za)) * stddev_pop(ln(zb))), 4) AS amplitude_corr,
+  round(avg(dphi), 4) AS phase_mean, round(stddev_pop(dphi), 4) AS phase_std, bool_and(abs(za / zb - 1) <= 0.1) AS amplitude_close, bool_and(abs(dphi) <= 4) AS phase_close FROM pr GROUP BY output, input"""
+
+
+@query(COMPARE_SQL)
 def compare_tf(spark, d):
     bands = level0_bands(spark)
     local, remote = local_obs(spark, d), remote_obs(spark, d)
@@ -612,6 +752,26 @@ def compare_tf(spark, d):
     return rounded(T.compare(a, b), 4)
 
 
+@query(f"WITH {OBS_SQL}" + tf_sql("obs", ("hx", "hy")) + """
+  SELECT 0 AS level, CAST(t.band AS INTEGER) AS band, output, input, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, CAST(n AS BIGINT) AS n FROM tf t""")
+def process_stored(spark, d):
+    """The chain twice over one store: the second run finds all coefficients there, and its result is the one returned."""
+    bands = [b for b in DEFAULT_BANDS if b[0] == 1]
+    config = create_config("O", 1.0, bands=bands, engine="OLS", family="hamming")
+    config = replace(config, levels=tuple(replace(v, prewhiten=False) for v in config.levels))
+    store = CoefficientStore(f"{shared_dir(spark).rstrip('/')}/fieldspark/coefficients-{uuid.uuid4().hex}")
+    process(daily(spark, d), config, store=store)
+    return rounded(process(daily(spark, d), config, store=store).select("level", "band", "output", "input", "re", "im", "n"))
+
+
+@query()
+def process_weighted(spark, d):
+    """Coherence between the stations' hx as the weight of windows, through the whole chain; no SQL."""
+    config = create_config("O", 1.0, engine="RME", family="hamming")
+    feature = FE.CoherenceFeature("hx", "O", "hx", "F", FE.ramp_kernel(0.05, 0.6))
+    return rounded(process(daily(spark, d), config, features=[feature]).select("level", "band", "period", "output", "input", "re", "im", "n", "r2", "se", "rho", "phi"), 5)
+
+
 @query()
 def process_single_station(spark, d):
     config = create_config("O", 1.0, engine="RME", family="hamming", inputs=("hx", "hy"), outputs=("ex", "ey", "hz"))
@@ -627,7 +787,7 @@ def process_remote_reference(spark, d):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series to windows, coefficients, bands, transfer functions, resistivity and phase; gaps become the mean."""
     series = S.nan_to_mean(S.densify(daily(spark, sf_dir), ["station"], CH), ["station"], CH)
-    fc = SP.transform(WN.sliding_windows(series, ["station"], CH, SCHEME), CH, SCHEME, k_lo=5, k_hi=30)
+    fc = SP.transform(WN.sliding_windows(series.where("station = 'O'"), ["station"], CH, SCHEME), CH, SCHEME, k_lo=5, k_hi=30)
     bands = level0_bands(spark)
-    obs = B.assign_bands(fc.where("station = 'O'").withColumn("level", F.lit(0)), bands)
+    obs = B.assign_bands(fc.withColumn("level", F.lit(0)), bands)
     return T.resistivity_phase(T.with_periods(R.least_squares(obs, ["hx", "hy"], ["ex", "ey", "hz"]), bands))

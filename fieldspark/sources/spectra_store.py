@@ -13,7 +13,8 @@ KINDS = (None, "parquet", "csv")
 
 
 def recipe_hash(recipe: dict) -> str:
-    return hashlib.sha256(json.dumps(recipe, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    # a letter first: as a partition's value it must never look like a number
+    return "r" + hashlib.sha256(json.dumps(recipe, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
 def save_coefficients(fcs: DataFrame, path: str, recipe: dict, kind: str | None = "parquet") -> None:
@@ -30,7 +31,26 @@ def save_coefficients(fcs: DataFrame, path: str, recipe: dict, kind: str | None
         text = [F.concat(F.lit("("), F.col(f"{c}_re").cast("string"), signed(F.col(f"{c}_im").cast("string")), F.lit("j)")).alias(c) for c in pairs]
         marked.select(*[c for c in fcs.columns if not c.endswith(("_re", "_im"))], *text).write.mode("overwrite").csv(path, header=True)
         return
-    marked.repartition(*by).sortWithinPartitions(*by, "k").write.mode("overwrite").partitionBy(*by).parquet(path)
+    # only the partitions that are written are replaced: other recipes, stations, runs and levels stay
+    marked.repartition(*by).sortWithinPartitions(*by, "k").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def stored_runs(spark: SparkSession, path: str, recipe: dict, need: DataFrame) -> DataFrame:
+    """``need(station[, run], level)`` to (station[, run], fc): whether all the levels a run needs are stored under the recipe.
+
+    All or nothing for a run, as deeper levels come from the ones above.  A store that is not there holds nothing.
+    """
+    keys = [c for c in need.columns if c != "level"]
+    if not exists(spark, path):
+        return need.select(*keys).distinct().withColumn("fc", F.lit(False))
+    have = spark.read.parquet(path).where(F.col("recipe") == recipe_hash(recipe))
+    have = have.select(*[F.col(k).cast(need.schema[k].dataType).alias(k) for k in (*keys, "level")]).distinct().withColumn("_there", F.lit(True))
+    return need.join(have, [*keys, "level"], "left").groupBy(*keys).agg(F.bool_and(F.coalesce("_there", F.lit(False))).alias("fc"))
 
 
 def load_coefficients(spark: SparkSession, path: str, recipe: dict | None = None, n0_from: int | None = None, n0_to: int | None = None, channels: Sequence[str] | None = None) -> DataFrame:

@@ -173,6 +173,26 @@ def parse_edi(text: str) -> dict[str, list[float]]:
     return out
 
 
+def edi_frame(spark: SparkSession, text: str) -> DataFrame:
+    """(period, output, input, re, im) of an EDI file's impedances and tippers; values that stand for "empty" are NULL."""
+    blocks = parse_edi(text)
+    found = re.search(r"EMPTY\s*=\s*(\S+)", text, flags=re.I)
+    empty = float(found.group(1)) if found else 1e32
+    rows = []
+    for output, real, imaginary in (("ex", "ZX{}R", "ZX{}I"), ("ey", "ZY{}R", "ZY{}I"), ("hz", "T{}R.EXP", "T{}I.EXP")):
+        for letter, inp in (("X", "hx"), ("Y", "hy")):
+            for f, a, b in zip(blocks.get("FREQ", []), blocks.get(real.format(letter), []), blocks.get(imaginary.format(letter), []), strict=False):
+                there = a != empty and b != empty
+                rows.append((1 / f, output, inp, a if there else None, b if there else None))
+    return spark.createDataFrame(rows, "period double, output string, input string, re double, im double")
+
+
+def read_tf(spark: SparkSession, path: str) -> DataFrame:
+    """A transfer function for comparison, from a z-file or, by its ending, an EDI file."""
+    text = spark.read.text(path, wholetext=True).first()["value"]
+    return edi_frame(spark, text) if path.lower().endswith(".edi") else zfile_frame(spark, parse_zfile(text.split("\n")))
+
+
 def format_xml(z: ZFile) -> str:
     """Transfer functions as XML: one element per period with its estimates."""
     from xml.sax.saxutils import escape, quoteattr

@@ -1,16 +1,18 @@
 import json
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspark import queries as engine
 from fieldspark.operators import features as FE
+from fieldspark.operators import series as S
 from fieldspark.operators import transfer as T
 from fieldspark.operators.windows import WindowScheme
 from fieldspark.plans import planning as P
 from fieldspark.plans.config import Processing, create_config, levels_valid
-from fieldspark.plans.process import export, process
+from fieldspark.plans.process import CoefficientStore, export, observations, process
 from fieldspark.sources import bandfile, responses, spectra_store, tables, zfile
 
 
@@ -61,9 +63,9 @@ def test_intervals_of_all_stations(spark):
     d = "/root/testdata/sf0.001"
     runs = [tuple(r) for r in tables.customer_runs(spark, d).select("station", "run", "start", "end").collect()]
     expected = sorted((a, r, b, q, max(s, u), min(e, v)) for a, r, s, e in runs for b, q, u, v in runs if int(b) == (int(a) + 1) % 25 and s < v and u < e and s < e and u < v)
-    got = sorted(tuple(r) for r in engine.simultaneous_intervals_all_stations(spark, d).select("station", "run", "remote_station", "remote_run", "start", "end").collect())
+    got = sorted(tuple(r) for r in engine.simultaneous_intervals(spark, d).select("station", "run", "remote_station", "remote_run", "start", "end").collect())
     assert got == expected and len({r[0] for r in got}) > 20
-    sides = {(r["station"], r["remote"]): r["n"] for r in engine.kernel_rows_all_stations(spark, d).collect()}
+    sides = {(r["station"], r["remote"]): r["n"] for r in engine.kernel_rows(spark, d).collect()}
     assert sum(n for (_, remote), n in sides.items() if not remote) == len(expected) == sum(n for (_, remote), n in sides.items() if remote)
 
 
@@ -136,6 +138,121 @@ def test_half_space_end_to_end(spark, tmp_path, engine, remote):
     assert all(abs(t - 0.25) < 0.05 for t in tip)
 
 
+def two_level_config(remote=None, **more):
+    return create_config("a", 1.0, remote, bands=[b for b in bandfile.DEFAULT_BANDS if b[0] <= 2], family="hamming", **more)
+
+
+def by_key(tf):
+    return {(r["level"], r["band"], r["output"], r["input"]): (r["re"], r["im"], r["n"]) for r in tf.collect()}
+
+
+def same(tf, expected):
+    """The same bands, numbers of observations, and estimates but for the order of sums."""
+    got = by_key(tf)
+    return set(got) == set(expected) and all(got[k][2] == expected[k][2] and abs(complex(*got[k][:2]) - complex(*expected[k][:2])) < 1e-9 for k in got)
+
+
+def test_stored_coefficients_give_the_same(spark, tmp_path):
+    series, config = half_space(spark, 2048).cache(), two_level_config(engine="OLS")
+    plain = by_key(process(series, config))
+    store = CoefficientStore(str(tmp_path / "fc"))
+    first, plan = observations(series, config, store=store)
+    assert not plan.stored and plan.saved and first.count() > 0
+    assert same(process(series, config, store=store), plain)
+    _, again = observations(series, config, store=store)
+    assert again.stored and not again.saved
+    # what is stored is used: without the samples' values the answer is the same
+    blank = series.select("station", "n", *[F.lit(0.0).alias(c) for c in ("hx", "hy", "hz", "ex", "ey")])
+    assert same(process(blank, config, store=store), plain)
+    # another recipe finds nothing; a remote reference reads what single stations saved, and saves nothing
+    other = replace(config, levels=tuple(replace(v, detrend="constant") for v in config.levels))
+    assert not observations(series, other, store=CoefficientStore(store.path, save=False))[1].stored
+    remote = two_level_config("b", engine="OLS")
+    _, half = observations(series, remote, store=store)
+    assert not half.stored and not half.saved
+    process(series, replace(config, station="b"), store=store)
+    _, both = observations(series, remote, store=store)
+    assert both.stored
+    assert same(process(series, remote, store=store), by_key(process(series, remote)))
+    with pytest.raises(ValueError):
+        spectra_store.save_coefficients(first, str(tmp_path / "x"), {}, "hdf")
+
+
+def test_stored_runs_are_all_or_nothing(spark, tmp_path):
+    need = spark.createDataFrame([("s", "1", 0), ("s", "1", 1), ("s", "2", 0), ("t", "1", 0)], "station string, run string, level int")
+    recipe = {"a": 1}
+    path = str(tmp_path / "fc")
+    assert {r["fc"] for r in spectra_store.stored_runs(spark, path, recipe, need).collect()} == {False}
+    fcs = spark.createDataFrame([("s", "1", 0, 0, 5, 1.0, 0.0), ("s", "2", 0, 0, 5, 1.0, 0.0)], "station string, run string, level int, n0 long, k int, hx_re double, hx_im double")
+    spectra_store.save_coefficients(fcs, path, recipe)
+    got = lambda r: {(x["station"], x["run"]): x["fc"] for x in spectra_store.stored_runs(spark, path, r, need).collect()}
+    assert got(recipe) == {("s", "1"): False, ("s", "2"): True, ("t", "1"): False} and not any(got({"a": 2}).values())
+    spectra_store.save_coefficients(fcs.where("run = '1'").withColumn("level", F.lit(1)), path, recipe)
+    assert got(recipe)["s", "1"] and got(recipe)["s", "2"]
+    assert [P.saves_coefficients(*x) for x in ((False, False, True), (True, False, True), (False, True, True), (False, False, False))] == [True, False, False, False]
+    assert [P.open_mode(*x) for x in ((False, True), (True, True), (False, False))] == ["a", "r", "r"]
+
+
+def test_feature_weights_in_the_chain(spark):
+    series = half_space(spark, 2048).where("not (station = 'b' and n >= 1024)")
+    config = two_level_config(engine="OLS")
+    feature = FE.CoherenceFeature("hx", "a", "hx", "b", FE.threshold_kernel(0.5))
+    plan = observations(series, config, features=[feature])[1]
+    rows = plan.weights.collect()
+    # windows that the other station has as well, and its hx is the same but for little noise
+    assert {r["n0"] for r in rows if r["level"] == 0} == {w * 96 for w in range(10)} and all(0.9 < r["weight"] <= 1 for r in rows)
+    tf = by_key(process(series, config, features=[feature, FE.CoherenceFeature("ex", "a", "hy", "a", FE.ramp_kernel(0.0, 0.5))]))
+    every = by_key(process(series, config))
+    assert set(tf) == set(every) and all(tf[k][2] < every[k][2] for k in tf if k[0] == 0)
+    process(series.where("n < 1024"), two_level_config("b", engine="OLS"), same_axes=True)
+    with pytest.raises(ValueError):
+        process(series, two_level_config("b", engine="OLS"), same_axes=True)
+
+
+def test_summary_lookup_order_and_groups(spark):
+    cols = "survey string, station string, run string, level int, start int, valid boolean"
+    summary = spark.createDataFrame([("x", "s", "1", 0, 5, True), ("x", "s", "1", 1, 5, False), ("x", "s", "2", 0, 7, True), ("x", "s", "2", 0, 7, True), ("w", "t", "1", 0, 5, True)], cols)
+    rows = spark.createDataFrame([("x", "s", "1", 0, 5), ("x", "s", "1", 1, 5), ("x", "s", "2", 0, 7), ("x", "s", "3", 0, 7), ("x", "s", None, 0, 7)], cols.replace(", valid boolean", ""))
+    assert [r["valid"] for r in P.valid_rows(rows, summary).orderBy(F.asc_nulls_last("run"), "level").collect()] == [True, False, False, False, False]
+    assert [r["survey"] for r in P.ordered_summary(summary).collect()] == ["w", "x", "x", "x", "x"]
+    groups = {r["start"]: [tuple(x) for x in r["runs"]] for r in P.runs_by_start(summary).collect()}
+    assert groups == {5: [("s", "1"), ("t", "1")], 7: [("s", "2")]}
+
+
+def test_names_of_channels(spark):
+    codes = spark.createDataFrame([("lt1",), ("LQE",), ("BF1",)], "channel string").select(P.network_code()).collect()
+    assert [r[0] for r in codes] == ["LF1", "LQ1", "BF1"]
+    c = spark.createDataFrame([("hx",), ("ey",)], "component string")
+    there = P.rename_components(c, "lemi34")
+    assert [r[0] for r in there.collect()] == ["bx", "e4"] and [r[0] for r in P.rename_components(there, "lemi34", back=True).collect()] == ["hx", "ey"]
+    with pytest.raises(KeyError):
+        P.nomenclature("unknown")
+    with pytest.raises(Exception, match="no channel of default"):
+        P.rename_components(there, "default").collect()
+    wide = half_space(spark, 4, ("a",))
+    assert P.rename_wide(wide, "phoenix123").columns == ["station", "n", "h1", "h2", "h3", "e1", "e2"]
+
+
+def test_edi_as_a_frame(spark, tmp_path):
+    z = zfile.ZFile("a", "t", [zfile.Period(10.0, 1, 5, 6, 9, 1.0, sample_z()[0] if isinstance(sample_z(), tuple) else sample_z().periods[0].tf)], zfile.default_orientation("a"))
+    (tmp_path / "a.edi").write_text(zfile.format_edi(z))
+    rows = {(r["output"], r["input"]): complex(r["re"], r["im"]) for r in zfile.read_tf(spark, str(tmp_path / "a.edi")).collect()}
+    for o, line in zip(("hz", "ex", "ey"), z.periods[0].tf, strict=True):
+        for i, v in zip(("hx", "hy"), line, strict=True):
+            assert rows[o, i] == pytest.approx(v, rel=1e-5)
+    empty = zfile.edi_frame(spark, ">HEAD\n  EMPTY=1.0e+32\n>FREQ //1\n 0.5\n>ZXXR //1\n 1.0e+32\n>ZXXI //1\n 2.0\n").first()
+    assert (empty["period"], empty["re"], empty["im"]) == (2.0, None, None)
+
+
+def test_axis_limits_and_band_median(spark):
+    tf = spark.createDataFrame([(5.0, 100.0), (900.0, 100.0)], "period double, rho double")
+    lo, hi = T.period_limits(tf)
+    assert math.log10(lo) == pytest.approx(0.5) and math.log10(hi) == pytest.approx(3.3)
+    assert T.resistivity_limits(tf) != (0.01, 1e4) and T.resistivity_limits(tf.withColumn("rho", F.lit(0.5)))[0] > 0
+    x = spark.createDataFrame([("a", k, k / 10, float(k % 7)) for k in range(100)], "c string, k long, f double, v double")
+    assert S.band_median(x, ["c"], "v", 7, 7.6, 8.0).first()["median"] == pytest.approx(3.0)
+
+
 def sample_z():
     rows = [[complex(0.25, 0.0), complex(0, 0.25)], [complex(-0.01, -0.04), complex(-7.2, -7.2)], [complex(7.2, 7.3), complex(-0.03, -0.01)]]
     sig = [[3.7e-8 + 0j], [complex(-3e-10, 4e-10), 3.6e-8 + 0j]]

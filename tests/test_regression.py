@@ -134,3 +134,17 @@ def test_cross_power_matrix_is_hermitian(spark):
 def test_unknown_estimator():
     with pytest.raises(ValueError):
         R.estimator("nothing")
+
+
+def test_a_nearly_perfect_fit_keeps_its_variance(spark):
+    """Residuals of a billionth of the data: sums of squares of the data could not tell them."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2, 400)) + 1j * rng.normal(size=(2, 400))
+    noise = 1e-9 * (rng.normal(size=400) + 1j * rng.normal(size=400))
+    noise[::50] *= 100
+    y = (2 - 1j) * x[0] + (0.5 + 3j) * x[1] + noise
+    rows = [(0, 0, *[float(p) for v in (x[0][i], x[1][i], y[i]) for p in (v.real, v.imag)]) for i in range(400)]
+    obs = spark.createDataFrame(rows, "level int, band int, " + ", ".join(f"{c}_{p} double" for c in ("hx", "hy", "ex") for p in ("re", "im")))
+    got = {r["input"]: r for r in R.robust(obs, ["hx", "hy"], ["ex"]).collect()}
+    assert abs(complex(got["hx"]["re"], got["hx"]["im"]) - (2 - 1j)) < 1e-9
+    assert 0.5e-18 < got["hx"]["cov_nn"] < 2e-17 and got["hx"]["n_iterations"] >= 3
