@@ -6,16 +6,18 @@ A window is a string of ``length`` bytes.  Windows never cross documents.
    leftmost if several.  Equal windows have the same anchor at the same offset, so a
    repeat always shows as an anchor that occurs twice.  Neighbouring windows with one
    anchor form its context, and every window belongs to one context only.
-2. Anchors are counted by hash, and by context hash, combined map-side.  If all
-   contexts of a repeated anchor are equal the context is a repeat as it stands.
-3. The other repeated anchors give the bytes of each distinct context once, dealt out
-   by anchor.  Within a chunk of anchors the contexts are joined, a suffix array is
-   built, and the longest previous factor of every position follows from its
-   previous and next smaller positions in suffix order: a window with a factor of
-   ``length`` bytes has an earlier copy, and the position it points at is that copy.
-   An anchor with too many occurrences for one task gives the hashes of its windows
-   instead, combined in each batch before they are dealt out, which spreads it.
-4. The covered stretches come back to their texts by row key.
+2. Anchors are counted by hash, and by context hash, combined map-side.
+3. Bytes meet where they are compared.  If the contexts of a repeated anchor differ in
+   their hashes, each distinct one gives its bytes once, dealt out by anchor.  If they
+   are all alike, the first and the last of them do: neighbouring ones of the same two
+   documents, which overlap, are one stretch of either, dealt out together.
+4. Within a chunk the contexts or stretches are joined, a suffix array is built, and the
+   longest previous factor of every position follows from its previous and next smaller
+   positions in suffix order: a window with a factor of ``length`` bytes has an earlier
+   copy, and the position it points at is that copy.  An anchor of differing contexts
+   with too many occurrences for one task gives the hashes of its windows instead,
+   combined in each batch before they are dealt out, which spreads it.
+5. The covered stretches come back to their texts by row key.
 """
 
 from __future__ import annotations
@@ -32,6 +34,10 @@ from pyspark.sql import functions as F
 from fieldspark.llm.common import ROW, U64, buckets_of, documents_of, mix, pack_buckets, partitions, rolling, row_key, text_bytes, unpack, written
 
 PACKED = "bucket int, kind int, n int, blob binary"
+#: Symbols of nine bits in the first rank of a suffix; and where contexts of a stretch are cut, in bytes.
+FIRST_RANK = 7
+STRETCH = 65_536
+LEAD, TAIL, ODD = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -46,8 +52,8 @@ class RepeatParams:
     block: int = 10_000
 
     def __post_init__(self):
-        if not 1 <= self.gram <= self.length or self.length < 4:
-            raise ValueError("gram must lie between 1 and length, which is 4 at least")
+        if not 1 <= self.gram <= self.length or self.length < FIRST_RANK:
+            raise ValueError(f"gram must lie between 1 and length, which is {FIRST_RANK} at least")
         if self.keep not in ("none", "first"):
             raise ValueError("keep is 'none' or 'first'")
 
@@ -113,12 +119,14 @@ def _anchor_pass(p: RepeatParams, n_keys: int):
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes in order of their first ``depth`` symbols at least, and the ranks of each doubling (for prefix matches).
 
-    ``symbols`` are bytes and separators as int64 below 2**15; four make up the first rank.
+    ``symbols`` are bytes and separators as int64 below 511; ``FIRST_RANK`` of them make up the first rank.
     """
     n = len(symbols)
-    padded = np.concatenate([symbols + 1, np.zeros(4, np.int64)])
-    key = (padded[:n] << 48) | (padded[1 : n + 1] << 32) | (padded[2 : n + 2] << 16) | padded[3 : n + 3]
-    ranks, span = [], 4
+    padded = np.concatenate([symbols + 1, np.zeros(FIRST_RANK, np.int64)])
+    key = padded[:n] << 9 * (FIRST_RANK - 1)
+    for i in range(1, FIRST_RANK):
+        key |= padded[i : n + i] << 9 * (FIRST_RANK - 1 - i)
+    ranks, span = [], FIRST_RANK
     while True:
         order = np.argsort(key)
         sorted_key = key[order]
@@ -172,7 +180,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     symbols[text] = np.frombuffer(b"".join(contexts), np.uint8)
     room = np.repeat(begin + size, size + 1) - np.arange(total) >= length
     order, ranks = suffix_array(symbols, length)
-    spans = [4 << i for i in range(len(ranks))]
+    spans = [FIRST_RANK << i for i in range(len(ranks))]
 
     def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         yes = room[a] & room[b]
@@ -182,9 +190,9 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
                 i = np.flatnonzero(yes)
                 yes[i] = rank[a[i] + at] == rank[b[i] + at]
                 at, left = at + span, left - span
-        if left and yes.any():  # a remainder below four symbols: one overlapping comparison
+        if left and yes.any():  # a remainder shorter than the first rank: one overlapping comparison
             i = np.flatnonzero(yes)
-            yes[i] = ranks[0][a[i] + length - 4] == ranks[0][b[i] + length - 4]
+            yes[i] = ranks[0][a[i] + length - FIRST_RANK] == ranks[0][b[i] + length - FIRST_RANK]
         return yes
 
     before, after = previous_factors(order, same)
@@ -195,22 +203,53 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     return begin, later, any_copy
 
 
-# --------------------------------------------------------------------------- contexts of anchors whose contexts differ
+# --------------------------------------------------------------------------- bytes to where they are compared
+
+
+def stretch_entry(pair: int, side: int, text: np.ndarray, h: np.ndarray, lo: np.ndarray, size: np.ndarray) -> bytes:
+    """One document's side of a pair: its contexts (sorted by place) merged to stretches, their bytes, and of a tail the contexts' places in them."""
+    runs = merged(np.stack([lo, lo + size], 1))
+    own = np.searchsorted(runs[:, 0], lo, side="right") - 1
+    items = [h, own, lo - runs[own, 0], size] if side == TAIL else []
+    body = b"".join([*[np.ascontiguousarray(x, np.int64).tobytes() for x in (*items, runs[:, 1] - runs[:, 0])], *[text[a:b].tobytes() for a, b in runs]])
+    return np.array([pair, side, len(h) if side == TAIL else 0, len(runs), len(body)], np.int64).tobytes() + body
+
+
+def stretch_entries(blob: bytes) -> Iterator[tuple[int, int, np.ndarray, list[bytes]]]:
+    """(pair, side, items as rows of h, stretch, offset and size, stretches) of each entry of a blob."""
+    at = 0
+    while at < len(blob):
+        pair, side, n, m, size = np.frombuffer(blob, np.int64, 5, at)
+        at += 40
+        end = at + size
+        items = np.frombuffer(blob, np.int64, 4 * n, at).reshape(4, n)
+        at += 32 * n
+        sizes = np.frombuffer(blob, np.int64, m, at)
+        at += 8 * m
+        cuts = at + np.r_[0, np.cumsum(sizes)]
+        yield int(pair), int(side), items, [blob[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        at = end
 
 
 def _context_pass(p: RepeatParams, n_buckets: int):
-    """Contexts as bytes (kind 0), or for hot anchors the hashes of their windows (kinds 1 and 2), packed by bucket."""
+    """Contexts as bytes (kind 0), for hot anchors the hashes of their windows (kinds 1 and 2), and the stretches of contexts
+    that are all alike (kind 3), packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, second = rolling(0x2545F491), rolling(0x6C8E9CF5)
         for batch in batches:
             meta, blobs = [], []
+            entries: list[tuple[int, bytes]] = []
             win: list[tuple[np.ndarray, ...]] = []
             wanted = batch.column(1).to_pylist()
             for text, ask in zip(documents_of(batch), wanted, strict=True):
                 pre = None
+                alike: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
                 for a in ask:
                     lo, size = a["lo"], a["size"]
+                    if a["side"] != ODD:
+                        alike.setdefault((a["c"], a["side"]), []).append((lo, a["h"], size))
+                        continue
                     if a["hot"]:
                         if pre is None:
                             pre = roll.prefix(text), second.prefix(text)
@@ -219,7 +258,14 @@ def _context_pass(p: RepeatParams, n_buckets: int):
                     else:
                         meta.append((a["h"], a["c"], a["ord"], a["rk"], lo, size, a["copies"], a["n"]))
                         blobs.append(text[lo : lo + size].tobytes())
+                for (pair, side), found in alike.items():
+                    lo, h, size = np.array(sorted(found), np.int64).T
+                    entries.append((pair % n_buckets, stretch_entry(pair, side, text, h, lo, size)))
             rows = []
+            of: dict[int, list[bytes]] = {}
+            for b, e in entries:
+                of.setdefault(b, []).append(e)
+            rows += [(b, 3, len(e), b"".join(e)) for b, e in of.items()]
             if meta:
                 m = np.array(meta, np.int64)
                 bucket = (np.ascontiguousarray(m[:, 0]).view(U64) % U64(n_buckets)).astype(np.int64)
@@ -272,6 +318,7 @@ def _local_windows(*windows: np.ndarray, p: RepeatParams, n_buckets: int):
     return rows
 
 
+#: ``n`` of -1: contexts of the anchor that look alike and are not.
 _HIT = "h long, c long, lo int, hi int, n long"
 
 
@@ -304,10 +351,37 @@ def _factor_pass(p: RepeatParams):
         f = np.array(found, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2].astype(np.int32)), pa.array(f[:, 3].astype(np.int32)), pa.array(f[:, 4])], ["h", "c", "lo", "hi", "n"])
 
+    def alike(pairs: list[dict]) -> pa.RecordBatch | None:
+        """Anchors one of whose windows has no earlier copy after all: the first and the last of contexts that look alike differ."""
+        texts, items = [], []
+        for pair in pairs:
+            texts += pair.get(LEAD, (None, []))[1]
+            if TAIL in pair:
+                items.append((pair[TAIL][0], len(texts)))
+                texts += pair[TAIL][1]
+        if not items:
+            return None
+        begin, later, _ = repeated_windows(texts, p.length)
+        missing = np.concatenate([[0], np.cumsum(~later)])
+        wrong = []
+        for (h, stretch, offset, size), base in items:
+            at = begin[base + stretch] + offset
+            wrong.append(h[missing[at + size - p.length + 1] > missing[at]])
+        h = np.concatenate(wrong)
+        if not len(h):
+            return None
+        zero = pa.array(np.zeros(len(h), np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(h), zero, zero, pa.array(np.full(len(h), -1, np.int64))], ["h", "c", "lo", "hi", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in buckets_of(batches):
             meta, blobs, win = [], [], []
+            pairs: dict[int, dict] = {}
             for kind, n, blob in held:
+                if kind == 3:
+                    for pair, side, items, texts in stretch_entries(blob):
+                        pairs.setdefault(pair, {})[side] = (items, texts)
+                    continue
                 if kind == 0:
                     m = np.frombuffer(blob, np.int64, n * 8).reshape(n, 8)
                     ends = np.cumsum(m[:, 5]) + n * 64
@@ -317,6 +391,16 @@ def _factor_pass(p: RepeatParams):
                     yield _hits(*unpack(n, blob, *[np.int64] * 4), p)
                 else:
                     win.append(unpack(n, blob, U64, U64, *[np.int64] * 8))
+            chunk, size = [], 0
+            for pair in pairs.values():
+                chunk.append(pair)
+                size += sum(len(t) for _, texts in pair.values() for t in texts)
+                if size > p.chunk:
+                    if (out := alike(chunk)) is not None:
+                        yield out
+                    chunk, size = [], 0
+            if chunk and (out := alike(chunk)) is not None:
+                yield out
             if meta:
                 m = np.concatenate(meta)
                 order = np.lexsort((m[:, 1], m[:, 0]))
@@ -379,15 +463,21 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
 
     even = again.where("even and not is_first") if first else again.where("even")
     stretch = lambda lo, hi: F.struct((F.col("lo") + lo).alias("lo"), (F.col("lo") + hi).alias("hi")).alias("s")
-    whole = even.select(*ROW, stretch(F.lit(0), F.col("size")))
     odd = again.where("not even")
+    # of contexts that are all alike the first and the last, by pair of documents and the distance between them
+    ends = again.where("even").groupBy("h").agg(F.min(place).alias("lead"), F.max(place).alias("tail"), F.max("size").alias("size"), F.max("n").alias("n"))
+    ends = ends.withColumn("pair", F.shiftrightunsigned(F.xxhash64(*[f"{e}.{k}" for e in ("lead", "tail") for k in ROW], F.col("tail.lo") - F.col("lead.lo"), F.floor(F.col("lead.lo") / STRETCH)), 1))
+    no = F.lit(False)
+    side = lambda e, which: ends.select(*[F.col(f"{e}.{k}").alias(k) for k in ROW], F.struct("h", F.col("pair").alias("c"), F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("rk"), f"{e}.lo", "size", F.lit(2).cast("long").alias("copies"), "n", no.alias("hot"), F.lit(which).alias("side")).alias("a"))
     one = odd.groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct(*keys, "lo", "size", "n")).alias("r"))
-    ask = one.select(*[F.col(f"r.{k}").alias(k) for k in ROW], F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), F.col("r._rk").alias("rk"), "r.lo", "r.size", "copies", "r.n", (F.col("r.n") > p.hot).alias("hot")).alias("a"))
+    ask = one.select(*[F.col(f"r.{k}").alias(k) for k in ROW], F.struct("h", "c", F.col(f"r.{keys[0]}").alias("ord"), F.col("r._rk").alias("rk"), "r.lo", "r.size", "copies", "r.n", (F.col("r.n") > p.hot).alias("hot"), F.lit(ODD).alias("side")).alias("a"))
+    ask = ask.unionByName(side("lead", LEAD)).unionByName(side("tail", TAIL))
     ask = ask.groupBy(*ROW).agg(F.collect_list("a").alias("ask"))
     text_of = src.join(ask.hint("shuffle_hash"), list(ROW)).select(F.col("_text").alias("text"), "ask", "ord", "_rest")
     packed = text_of.mapInArrow(_context_pass(p, 4 * n), PACKED)
-    hits = packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT)
-    hits = hits.groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"), F.max("n").alias("n"))
+    hits = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT), "op3")
+    whole = even.join(hits.where("n < 0").select("h").distinct(), "h", "left_anti").select(*ROW, stretch(F.lit(0), F.col("size")))
+    hits = hits.where("n >= 0").groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"), F.max("n").alias("n"))
     # both sides know how often the anchor occurs: its rows go to as many places as they make blocks
     slots = F.greatest(F.ceil(F.col("n") / p.block), F.lit(1)).cast("long")
     dealt = lambda d: d.withColumn("slot", F.pmod(F.xxhash64(*ROW, "lo"), slots)).drop("n")

@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldspark.llm import suffix_dedup as R
@@ -108,3 +109,26 @@ def test_whole_small_table(spark, sample):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in R.repeat_digest(docs).collect()}
     assert got == brute.repeat_digest(rows, 200)
+
+
+def test_stretches_of_contexts_that_look_alike():
+    """What is packed comes back, and a pair whose sides differ is told by the suffix order."""
+    rng = random.Random(12)
+    p = R.RepeatParams(length=20, gram=8)
+    text = np.frombuffer("".join(rng.choices("abcdefgh", k=300)).encode(), np.uint8)
+    other = np.concatenate([np.frombuffer(b"xyz", np.uint8), text])
+    broken = other.copy()
+    broken[3 + 40] += 1
+    h, c, lo, size = R.anchors(text, p)
+    some = np.r_[0:4, 9:14]
+    h, lo, size = h[some].view(np.int64), lo[some], size[some]
+    for tail, wrong in ((other, 0), (broken, 1)):
+        blob = R.stretch_entry(5, R.LEAD, text, h, lo, size) + R.stretch_entry(5, R.TAIL, tail, h, lo + 3, size)
+        (_, _, none, a), (pair, side, items, b) = R.stretch_entries(blob)
+        assert (pair, side, none.shape) == (5, R.TAIL, (4, 0)) and [len(x) for x in a] == [len(x) for x in b]
+        for i in range(len(some)):
+            assert a[items[1, i]][items[2, i] : items[2, i] + size[i]] == text[lo[i] : lo[i] + size[i]].tobytes()
+        batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([3], pa.int32()), pa.array([2], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "kind", "n", "blob"])
+        said = {x for out in R._factor_pass(p)(iter([batch])) for x in out.column(0).to_pylist()}
+        hurt = {int(x) for x, at, n in zip(h, lo, size, strict=True) if at <= 40 < at + n}
+        assert (said == hurt) if wrong else not said
