@@ -60,6 +60,26 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def share_of(spark: SparkSession, rows: int) -> int:
+    """A quarter of a partition's part of ``rows``: a key of more is frequent.  There are at most four such keys a partition."""
+    return max(1, -(-rows // (4 * partitions(spark))))
+
+
+def dealt_join(rows: DataFrame, counted: DataFrame, on: list[str], place: Column, share: int) -> DataFrame:
+    """``rows`` with the columns of ``counted(on..., rows, ...)``, which has a row per key and how many ``rows`` there are of it.
+
+    A key of more than ``share`` rows is dealt by ``place`` over as many slots as it fills shares.  ``share`` is a fixed
+    part of all rows (``share_of``), so no more keys than there are shares can be as frequent as that: the broadcast that
+    tells them is bounded by the number of partitions, whatever the data.
+    """
+    slots = F.ceil(F.col("rows") / share).cast("long")
+    hot = counted.where(F.col("rows") > share).select(*on, slots.alias("_slots"))
+    at = F.pmod(place, F.coalesce("_slots", F.lit(1).cast("long")))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_slot", at).drop("_slots")
+    copies = counted.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)))
+    return dealt.join(copies.hint("shuffle_hash"), [*on, "_slot"]).drop("_slot")
+
+
 #: A row's identity where ids may be null or repeated: 128 bits of hashes of id and text.
 ROW = ("_rk", "_rk2")
 

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import ROW, discard, partitions, row_key, struct_of, written
+from fieldspark.llm.common import ROW, dealt_join, discard, row_key, share_of, struct_of, written
 
 #: The white space that is stripped from the ends of a line.
 BLANKS = " \t\r\x0b\x0c"
@@ -41,27 +41,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return exploded.withColumn("key", key).where("key <> ''").select(*ROW, "ord", "site", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
 
 
-def _deal(lines: DataFrame, counted: DataFrame, share: int) -> DataFrame:
-    """``lines`` with the columns of ``counted(h1, h2, rows, ...)``; a line of more than ``share`` rows is dealt over slots.
-
-    ``share`` is a fixed part of all rows, so no more lines than there are shares can be as frequent as that: the broadcast
-    that tells them is bounded by the number of partitions, whatever the data.
-    """
-    slots = F.ceil(F.col("rows") / share).cast("long")
-    hot = counted.where(F.col("rows") > share).select("h1", "h2", slots.alias("_slots"))
-    place = F.pmod(F.xxhash64(*ROW, "pos"), F.coalesce("_slots", F.lit(1).cast("long")))
-    dealt = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("_slot", place).drop("_slots")
-    copies = counted.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)))
-    return dealt.join(copies.hint("shuffle_hash"), ["h1", "h2", "_slot"]).drop("_slot")
-
-
 def boilerplate_places(docs: DataFrame, p: LineParams) -> DataFrame:
     """(hashes of the row, pos) of every line to remove."""
     lines = written(_lines(docs), "op6")
-    share = max(1, -(-lines.count() // (4 * partitions(docs.sparkSession))))
+    share = share_of(docs.sparkSession, lines.count())
     count = lines.groupBy("h1", "h2").agg(F.count("*").alias("rows"), F.count("site").alias("sited"), F.min(F.struct("ord", "pos", *ROW)).alias("first"))
     often = written(count.where(F.col("sited") >= p.min_sites).drop("sited"), "op6")
-    seen = written(_deal(lines, often, share), "op6")
+    seen = written(dealt_join(lines, often, ["h1", "h2"], F.xxhash64(*ROW, "pos"), share), "op6")
     # one row per line and site first: copies on a hot site never meet in one place
     spread = written(seen.where("site is not null").groupBy("h1", "h2", "site").agg(F.first("rows").alias("rows")), "op6")
     sketch = spread.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(p.lg_k))).alias("sites"), F.first("rows").alias("rows"))
@@ -69,7 +55,7 @@ def boilerplate_places(docs: DataFrame, p: LineParams) -> DataFrame:
     near = sketch.where(F.col("sites").between(p.min_sites * (1 - p.band), p.min_sites * (1 + p.band))).select("h1", "h2")
     exact = spread.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.first("rows").alias("rows"))
     bad = written(sure.unionByName(exact.where(F.col("sites") >= p.min_sites).select("h1", "h2", "rows")), "op6")
-    found = _deal(seen.drop("rows"), bad, share)
+    found = dealt_join(seen.drop("rows"), bad, ["h1", "h2"], F.xxhash64(*ROW, "pos"), share)
     if p.keep_first:
         found = found.where(F.struct("ord", "pos", *ROW) != F.col("first"))
     found = written(found.select(*ROW, "pos"), "op6")
