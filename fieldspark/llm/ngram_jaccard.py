@@ -72,7 +72,7 @@ MOST_SKETCH_WORDS = 512
 class JaccardParams:
     """Words per shingle, threshold num/den, spare first-level partitions, features a signature should have on average, sizes with windows of their
     own; bounds of one work unit (sets, shingles), of a signature's sets compared by sketch, and of its sets in one batch that go on one by one;
-    rows of a batch."""
+    rows and signatures of a batch, signatures of a bucket looked at together."""
 
     words: int = 4
     num: int = 85
@@ -83,8 +83,10 @@ class JaccardParams:
     unit_sets: int = 16384
     unit_shingles: int = 4_000_000
     bucket_sets: int = 16384
-    batch_hot: int = 256
+    batch_hot: int = 64
     batch_rows: int = 4096
+    batch_sigs: int = 1 << 18
+    bucket_sigs: int = 1 << 19
 
     def most_different(self, total: int) -> int:
         """Largest Hamming distance of two linked sets whose sizes add up to ``total``."""
@@ -249,41 +251,55 @@ def unpack_signatures(n: int, blob: bytes) -> list[np.ndarray]:
 def _signature_pass(p: JaccardParams, n_buckets: int):
     bucket = lambda x: (x % U64(n_buckets)).astype(np.int64)
 
+    most = max(p.batch_sigs, 16 * n_buckets)
+
+    def packed(rk: list[np.ndarray], nodes: list[int], sizes: list[int], sketches: list[np.ndarray], sigs: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+        keys, node, size = np.concatenate(rk, axis=1), np.array(nodes, U64), np.array(sizes, np.int64)
+        rows = []
+        order = np.argsort(bucket(node), kind="stable")
+        for x, c in zip(*_runs(bucket(node)[order]), strict=True):
+            i = order[x : x + c]
+            rows.append((int(bucket(node[i[:1]])[0]), INFO, int(c), b"".join([keys[0, i].tobytes(), keys[1, i].tobytes(), node[i].tobytes(), size[i].tobytes(), *(sketches[t].tobytes() for t in i)])))
+        if sigs:
+            key, owner = np.concatenate(sigs), np.concatenate(owners)
+            sigs.clear()
+            owners.clear()
+            key, owner, hot = _sorted_distinct(key, owner, np.zeros(len(key), np.uint8))
+            at, count = _runs(key)
+            often = count > p.batch_hot
+            if often.any():
+                a, b = _star(at, count, owner, often)
+                rows += [(x, EDGE, n, blob) for x, n, blob in pack_buckets(bucket(a), a, b)]
+                hot = np.repeat(often, count).astype(np.uint8)
+                keep = hot == 0
+                keep[at] = True
+                key, owner, hot = key[keep], owner[keep], hot[keep]
+            rows += [(x, SIG, n, blob) for x, n, blob in pack_signatures(bucket(key), key, owner, hot)]
+        return _packed_batch(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, p.batch_rows) for whole in batches for at in range(0, whole.num_rows, p.batch_rows)):
-            rk, rk2 = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(U64) for c in ROW)
-            nodes, sizes, sketches, sigs, owners, seen = [], [], [], [], [], set()
-            for text in documents_of(batch):
+        held: tuple[list, ...] = ([], [], [], [], [], [])
+        seen, n = set(), 0
+        for batch in batches:
+            rk = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).view(U64) for c in ROW])
+            for i, text in enumerate(documents_of(batch)):
                 s = shingle_set(text, p.words)
                 node = set_node(s) if len(s) else 0
-                nodes.append(node)
-                sizes.append(len(s))
-                sketches.append(sketch(s))
+                for column, v in zip(held, (rk[:, i : i + 1], node, len(s), sketch(s)), strict=False):
+                    column.append(v)
                 if len(s) and node not in seen:
                     seen.add(node)
                     g = signatures(s, p)
-                    sigs.append(g)
-                    owners.append(np.full(len(g), node, U64))
-            node, size = np.array(nodes, U64), np.array(sizes, np.int64)
-            rows = []
-            order = np.argsort(bucket(node), kind="stable")
-            for x, c in zip(*_runs(bucket(node)[order]), strict=True):
-                i = order[x : x + c]
-                rows.append((int(bucket(node[i[:1]])[0]), INFO, int(c), b"".join([rk[i].tobytes(), rk2[i].tobytes(), node[i].tobytes(), size[i].tobytes(), *(sketches[t].tobytes() for t in i)])))
-            if sigs:
-                key, owner = np.concatenate(sigs), np.concatenate(owners)
-                key, owner, hot = _sorted_distinct(key, owner, np.zeros(len(key), np.uint8))
-                at, count = _runs(key)
-                often = count > p.batch_hot
-                if often.any():
-                    a, b = _star(at, count, owner, often)
-                    rows += [(x, EDGE, n, blob) for x, n, blob in pack_buckets(bucket(a), a, b)]
-                    hot = np.repeat(often, count).astype(np.uint8)
-                    keep = hot == 0
-                    keep[at] = True
-                    key, owner, hot = key[keep], owner[keep], hot[keep]
-                rows += [(x, SIG, n, blob) for x, n, blob in pack_signatures(bucket(key), key, owner, hot)]
-            yield _packed_batch(rows)
+                    held[4].append(g)
+                    held[5].append(np.full(len(g), node, U64))
+                    n += len(g)
+                # as many signatures as fill a few megabytes, however long the texts are
+                if n > most or len(held[0]) == p.batch_rows:
+                    yield packed(*held)
+                    held, n = ([], [], [], [], [], []), 0
+                    seen.clear()
+        if held[0]:
+            yield packed(*held)
 
     return run
 
@@ -319,13 +335,20 @@ def _bucket_pass(p: JaccardParams):
                     ends = 32 * n + np.cumsum(8 * sketch_words(size))
                     yield _found(INFO, rk, nd, rk2, size, [np.frombuffer(blob, U64, w, e - 8 * w) for w, e in zip(sketch_words(size), ends, strict=True)])
                 elif kind == SIG:
-                    parts.append(unpack_signatures(n, blob))
+                    parts.append((n, blob))
                 else:
                     a, b = unpack(n, blob, U64, U64)
                     ea.append(a)
                     eb.append(b)
-            if parts:
-                key, node, hot = _sorted_distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            # a bucket's signatures are looked at by ranges of their values, so that few are unpacked at once
+            ranges = 1 + sum(n for n, _ in parts) // p.bucket_sigs
+            for part in range(ranges if parts else 0):
+                some = []
+                for n, blob in parts:
+                    key, node, hot = unpack_signatures(n, blob)
+                    mine = ((key >> U64(32)) * U64(ranges)) >> U64(32) == U64(part)
+                    some.append((key[mine], node[mine], hot[mine]))
+                key, node, hot = _sorted_distinct(*(np.concatenate(x) for x in zip(*some, strict=True)))
                 at, count = _runs(key)
                 plain = (count > 1) & ((hot[at] > 0) | (count > p.bucket_sets))
                 a, b = _star(at, count, node, plain)

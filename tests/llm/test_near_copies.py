@@ -34,7 +34,7 @@ def groups(df):
 
 @pytest.mark.parametrize(
     "name,more",
-    [("plain", {}), ("by signature", {"unit_sets": 3}), ("by blocks", {"unit_sets": 2, "unit_shingles": 150}), ("hot in a batch", {"batch_hot": 1, "unit_sets": 5}), ("hot bucket", {"bucket_sets": 2, "unit_shingles": 500})],
+    [("plain", {}), ("by signature", {"unit_sets": 3}), ("by blocks", {"unit_sets": 2, "unit_shingles": 150}), ("hot in a batch", {"batch_hot": 1, "unit_sets": 5}), ("hot bucket", {"bucket_sets": 2, "unit_shingles": 500}), ("small batches", {"batch_sigs": 1, "batch_rows": 7, "bucket_sigs": 10})],
 )
 def test_every_way_gives_the_same_exact_groups(make, name, more):
     texts = corpus(3)
@@ -132,3 +132,9 @@ def test_one_row_of_each_group_stays(make):
     rows = [(r["doc_id"], (r["text"] or "")[:2], r["_rk"], r["_row"]) for r in kept.collect()]
     assert sorted(rows, key=str) == sorted([(1, "a0", 1, "k"), (None, "b0", None, "k"), (7, "c0", 7, "k"), (3, "", 3, "k"), (3, "", 3, "k"), (3, "", 3, "k")], key=str)
     assert J.keep_one_of_each(df.where("false")).count() == 0
+
+
+def test_components_with_a_hub(spark):
+    edges = [(0, i) for i in range(1, 400)] + [(399, 500 + i) for i in range(200)] + [(900, 901), (901, 902)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for e in edges[:-2] for i in e} | {900: 900, 901: 900, 902: 900}
