@@ -27,6 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from fieldspark.llm.common import U64
 
 UNKNOWN = "und"
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -152,10 +153,11 @@ def fit_languages(labelled: DataFrame, params: LanguageParams | None = None, id_
     if not counts:
         return none
     per = max(1, min(p.per_language, p.max_sample // len(counts)))
-    # a share of each language, so that every task sends its part of a bounded sample; languages are few (one row each)
+    # a share of each language, so that every task sends its part of a bounded sample
     rates = labelled.sparkSession.createDataFrame([(k, min(1.0, 1.25 * (per + 8) / n)) for k, n in counts.items()], "lang string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(7), F.col("id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(rates, "lang").where(draw < F.col("rate")).select("lang", "text")
+    # one row a language: a table of at most ``FEW`` languages is broadcast, a larger one is joined as Spark sees fit
+    sample = rows.join(F.broadcast(rates) if len(counts) <= FEW else rates, "lang").where(draw < F.col("rate")).select("lang", "text")
     got = sample.mapInArrow(_bits_pass(p), "lang string, bits binary").distinct().collect()
     got = sorted((r["lang"], bytes(r["bits"])) for r in got)
     picked: dict[str, list[bytes]] = {}
