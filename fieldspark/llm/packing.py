@@ -116,14 +116,28 @@ def _pack_pass(length: int, open_bins: int, block: int):
         ctx = TaskContext.get()
         base = (ctx.partitionId() if ctx else 0) << 40
         fit = BestFit(length, open_bins)
+
+        def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            size = rows.column("length").to_numpy()
+            seq, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            for i in np.argsort(-size, kind="stable"):
+                seq[i], off[i] = fit.put(int(size[i]))
+            yield from rows.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).combine_chunks().to_batches()
+
+        # blocks are whole however the rows come in batches
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, block):
-                part = batch.slice(lo, block)
-                size = part.column(part.schema.get_field_index("length")).to_numpy(zero_copy_only=False)
-                seq, off = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
-                for i in np.argsort(-size, kind="stable"):
-                    seq[i], off[i] = fit.put(int(size[i]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(seq + base), pa.array(off)], [*part.schema.names, "sequence_id", "offset"])
+            while n + batch.num_rows >= block:
+                held.append(batch.slice(0, block - n))
+                batch = batch.slice(block - n)
+                yield from packed(pa.Table.from_batches(held))
+                held, n = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if held:
+            yield from packed(pa.Table.from_batches(held))
 
     return run
 
@@ -141,6 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, n_ids long"
     pieces = src.mapInArrow(_token_pass(tokenizer_path, length, end_id), schema)
-    spread = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # with the task that made a piece, so that very many equal rows are not one task's
+    spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())
     dealt = pieces.withColumn("_h", spread).repartition(max(1, partitions(spark) // 4), "_h").sortWithinPartitions("_h", "doc_id", "piece", "start").drop("_h")
     return dealt.mapInArrow(_pack_pass(length, open_bins, block), schema + ", sequence_id long, offset long")

@@ -1,10 +1,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fieldspark.llm import chat, language_id, queries
 from fieldspark.llm import cross_polytope as A
+from fieldspark.llm.common import written
 
 
 def vectors(spark, x, ids=None):
@@ -238,6 +240,30 @@ def test_pipeline_equals_brute_force(spark, sample):
     assert steps["best_fit_packing"].count() == corpus_pipeline.run(spark, sample).count()
 
 
+def test_stages_with_odd_rows(spark, make):
+    """Nulls, repeated rows and ids, clashing columns: every stage keeps the columns, one copy of each document stays whole."""
+    rng = np.random.default_rng(7)
+    say = lambda n: " ".join(rng.choice(["wald", "haus", "berg", "see", "weg", "stein", "bach", "feld"], n)) + f" ende{rng.integers(1 << 40)}"
+    a, b, c = say(120), say(120), say(150)
+    texts = [a, a, a, b, b, c, c[:-40], None, "", "12 34", "start " + b[200:500] + " " + say(60)]
+    docs = make(texts, ids=[1, 1, 2, None, None, 3, 4, 5, 6, 7, 8])
+    for name in ("score", "lang_pred", "n_lines", "_rk", "_row", "_rest", "_text", "c0", "unit"):
+        docs = docs.withColumn(name, F.col("text"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = written(stage(spark, now, ""), name)
+        assert now.columns == docs.columns and [f.dataType for f in now.schema] == [f.dataType for f in docs.schema]
+        assert stage(spark, docs.where("false"), "").count() == 0
+    rows = sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str)
+    assert [i for i, _ in rows] == [1, 3, 8, None]
+    left = dict(rows)
+    # null ids come before all others, so the null row keeps the passage it shares with 8
+    assert left[1] == a and left[None] == b and left[3] == c and b[210:490] not in left[8]
+    assert all(r["score"] == r["n_lines"] == r["c0"] and r["score"] in (a, b, c, texts[-1]) for r in now.collect())
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, "").where("length > 1").count() > 0 and last(spark, docs.where("false"), "").count() == 0
+
+
 def test_held_out_rule(spark):
     import zlib
 
