@@ -22,6 +22,7 @@ from fieldspark.functions.physics import EDF_L1, EDF_P1, EDF_P2, EDF_P3, correct
 from fieldspark.operators.lineage import cut
 
 GROUP = ("level", "band")
+SINGULAR = 1e-12
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,9 @@ def _quadratic(a: str, b: str, h: dict[str, Column]) -> Column:
 
 
 def _inverse(s00: float, s11: float, s10: complex) -> tuple[float, float, complex]:
-    """Inverse of [[s00, conj(s10)], [s10, s11]]; a singular matrix gives small constants."""
+    """Inverse of [[s00, conj(s10)], [s10, s11]]; a matrix that is singular but for rounding gives small constants."""
     det = s00 * s11 - abs(s10) ** 2
-    if det == 0 or not np.isfinite(det):
+    if not np.isfinite(det) or det <= SINGULAR * s00 * s11:
         return 1e-4, 1e-4, 1e-4 + 0j
     return s11 / det, s00 / det, -s10 / det
 

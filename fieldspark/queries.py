@@ -290,7 +290,24 @@ def decimate_mean(spark, d):
     return rounded(S.decimate_mean(daily(spark, d), ["station"], ["hx", "ex"], 4), 9)
 
 
-@query()
+def _kernel_sql(factor: int, reach: int) -> str:
+    """The zero-phase filter as a convolution: its gain in closed form, back to the time domain."""
+    x = f"tan(pi() * least(k, 2048 - k) / 2048) / tan(pi() * 0.8 / {factor} / 2)"
+    return f"""kern AS MATERIALIZED (SELECT m, sum(r * cos(2 * pi() * ((k * m) % 2048) / 2048)) / 2048 AS h FROM (
+    SELECT k, 1 / (1 + (power(10, {D.RIPPLE_DB} / 10) - 1) * power(CASE WHEN x > 1 THEN cosh({D.ORDER} * acosh(x)) ELSE cos({D.ORDER} * acos(x)) END, 2)) AS r FROM (SELECT k, {x} AS x FROM (SELECT unnest(range(0, 2048)) AS k))
+  ), (SELECT unnest(range(0, {reach + 1})) AS m) GROUP BY m)"""
+
+
+def _decimated_sql(source: str, target: str, factor: int, reach: int) -> str:
+    """Every ``factor``-th sample of the filtered ``source``; beyond its ends the series goes on as its point reflection."""
+    value = lambda c: f"CAST(sum(h * CASE WHEN p.n IS NULL THEN a.{c} ELSE 2 * p.{c} - a.{c} END) AS DOUBLE) AS {c}"
+    return f"""{target} AS MATERIALIZED (SELECT i.station, i.q AS n, {", ".join(map(value, CH))} FROM (
+    SELECT station, q, f, m, CASE WHEN r < 0 THEN least(-r, l) WHEN r > l THEN greatest(2 * l - r, 0) ELSE r END AS at, CASE WHEN r < 0 THEN 0 WHEN r > l THEN l END AS pivot FROM (
+      SELECT station, f, l, q, m, {factor} * q + m AS r FROM (SELECT station, min(n) AS f, max(n) - min(n) AS l FROM {source} GROUP BY 1) e, LATERAL (SELECT unnest(range(0, e.l // {factor} + 1)) AS q) u, (SELECT unnest(range({-reach}, {reach + 1})) AS m))
+  ) i JOIN kern ON kern.m = abs(i.m) JOIN {source} a ON a.station = i.station AND a.n = i.f + i.at LEFT JOIN {source} p ON p.station = i.station AND p.n = i.f + i.pivot GROUP BY i.station, i.q)"""
+
+
+@query(f"WITH {DAILY_SQL}, {_kernel_sql(4, D.halo_samples(4))}, {_decimated_sql('daily', 'dec1', 4, D.halo_samples(4))} SELECT station, n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in CH)} FROM dec1")
 def decimate_iir(spark, d):
     return rounded(D.decimate(daily(spark, d), ["station"], CH, 4))
 
@@ -570,29 +587,33 @@ def edf_leverage_one_pass(spark, d):
 
 def _moments_sql(source: str, a: str, b: str, where: str = "", keys: str = "band") -> str:
     """Counts and means, and the inverse of the 2 x 2 covariance made of them."""
-    return f"""SELECT *, CASE WHEN det = 0 THEN 1e-4 ELSE s11 / det END AS h00, CASE WHEN det = 0 THEN 1e-4 ELSE s00 / det END AS h11, CASE WHEN det = 0 THEN 1e-4 ELSE -cr / det END AS hr, CASE WHEN det = 0 THEN 0 ELSE -ci / det END AS hi FROM (
-    SELECT *, s00 * s11 - cr * cr - ci * ci AS det FROM (SELECT {keys}, count(*) AS n, avg({a}_re * {a}_re + {a}_im * {a}_im) AS s00, avg({b}_re * {b}_re + {b}_im * {b}_im) AS s11, avg({b}_re * {a}_re + {b}_im * {a}_im) AS cr, avg({b}_im * {a}_re - {b}_re * {a}_im) AS ci FROM {source} {where} GROUP BY {keys}))"""
+    return f"""SELECT *, CASE WHEN flat THEN 1e-4 ELSE s11 / det END AS h00, CASE WHEN flat THEN 1e-4 ELSE s00 / det END AS h11, CASE WHEN flat THEN 1e-4 ELSE -cr / det END AS hr, CASE WHEN flat THEN 0 ELSE -ci / det END AS hi FROM (
+    SELECT *, s00 * s11 - cr * cr - ci * ci AS det, s00 * s11 - cr * cr - ci * ci <= {R.SINGULAR} * s00 * s11 AS flat FROM (SELECT {keys}, count(*) AS n, avg({a}_re * {a}_re + {a}_im * {a}_im) AS s00, avg({b}_re * {b}_re + {b}_im * {b}_im) AS s11, avg({b}_re * {a}_re + {b}_im * {a}_im) AS cr, avg({b}_im * {a}_re - {b}_re * {a}_im) AS ci FROM {source} {where} GROUP BY {keys}))"""
 
 
 def _edf_sql(a: str, b: str, h: str) -> str:
     return f"({a}_re * {a}_re + {a}_im * {a}_im) * {h}.h00 + ({b}_re * {b}_re + {b}_im * {b}_im) * {h}.h11 + 2 * (({b}_re * {a}_re + {b}_im * {a}_im) * {h}.hr - ({b}_re * {a}_im - {b}_im * {a}_re) * {h}.hi)"
 
 
-def edf_sql(rounds: int = 14) -> str:
-    """Leverage with the covariance of the inliers, round by round (a settled band stays), and the weights of both stations."""
-    parts = [f"WITH {OBS_SQL}, h0 AS MATERIALIZED ({_moments_sql('obsr', 'hx', 'hy')}), n0s AS (SELECT band, n AS n_all FROM h0)"]
+def edf_sql(source: str, reference: tuple[str, str] | None, rounds: int = 14) -> str:
+    """``ww(band, w, k, weight)``: leverage with the covariance of the inliers, round by round (a settled band stays), and weights made of it."""
+    parts = [f"h0 AS MATERIALIZED ({_moments_sql(source, 'hx', 'hy')}), n0s AS (SELECT band, n AS n_all FROM h0)"]
     for i in range(1, rounds + 1):
-        parts.append(f"e{i} AS MATERIALIZED (SELECT o.*, {_edf_sql('hx', 'hy', 'h')} AS edf FROM obsr o JOIN h{i - 1} h ON o.band = h.band)")
+        parts.append(f"e{i} AS MATERIALIZED (SELECT o.*, {_edf_sql('hx', 'hy', 'h')} AS edf FROM {source} o JOIN h{i - 1} h ON o.band = h.band)")
         parts.append(f"m{i} AS MATERIALIZED ({_moments_sql(f'e{i}', 'hx', 'hy', 'WHERE edf <= 20.0')})")
         cols = ", ".join(f"CASE WHEN coalesce(m.n, 0) IN (0, h.n) THEN h.{c} ELSE m.{c} END AS {c}" for c in ("h00", "h11", "hr", "hi"))
         parts.append(f"h{i} AS MATERIALIZED (SELECT h.band, coalesce(m.n, 0) AS n, {cols} FROM h{i - 1} h LEFT JOIN m{i} m ON h.band = m.band)")
     wt = lambda e: f"CASE WHEN {e} > 10 * sqrt(n_all) THEN 0.0 WHEN {e} > 2 * sqrt(n_all) THEN sqrt(2 * sqrt(n_all) / {e}) ELSE 1.0 END"
-    parts.append(f"q AS ({_moments_sql('obsr', 'r_hx', 'r_hy')}), both_edf AS (SELECT o.band, o.w, o.k, n_all, {_edf_sql('hx', 'hy', 'h')} AS el, {_edf_sql('r_hx', 'r_hy', 'q')} AS er FROM obsr o JOIN h{rounds} h ON o.band = h.band JOIN q ON o.band = q.band JOIN n0s ON o.band = n0s.band)")
-    parts.append(f"ww AS (SELECT band, w, k, {wt('el')} AS wl, {wt('er')} AS wr FROM both_edf)")
-    return ", ".join(parts) + " SELECT CAST(band AS INTEGER) AS band, w, k, round(CASE WHEN wr > 5 * wl OR wl > 5 * wr THEN 0.0 ELSE wl * wr END, 6) + 0.0 AS weight FROM ww"
+    el = _edf_sql("hx", "hy", "h")
+    if reference is None:
+        parts.append(f"ww AS (SELECT band, w, k, {wt('el')} AS weight FROM (SELECT o.band, o.w, o.k, n_all, {el} AS el FROM {source} o JOIN h{rounds} h ON o.band = h.band JOIN n0s ON o.band = n0s.band))")
+        return ", ".join(parts)
+    parts.append(f"q AS ({_moments_sql(source, *reference)}), both_edf AS (SELECT o.band, o.w, o.k, n_all, {el} AS el, {_edf_sql(*reference, 'q')} AS er FROM {source} o JOIN h{rounds} h ON o.band = h.band JOIN q ON o.band = q.band JOIN n0s ON o.band = n0s.band)")
+    parts.append(f"ww AS (SELECT band, w, k, CASE WHEN wr > 5 * wl OR wl > 5 * wr THEN 0.0 ELSE wl * wr END AS weight FROM (SELECT band, w, k, {wt('el')} AS wl, {wt('er')} AS wr FROM both_edf))")
+    return ", ".join(parts)
 
 
-@query(edf_sql())
+@query(f"WITH {OBS_SQL}, {edf_sql('obsr', ('r_hx', 'r_hy'))} SELECT CAST(band AS INTEGER) AS band, w, k, round(weight, 6) + 0.0 AS weight FROM ww")
 def edf_weights(spark, d):
     w = R.leverage_weights(remote_obs(spark, d), ["hx", "hy"], ["r_hx", "r_hy"])
     return rounded(w.select("band", "w", "k", "weight"))
@@ -618,7 +639,7 @@ def robust_sql(source: str, ref: tuple[str, str], p: R.RobustParams | None = Non
 
     parts = [
         f"yl AS MATERIALIZED ({' UNION ALL '.join(map(row, outputs))})",
-        f"gram AS MATERIALIZED (SELECT *, {named(minus(mul('g00', 'g11'), mul('g01', 'g10')), 'd')} FROM (SELECT band, count(*) AS n, {gram} FROM yl WHERE output = 'ex' GROUP BY band))",
+        f"gram AS MATERIALIZED (SELECT *, {named(minus(mul('g00', 'g11'), mul('g01', 'g10')), 'd')} FROM (SELECT band, count(*) AS n, {gram} FROM yl WHERE output = 'ex' GROUP BY band HAVING count(*) >= 2))",
         "c0 AS MATERIALIZED (SELECT *, yr AS cr, yi AS ci, 1.0 AS psi FROM yl)",
         f"b0 AS MATERIALIZED ({estimate('c0')})",
     ]
@@ -629,8 +650,8 @@ def robust_sql(source: str, ref: tuple[str, str], p: R.RobustParams | None = Non
     factor = correction_factor(p.r0)
     last = p.max_iterations + p.max_redescending
     for i in range(1, last + 1):
-        weight = f"""CASE WHEN stage = 1 THEN CASE WHEN size <= {p.r0} * sg THEN 1.0 ELSE {p.r0} * sg / size END WHEN stage = 2 THEN exp(-exp(least({p.u0} * (size / sg - {p.u0}), 700.0))) ELSE 1.0 END"""
-        psi = f"CASE WHEN stage = 1 THEN CASE WHEN wt = 1 THEN 1.0 ELSE 0.0 END WHEN stage = 2 THEN greatest(wt * (1 - {p.u0} * exp(least({p.u0} * (size / sg - {p.u0}), 700.0)) * (size / sg)), 0.0) ELSE 1.0 END"
+        weight = f"""CASE WHEN stage = 1 THEN CASE WHEN size <= {p.r0} * sg THEN 1.0 ELSE {p.r0} * sg / size END WHEN stage = 2 THEN CASE WHEN sg = 0 THEN (size = 0)::INT::DOUBLE ELSE exp(-exp(least({p.u0} * (size / sg - {p.u0}), 700.0))) END ELSE 1.0 END"""
+        psi = f"CASE WHEN stage = 1 THEN CASE WHEN wt = 1 THEN 1.0 ELSE 0.0 END WHEN stage = 2 AND sg = 0 THEN wt WHEN stage = 2 THEN greatest(wt * (1 - {p.u0} * exp(least({p.u0} * (size / sg - {p.u0}), 700.0)) * (size / sg)), 0.0) ELSE 1.0 END"
         parts.append(f"f{i} AS (SELECT y.*, s.stage, sqrt(greatest(s.var, 0)) AS sg, {fit('s')[0]} AS fr, {fit('s')[1]} AS fi FROM yl y JOIN st{i - 1} s ON y.band = s.band AND y.output = s.output WHERE s.stage < 3)")
         parts.append(f"r{i} AS (SELECT *, sqrt(power(yr - fr, 2) + power(yi - fi, 2)) AS size FROM f{i}), t{i} AS (SELECT *, {weight} AS wt FROM r{i})")
         parts.append(f"c{i} AS MATERIALIZED (SELECT *, fr + (yr - fr) * wt AS cr, fi + (yi - fi) * wt AS ci, {psi} AS psi FROM t{i})")
@@ -642,7 +663,7 @@ def robust_sql(source: str, ref: tuple[str, str], p: R.RobustParams | None = Non
         parts.append(f"st{i} AS MATERIALIZED (SELECT band, output, {', '.join(cols)}, CASE WHEN was = 2 AND stage = 3 THEN 2 * psi1 - 1 ELSE psi1 END AS psi, ss, ss / n * (CASE WHEN was = 1 THEN {factor!r} ELSE 1 END) AS var, stage, steps, red FROM l{i} UNION ALL SELECT band, output, {', '.join(cols)}, psi, ss, var, stage, steps, red FROM st{i - 1} WHERE stage = 3)")
     final = f"st{last}"
     parts.append(f"raw AS (SELECT y.band, y.output, sum(power(yr - ({fit('s')[0]}), 2) + power(yi - ({fit('s')[1]}), 2)) AS ssr FROM yl y JOIN {final} s ON y.band = s.band AND y.output = s.output GROUP BY ALL)")
-    wide = "s.band, s.output, s.n, s.psi, s.ss, greatest(0.0, 1 - r.ssr / s.yy) AS r2, s.ss / power(s.psi, 2) / (s.n - 2) AS cov_nn"
+    wide = "s.band, s.output, s.n, s.psi, s.ss, greatest(0.0, 1 - r.ssr / s.yy) AS r2, CASE WHEN s.n > 2 THEN s.ss / power(s.psi, 2) / (s.n - 2) END AS cov_nn"
     parts.append("est AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {wide}, '{x}' AS input, s.b{k}r AS re, s.b{k}i AS im FROM {final} s JOIN raw r ON s.band = r.band AND s.output = r.output" for k, x in enumerate(("hx", "hy"))) + ")")
     return ", " + ", ".join(parts)
 
@@ -772,16 +793,52 @@ def process_weighted(spark, d):
     return rounded(process(daily(spark, d), config, features=[feature]).select("level", "band", "period", "output", "input", "re", "im", "n", "r2", "se", "rho", "phi"), 5)
 
 
-@query()
+def chain_sql(remote: bool, digits: int) -> str:
+    """The whole chain of three levels: decimate, prewhiten, windows, coefficients, bands, leverage weights, robust estimates.
+
+    Bands are numbered 100 * level + band.  Prewhitening and recolouring by a level's rate cancel; what stays of the rate is
+    the scale of the spectral density.
+    """
+    reach = D.halo_samples(4)
+    parts = [DAILY_SQL, _kernel_sql(4, reach), _decimated_sql("daily", "dec1", 4, reach), _decimated_sql("dec1", "dec2", 4, reach)]
+    steps = FC_SQL.replace(DAILY_SQL + ", ", "", 1)
+    local, other, bands = [], [], []
+    for lv, source in enumerate(("daily", "dec1", "dec2")):
+        parts.append(f"white_{lv} AS (SELECT station, n, {', '.join(map(_slope_sql, CH))} FROM {source} WINDOW w AS (PARTITION BY station ORDER BY n))")
+        parts.append(f"ext_{lv} AS (SELECT station, min(n) AS n_first, max(n) AS n_last, CASE WHEN max(n) - min(n) + 1 < 128 THEN 0 ELSE (max(n) - min(n) + 1 - 128) // 96 + 1 END AS nw FROM {source} GROUP BY 1)")
+        made = steps.replace("FROM daily d JOIN ext e", f"FROM white_{lv} d JOIN ext_{lv} e")
+        parts.append(_renamed(made, ("cells", "lng", "line1", "tapered", "line2", "flat", "s2", "fcl", "fc"), f"_{lv}"))
+        own = sorted([b for b in DEFAULT_BANDS if b[0] == lv + 1], key=lambda b: b[1])
+        bands += [f"({100 * lv + i}, {lv}, {i}, {lo}, {hi}, CAST({256.0 * 4**lv / (lo + hi)!r} AS DOUBLE))" for i, (_, lo, hi) in enumerate(own)]
+        of = lambda c, name, lv=lv: f"{2**lv} * {c}_im / (2 * pi() * k / 128) AS {name}_re, {-(2**lv)} * {c}_re / (2 * pi() * k / 128) AS {name}_im"
+        local.append(f"SELECT {lv} AS level, w, n0, k, {', '.join(of(c, c) for c in CH)} FROM fc_{lv} WHERE station = 'O'")
+        other.append(f"SELECT {lv} AS level, n0, k, {of('hx', 'r_hx')}, {of('hy', 'r_hy')} FROM fc_{lv} WHERE station = 'F'")
+    channels = [*CH, *(("r_hx", "r_hy") if remote else ())]
+    parts.append(f"bands(band, level, place, k_lo, k_hi, period) AS (VALUES {', '.join(bands)})")
+    parts.append(f"near AS ({' UNION ALL '.join(local)}), far AS ({' UNION ALL '.join(other)})")
+    joined = "near JOIN far USING (level, n0, k)" if remote else "near"
+    parts.append(f"chain AS MATERIALIZED (SELECT b.band, x.* EXCLUDE (level) FROM (SELECT * FROM {joined}) x JOIN bands b ON b.level = x.level AND x.k BETWEEN b.k_lo AND b.k_hi)")
+    parts.append(edf_sql("chain", ("r_hx", "r_hy") if remote else None))
+    scaled = ", ".join(f"{c}_{p} * weight AS {c}_{p}" for c in channels for p in ("re", "im"))
+    parts.append(f"weighted AS MATERIALIZED (SELECT chain.band, {scaled} FROM chain JOIN ww USING (band, w, k) WHERE weight <> 0)")
+    tail = robust_sql("weighted", ("r_hx", "r_hy") if remote else ("hx", "hy"))
+    se = "" if remote else f"round(sqrt(CASE WHEN g.input = 'hx' THEN q11r ELSE q00r END / (q00r * q11r - q01r * q01r - q01i * q01i) * cov_nn), {digits}) + 0.0 AS se, "
+    return f"""WITH {', '.join(parts)}{tail}, there AS (SELECT band, count(*) AS n FROM weighted GROUP BY band), g AS (SELECT band, n, o AS output, i AS input FROM there, (VALUES ('ex'), ('ey'), ('hz')) a(o), (VALUES ('hx'), ('hy')) b(i))
+      SELECT CAST(level AS INTEGER) AS level, CAST(place AS INTEGER) AS band, round(period, {digits}) AS period, g.output, g.input, round(re, {digits}) + 0.0 AS re, round(im, {digits}) + 0.0 AS im, CAST(g.n AS BIGINT) AS n, {se}
+        CASE WHEN g.output <> 'hz' THEN round(0.2 * period * (re * re + im * im), 1) + 0.0 END AS rho, CASE WHEN g.output <> 'hz' THEN round(degrees(atan(im / re)), {digits}) + 0.0 END AS phi
+      FROM g JOIN bands USING (band) LEFT JOIN est ON est.band = g.band AND est.output = g.output AND est.input = g.input LEFT JOIN (SELECT band, q00r, q11r, q01r, q01i FROM gram) m ON m.band = g.band"""
+
+
+@query(chain_sql(False, 5))
 def process_single_station(spark, d):
     config = create_config("O", 1.0, engine="RME", family="hamming", inputs=("hx", "hy"), outputs=("ex", "ey", "hz"))
-    return rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "se", "rho", "phi"), 5)
+    return rounded(rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "se", "rho", "phi"), 5, "period", "re", "im", "se", "phi"), 1, "rho")
 
 
-@query()
+@query(chain_sql(True, 4))
 def process_remote_reference(spark, d):
     config = create_config("O", 1.0, "F", engine="RME_RR", family="hamming")
-    return rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "rho", "phi"), 4)
+    return rounded(rounded(process(daily(spark, d), config).select("level", "band", "period", "output", "input", "re", "im", "n", "rho", "phi"), 4, "period", "re", "im", "phi"), 1, "rho")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
