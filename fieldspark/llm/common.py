@@ -42,17 +42,24 @@ def written(df: DataFrame, tag: str = "t") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
+    # results read it whenever they are computed, so what is not discarded goes when the driver ends
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
     return out
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables made by :func:`written` once nothing reads them any more."""
     for df in tables:
         path = getattr(df, "_written_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            fs, p = _file_system(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of fewer splits than there are cores, so a small one, is dealt to all cores before texts are worked on."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -24,38 +30,38 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard_groups(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.ngram_jaccard_groups(documents(spark, sf_dir))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")).drop("n_ids")
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).drop("n_ids")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digest(documents(spark, sf_dir))
 
 
 def op4_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = cotraining.quality_views(table(spark, sf_dir, "documents"))
+    views = cotraining.quality_views(documents(spark, sf_dir))
     return cotraining.score_quality(views, cotraining.fit_quality(views, table(spark, sf_dir, "labels")))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    return tokens.round_trip_digest(documents(spark, sf_dir), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed_lines", "text")
+    return line_dedup.remove_boilerplate(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = language_id.fit_languages(docs.where(~language_id.held_out()))
     return language_id.predict_languages(docs.select("doc_id", language_id.held_out().alias("held_out"), "text"), model, keep_text=False)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_quality_rules(documents(spark, sf_dir))
 
 
 def op9_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
