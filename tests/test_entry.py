@@ -8,7 +8,7 @@ from fieldspark import queries as engine
 
 SF = "/root/testdata/sf0.01"
 #: quick ones of each family; the others run the same way
-NAMES = ["run_summary", "simultaneous_intervals", "processing_summary", "nan_to_mean", "clock_zero_clip", "first_difference", "median_filter", "sliding_windows", "detrend_linear", "stft", "cross_power", "tf_ols", "tf_remote", "resistivity_phase", "huber_step"]
+NAMES = ["run_summary", "simultaneous_intervals", "processing_summary", "nan_to_mean", "clock_zero_clip", "first_difference", "median_filter", "sliding_windows", "detrend_linear", "stft", "cross_power", "tf_ols", "tf_remote", "resistivity_phase", "huber_step", "taper_families", "prewhitened_stft", "feature_weights", "compare_tf", "decimate_iir", "edf_weights", "tf_rme", "process_stored"]
 
 
 def test_entry_runs(spark):
