@@ -476,7 +476,10 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     text_of = src.join(ask.hint("shuffle_hash"), list(ROW)).select(F.col("_text").alias("text"), "ask", "ord", "_rest")
     packed = text_of.mapInArrow(_context_pass(p, 4 * n), PACKED)
     hits = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT), "op3")
-    whole = even.join(hits.where("n < 0").select("h").distinct(), "h", "left_anti").select(*ROW, stretch(F.lit(0), F.col("size")))
+    unlike = hits.where("n < 0").select("h").distinct()
+    if unlike.limit(1).count():
+        even = even.join(unlike, "h", "left_anti")
+    whole = even.select(*ROW, stretch(F.lit(0), F.col("size")))
     hits = hits.where("n >= 0").groupBy("h", "c").agg(F.min("lo").alias("dlo"), F.max("hi").alias("dhi"), F.max("n").alias("n"))
     # both sides know how often the anchor occurs: its rows go to as many places as they make blocks
     slots = F.greatest(F.ceil(F.col("n") / p.block), F.lit(1)).cast("long")
