@@ -69,6 +69,14 @@ def test_intervals_of_all_stations(spark):
     assert sum(n for (_, remote), n in sides.items() if not remote) == len(expected) == sum(n for (_, remote), n in sides.items() if remote)
 
 
+def test_requests_of_runs_with_the_same_interval(spark):
+    rows = [("s", "a", run, c, "2020-01-01", "2020-02-01") for run in ("1", "2") for c in ("hx", "zz")] + [("s", "a", "1", "hx", "2020-01-01", "2020-02-01")]
+    channels = spark.createDataFrame(rows, ["survey", "station", "run", "component", "start", "end"])
+    got = P.request_table(channels, "ZZ")
+    assert got.columns == ["network", "station", "location", "channel", "start", "end"]
+    assert sorted(r["channel"] for r in got.collect()) == ["LFN", "LFN", "ZZ", "ZZ"]
+
+
 def test_all_zero_runs_sees_every_hour(spark, tmp_path):
     rows = [(0, "click", "2024-01-01 05:00:00"), (0, "error", "2024-01-20 05:00:00"), (1, "error", "2024-01-01 05:00:00"), (1, "click", "2024-01-29 23:00:00")]
     spark.createDataFrame(rows, "user_id long, event_type string, ts string").withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
