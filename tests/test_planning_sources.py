@@ -69,6 +69,26 @@ def test_intervals_of_all_stations(spark):
     assert sum(n for (_, remote), n in sides.items() if not remote) == len(expected) == sum(n for (_, remote), n in sides.items() if remote)
 
 
+@pytest.fixture(scope="module")
+def odd_runs(spark):
+    """Runs of four stations with equal starts, ends and whole intervals, empty ones and some across years."""
+    day = lambda i: f"timestamp '2020-01-01 00:00:00' + make_interval(0, 0, 0, {i})"
+    runs = spark.range(240).selectExpr("cast(id % 4 as string) as station", "cast(id as string) as run", f"{day('int(id * 7 % 60)')} as start", f"{day('int(id * 7 % 60 + id * 5 % 23 + if(id % 9 = 0, 800, 0) - if(id % 31 = 0, 5, 0))')} as end").cache()
+    return runs, spark.createDataFrame([("0", "1"), ("1", "2"), ("3", "0"), ("3", "1"), ("0", "1"), ("9", "1")], ["station", "remote_station"])
+
+
+def test_each_overlap_once(spark, odd_runs, monkeypatch):
+    runs, partners = odd_runs
+    rows, want = [tuple(r) for r in runs.collect()], {tuple(r) for r in partners.collect()}
+    expected = sorted((a, r, b, q, max(s, u), min(e, v)) for a, r, s, e in rows for b, q, u, v in rows if (a, b) in want and s < e and u < v and s < v and u < e)
+    # also with many more slots than one
+    for bucket, slot in ((86400, 256), (30 * 86400, 3), (10**9, 3)):
+        monkeypatch.setattr(P, "SLOT_RUNS", slot)
+        assert sorted(map(tuple, P.simultaneous_intervals(runs, runs, bucket, partners).collect())) == expected
+    every = sum(s < e and u < v and s < v and u < e for _, _, s, e in rows for _, _, u, v in rows)
+    assert P.simultaneous_intervals(runs, runs).count() == every
+
+
 def test_requests_of_runs_with_the_same_interval(spark):
     rows = [("s", "a", run, c, "2020-01-01", "2020-02-01") for run in ("1", "2") for c in ("hx", "zz")] + [("s", "a", "1", "hx", "2020-01-01", "2020-02-01")]
     channels = spark.createDataFrame(rows, ["survey", "station", "run", "component", "start", "end"])
