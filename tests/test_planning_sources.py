@@ -89,6 +89,20 @@ def test_each_overlap_once(spark, odd_runs, monkeypatch):
     assert P.simultaneous_intervals(runs, runs).count() == every
 
 
+def test_kernel_totals_are_those_of_the_rows(spark, odd_runs):
+    runs, partners = odd_runs
+    rows = P.kernel_rows(P.simultaneous_intervals(runs, runs, partners=partners)).groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
+    for bucket in (86400, 30 * 86400):
+        assert sorted(map(tuple, P.kernel_totals(runs, runs, partners, bucket).collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_kernel_totals_make_no_pairs(spark):
+    # 10^10 pairs
+    runs = spark.range(200_000).selectExpr("cast(id % 2 as string) as station", "cast(id as string) as run", "timestamp '2020-01-01 00:00:00' as start", "timestamp '2020-01-02 00:00:00' as end")
+    got = P.kernel_totals(runs, runs, spark.createDataFrame([("0", "1")], ["station", "remote_station"])).collect()
+    assert sorted(map(tuple, got)) == [("0", False, 10**10, 86400.0 * 10**10), ("1", True, 10**10, 86400.0 * 10**10)]
+
+
 def test_requests_of_runs_with_the_same_interval(spark):
     rows = [("s", "a", run, c, "2020-01-01", "2020-02-01") for run in ("1", "2") for c in ("hx", "zz")] + [("s", "a", "1", "hx", "2020-01-01", "2020-02-01")]
     channels = spark.createDataFrame(rows, ["survey", "station", "run", "component", "start", "end"])
