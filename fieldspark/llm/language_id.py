@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldspark.llm.common import U64
+from fieldspark.llm.common import U64, lean
 
 UNKNOWN = "und"
 FEW = 10_000
@@ -158,7 +158,7 @@ def fit_languages(labelled: DataFrame, params: LanguageParams | None = None, id_
     draw = F.pmod(F.xxhash64(F.lit(7), F.col("id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     # one row a language: a table of at most ``FEW`` languages is broadcast, a larger one is joined as Spark sees fit
     sample = rows.join(F.broadcast(rates) if len(counts) <= FEW else rates, "lang").where(draw < F.col("rate")).select("lang", "text")
-    got = sample.mapInArrow(_bits_pass(p), "lang string, bits binary").distinct().collect()
+    got = sample.mapInArrow(lean(_bits_pass(p)), "lang string, bits binary").distinct().collect()
     got = sorted((r["lang"], bytes(r["bits"])) for r in got)
     picked: dict[str, list[bytes]] = {}
     for lang, bits in sorted(got, key=lambda r: (r[0], zlib.crc32(r[1]), r[1])):
@@ -210,7 +210,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
     at = docs.columns.index(text_col)
     fields = [f for i, f in enumerate(docs.schema.fields) if keep_text or i != at]
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(_predict_pass(model, at, int(keep_text)), schema)
+    return docs.mapInArrow(lean(_predict_pass(model, at, int(keep_text))), schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -49,6 +49,7 @@ from fieldspark.llm.common import (
     ascii_lower,
     buckets_of,
     documents_of,
+    lean,
     mix,
     mix_int,
     pack_buckets,
@@ -564,7 +565,7 @@ _SETS = "unit long, node long, shingles binary, sigs array<long>"
 def _linked(units: DataFrame, p: JaccardParams) -> DataFrame:
     n = partitions(units.sparkSession)
     dealt = units.repartition(n, "unit", "x", "y").sortWithinPartitions("unit", "x", "y")
-    return dealt.mapInArrow(_unit_pass(p), "a long, b long")
+    return dealt.mapInArrow(lean(_unit_pass(p)), "a long, b long")
 
 
 def _large_units(sets: DataFrame, p: JaccardParams) -> DataFrame:
@@ -585,21 +586,21 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row_key(id_col, text_col))
     n = partitions(spark)
     n_buckets = 4 * n
-    packed = src.select(*ROW, "text").mapInArrow(_signature_pass(p, n_buckets), PACKED)
-    found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_pass(p), FOUND), "op1")
+    packed = src.select(*ROW, "text").mapInArrow(lean(_signature_pass(p, n_buckets)), PACKED)
+    found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bucket_pass(p)), FOUND), "op1")
     info = found.where(F.col("kind") == INFO).select(F.col("a").alias("_rk"), F.col("a2").alias("_rk2"), F.col("b").alias("node"), "n")
 
     # sets that share a signature, with their sketches: which of them may link
     sketches = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
     multi = found.where(F.col("kind") == MULTI).select(F.col("a").alias("sig"), F.col("b").alias("node"))
     shared = multi.join(sketches, "node").select("sig", "node", "n", "sketch").repartition(n, "sig").sortWithinPartitions("sig")
-    edges = shared.mapInArrow(_plausible_pass(p), "a long, b long").unionByName(found.where(F.col("kind") == EDGE).select("a", "b"))
+    edges = shared.mapInArrow(lean(_plausible_pass(p)), "a long, b long").unionByName(found.where(F.col("kind") == EDGE).select("a", "b"))
     tied = components(edges)
     # each component of candidates once more with whole sketches, by windows of set sizes
     whole = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", F.coalesce("whole", "sketch").alias("sketch")).dropDuplicates(["node"])
     looked = tied.join(whole, "node").select(F.col("root").alias("unit"), "node", "n", "sketch")
-    looked = looked.mapInArrow(_window_pass(p), "unit long, x long, node long, n long, sketch binary")
-    candidates = components(looked.repartition(n, "unit", "x").sortWithinPartitions("unit", "x").mapInArrow(_refine_pass(p), "a long, b long"))
+    looked = looked.mapInArrow(lean(_window_pass(p)), "unit long, x long, node long, n long, sketch binary")
+    candidates = components(looked.repartition(n, "unit", "x").sortWithinPartitions("unit", "x").mapInArrow(lean(_refine_pass(p)), "a long, b long"))
     # one document stands for each set
     stand = info.where("n > 0").groupBy("node").agg(F.min(F.struct(*ROW)).alias("r"), F.max("n").alias("n")).select("node", "r.*", "n")
     wanted = candidates.join(stand, "node")
@@ -610,7 +611,7 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
 
     def sets_of(want: DataFrame, with_signatures: bool) -> DataFrame:
         texts = src.select(*ROW, "text").join(want.hint("shuffle_hash"), list(ROW)).select("node", "unit", "text")
-        return texts.mapInArrow(_set_pass(p, with_signatures), _SETS)
+        return texts.mapInArrow(lean(_set_pass(p, with_signatures)), _SETS)
 
     small = sets_of(wanted.where("not large").drop("large"), False)
     links = _linked(small.select("unit", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "node", "shingles"), p)

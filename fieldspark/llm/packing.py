@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import partitions
+from fieldspark.llm.common import lean, partitions
 
 #: The pre-token pattern of byte-level BPE vocabularies of this kind.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -154,8 +154,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, n_ids long"
-    pieces = src.mapInArrow(_token_pass(tokenizer_path, length, end_id), schema)
+    pieces = src.mapInArrow(lean(_token_pass(tokenizer_path, length, end_id)), schema)
     # with the task that made a piece, so that very many equal rows are not one task's
     spread = F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())
     dealt = pieces.withColumn("_h", spread).repartition(max(1, partitions(spark) // 4), "_h").sortWithinPartitions("_h", "doc_id", "piece", "start").drop("_h")
-    return dealt.mapInArrow(_pack_pass(length, open_bins, block), schema + ", sequence_id long, offset long")
+    return dealt.mapInArrow(lean(_pack_pass(length, open_bins, block)), schema + ", sequence_id long, offset long")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import ROW, U64, buckets_of, documents_of, mix, pack_buckets, partitions, rolling, row_key, text_bytes, unpack, written
+from fieldspark.llm.common import ROW, U64, buckets_of, discard, documents_of, lean, mix, pack_buckets, partitions, rolling, row_key, text_bytes, unpack, written
 
 PACKED = "bucket int, kind int, n int, blob binary"
 #: Symbols of nine bits in the first rank of a suffix; and where contexts of a stretch are cut, in bytes.
@@ -448,7 +448,7 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     first = p.keep == "first"
     keys = ["ord", *ROW] if first else list(ROW)
     place = F.struct(*keys, "lo")
-    marks = src.select(*keys, F.col("_text").alias("text")).mapInArrow(_anchor_pass(p, len(keys)), "h long, c long, lo int, size int, " + ", ".join(f"{k} long" for k in keys))
+    marks = src.select(*keys, F.col("_text").alias("text")).mapInArrow(lean(_anchor_pass(p, len(keys))), "h long, c long, lo int, size int, " + ", ".join(f"{k} long" for k in keys))
     marks = written(marks, "op3")
     measures = [F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")]
     if first:
@@ -460,6 +460,7 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     if first:
         again = again.withColumn("is_first", F.col("lead") == place).drop("lead")
     again = written(again, "op3")
+    discard(marks, count)
 
     even = again.where("even and not is_first") if first else again.where("even")
     stretch = lambda lo, hi: F.struct((F.col("lo") + lo).alias("lo"), (F.col("lo") + hi).alias("hi")).alias("s")
@@ -474,8 +475,8 @@ def repeated_stretches(src: DataFrame, p: RepeatParams) -> DataFrame:
     ask = ask.unionByName(side("lead", LEAD)).unionByName(side("tail", TAIL))
     ask = ask.groupBy(*ROW).agg(F.collect_list("a").alias("ask"))
     text_of = src.join(ask.hint("shuffle_hash"), list(ROW)).select(F.col("_text").alias("text"), "ask", "ord", "_rest")
-    packed = text_of.mapInArrow(_context_pass(p, 4 * n), PACKED)
-    hits = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_factor_pass(p), _HIT), "op3")
+    packed = text_of.mapInArrow(lean(_context_pass(p, 4 * n)), PACKED)
+    hits = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_factor_pass(p)), _HIT), "op3")
     unlike = hits.where("n < 0").select("h").distinct()
     if unlike.limit(1).count():
         even = even.join(unlike, "h", "left_anti")
@@ -579,7 +580,7 @@ def repeat_digest(docs: DataFrame, params: RepeatParams | None = None, id_col: s
     p = params or RepeatParams()
     rows = _with_stretches(docs, p, [id_col], id_col, text_col)
     schema = f"_rest struct<{id_col}:{docs.schema[id_col].dataType.simpleString()}>, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = rows.mapInArrow(_digest_pass(), schema)
+    out = rows.mapInArrow(lean(_digest_pass()), schema)
     return out.select(F.col(f"_rest.`{id_col}`").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -593,5 +594,5 @@ def remove_repeats(docs: DataFrame, params: RepeatParams | None = None, id_col:
     p = params or RepeatParams(keep="first")
     rows = _with_stretches(docs, p, [c for c in docs.columns if c != text_col], id_col, text_col)
     schema = rows.select("_rest", F.col("_text").alias("_new")).schema
-    out = rows.mapInArrow(_text_pass(["_rest", "_new"]), schema)
+    out = rows.mapInArrow(lean(_text_pass(["_rest", "_new"])), schema)
     return out.select(*[F.col("_new").alias(text_col) if c == text_col else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])

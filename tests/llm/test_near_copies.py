@@ -1,11 +1,14 @@
+import os
 import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.llm import ngram_jaccard as J
+from fieldspark.llm.common import lean, written
 from fieldspark.llm.components import components
 
 
@@ -138,3 +141,18 @@ def test_components_with_a_hub(spark):
     edges = [(0, i) for i in range(1, 400)] + [(399, 500 + i) for i in range(200)] + [(900, 901), (901, 902)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for e in edges[:-2] for i in e} | {900: 900, 901: 900, 902: 900}
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = files(), spark.conf.get(key)
+    out = written(spark.range(2000).groupBy((F.col("id") % 700).alias("k")).count().repartition(3, "count"))
+    assert not files() - before and spark.conf.get(key) == setting
+    assert out.count() == 700
+
+
+def test_lean_passes_give_the_same_rows():
+    batches = [pa.RecordBatch.from_pydict({"a": [i, i + 1]}) for i in range(3)]
+    assert list(lean(lambda b: (x for x in b))(iter(batches))) == batches
