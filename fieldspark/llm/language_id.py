@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from fieldspark.llm.common import U64, lean
+from fieldspark.llm.common import U64, give_back, lean
 
 UNKNOWN = "und"
 FEW = 10_000
@@ -103,26 +103,38 @@ class LanguageModel:
         return (x @ self.landmarks) / norm @ self.weights
 
 
-def fit_kernel_ridge(x: np.ndarray, labels: list[str], p: LanguageParams) -> LanguageModel:
+def fit_kernel_ridge(x: np.ndarray, labels: list[str], p: LanguageParams, packed: bool = False) -> LanguageModel:
+    """The model of presence rows ``x`` (0 and 1, or eight of them a byte if ``packed``) and their labels.
+
+    Rows are spread out by blocks of ``batch``: what is held besides ``x`` is the landmarks and sums over the features.
+    """
+    dense = lambda rows: (np.unpackbits(rows, axis=1, count=p.dims) if packed else rows).astype(np.float32)
+    length = lambda rows: np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1).astype(np.float64))
     languages = sorted(set(labels))
-    y = np.array([languages.index(v) for v in labels])
-    x = x.astype(np.float64)
-    norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    place = {v: k for k, v in enumerate(languages)}
+    y = np.array([place[v] for v in labels], np.int64)
     each = max(1, min(p.landmarks, p.max_landmarks // max(1, len(languages))))
     marks = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(languages))])[: p.max_landmarks] if languages else np.zeros(0, int)
-    z = (x[marks] / norm[marks]).T
-    value, vector = np.linalg.eigh(z.T @ z)
+    # products of presence rows are counts, which 32 bits hold exactly
+    z = dense(x[marks])
+    norm = length(z)
+    value, vector = np.linalg.eigh((z @ z.T) / (norm * norm.T))
     good = value > 1e-8 * max(value.max(initial=0.0), 1e-30)
     white = vector[:, good] / np.sqrt(value[good])
-    phi = (x / norm) @ z @ white
     count = np.bincount(y, minlength=len(languages)).astype(float)
-    balance = (len(y) / (max(len(languages), 1) * count))[y][:, None]
-    gram = phi.T @ (balance * phi) + p.ridge * len(y) * np.eye(phi.shape[1])
+    share = len(y) / (max(len(languages), 1) * count)
+    gram = p.ridge * len(y) * np.eye(white.shape[1])
     # targets are 1 for a row's own language and -1 for the others
-    own = np.zeros((len(languages), phi.shape[1]))
-    np.add.at(own, y, balance * phi)
+    own = np.zeros((len(languages), white.shape[1]))
+    for lo in range(0, len(y), p.batch):
+        rows, k = dense(x[lo : lo + p.batch]), y[lo : lo + p.batch]
+        phi = (rows @ z.T) / (length(rows) * norm.T) @ white
+        balanced = share[k][:, None] * phi
+        gram += phi.T @ balanced
+        np.add.at(own, k, balanced)
     weights = white @ np.linalg.solve(gram, (2 * own - own.sum(0)).T)
-    return LanguageModel(p, languages, z.astype(np.float32), weights.astype(np.float32))
+    z *= (1 / norm).astype(np.float32)
+    return LanguageModel(p, languages, z.T, weights.astype(np.float32))
 
 
 def _bits_pass(p: LanguageParams):
@@ -167,8 +179,10 @@ def fit_languages(labelled: DataFrame, params: LanguageParams | None = None, id_
     labels = [k for k, v in picked.items() for _ in v]
     if not labels:
         return none
-    x = np.unpackbits(np.frombuffer(b"".join(b for v in picked.values() for b in v), np.uint8)).reshape(len(labels), p.dims)
-    return fit_kernel_ridge(x, labels, p)
+    x = np.frombuffer(b"".join(b for v in picked.values() for b in v), np.uint8).reshape(len(labels), -(-p.dims // 8))
+    model = fit_kernel_ridge(x, labels, p, packed=True)
+    give_back()
+    return model
 
 
 def _predict_pass(model: LanguageModel, at: int, extra: int):

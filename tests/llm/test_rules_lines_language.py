@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import brute
 import duckdb
@@ -199,6 +200,28 @@ def test_fences_equal_a_plain_twin(make):
     assert 0 < sum(got[i]["kept"] for i in good) < len(good)
 
 
+def test_kernel_ridge_spreads_out_few_rows_at_once():
+    """The driver never holds all presence rows as numbers; bits in bytes and blocks of any size give the same model."""
+    rng = np.random.default_rng(5)
+    p = language_id.LanguageParams(dims=(1 << 13) - 3)
+    rows = (rng.random((1200, p.dims)) < rng.choice([0.02, 0.1], (3, p.dims))[np.arange(1200) % 3]).astype(np.uint8)
+    labels = [("de", "en", "fr")[i % 3] for i in range(1200)]
+    tracemalloc.start()
+    try:
+        model = language_id.fit_kernel_ridge(rows, labels, p)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < rows.size * 4  # less than one copy in numbers of 32 bits
+    scores = model.scores(rows[:100].astype(np.float32))
+    for other in (
+        language_id.fit_kernel_ridge(np.packbits(rows, axis=1), labels, p, packed=True),
+        language_id.fit_kernel_ridge(rows, labels, language_id.LanguageParams(dims=p.dims, batch=7)),
+    ):
+        assert (other.landmarks == model.landmarks).all()
+        assert np.allclose(other.scores(rows[:100].astype(np.float32)), scores, atol=1e-4)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit_languages(docs.where(~language_id.held_out()))
