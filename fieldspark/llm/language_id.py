@@ -118,9 +118,13 @@ def fit_kernel_ridge(x: np.ndarray, labels: list[str], p: LanguageParams, packed
     # products of presence rows are counts, which 32 bits hold exactly
     z = dense(x[marks])
     norm = length(z)
-    value, vector = np.linalg.eigh((z @ z.T) / (norm * norm.T))
+    kernel = (z @ z.T) / (norm * norm.T)
+    del z  # not held beside what the eigenvectors need
+    value, vector = np.linalg.eigh(kernel)
     good = value > 1e-8 * max(value.max(initial=0.0), 1e-30)
     white = vector[:, good] / np.sqrt(value[good])
+    del kernel, vector
+    z = dense(x[marks])
     count = np.bincount(y, minlength=len(languages)).astype(float)
     share = len(y) / (max(len(languages), 1) * count)
     gram = p.ridge * len(y) * np.eye(white.shape[1])
@@ -180,6 +184,7 @@ def fit_languages(labelled: DataFrame, params: LanguageParams | None = None, id_
     if not labels:
         return none
     x = np.frombuffer(b"".join(b for v in picked.values() for b in v), np.uint8).reshape(len(labels), -(-p.dims // 8))
+    del got, picked
     model = fit_kernel_ridge(x, labels, p, packed=True)
     give_back()
     return model
