@@ -50,6 +50,7 @@ from fieldspark.llm.common import (
     buckets_of,
     documents_of,
     lean,
+    may_be_in,
     mix,
     mix_int,
     pack_buckets,
@@ -232,21 +233,31 @@ def _star(at: np.ndarray, size: np.ndarray, node: np.ndarray, chosen: np.ndarray
 
 
 def pack_signatures(bucket: np.ndarray, key: np.ndarray, owner: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Per bucket: the number of owners, the owners, and of each row its key, the place of its owner, and whether it is hot."""
-    order = np.argsort(bucket, kind="stable")
-    at, count = _runs(bucket[order])
-    for lo, n in zip(at, count, strict=True):
-        i = order[lo : lo + n]
-        owners, place = np.unique(owner[i], return_inverse=True)
-        yield int(bucket[i[0]]), int(n), np.int64(len(owners)).tobytes() + owners.tobytes() + key[i].tobytes() + place.astype(np.uint32 if len(owners) > 0xFFFF else np.uint16).tobytes() + hot[i].tobytes()
+    """Per bucket: the number of owners, the owners, how many rows each has, and, owner by owner, the upper half of each row's key and
+    whether it is hot.
+
+    Inside a bucket half a key tells all but some 0.01% of signatures apart; those that it does not are compared by sketches like others.
+    """
+    order = np.lexsort((owner, bucket))
+    bucket, owner, hot, half = bucket[order], owner[order], hot[order], (key[order] >> U64(32)).astype(np.uint32)
+    at, count = _runs(bucket)
+    turn = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]) if len(bucket) else at
+    cut = np.searchsorted(turn, np.r_[at, len(bucket)])
+    for lo, n, i, j in zip(at, count, cut[:-1], cut[1:], strict=True):
+        times = np.diff(np.r_[turn[i:j], lo + n]).astype(_times_kind(n))
+        yield int(bucket[lo]), int(n), np.int64(j - i).tobytes() + owner[turn[i:j]].tobytes() + times.tobytes() + half[lo : lo + n].tobytes() + hot[lo : lo + n].tobytes()
+
+
+def _times_kind(n: int) -> np.dtype:
+    return np.dtype(np.uint32 if n > 0xFFFF else np.uint16)
 
 
 def unpack_signatures(n: int, blob: bytes) -> list[np.ndarray]:
     m = int(np.frombuffer(blob, np.int64, 1)[0])
-    owners = np.frombuffer(blob, U64, m, 8)
-    kind = np.dtype(np.uint32 if m > 0xFFFF else np.uint16)
-    key, place, hot = unpack(n, blob[8 + 8 * m :], U64, kind, np.uint8)
-    return [key, owners[place], hot]
+    kind = _times_kind(n)
+    owners, times = np.frombuffer(blob, U64, m, 8), np.frombuffer(blob, kind, m, 8 + 8 * m)
+    key, hot = unpack(n, blob[8 + (8 + kind.itemsize) * m :], np.uint32, np.uint8)
+    return [key, np.repeat(owners, times), hot]
 
 
 def _signature_pass(p: JaccardParams, n_buckets: int):
@@ -323,9 +334,21 @@ def _found(kind: int, a: np.ndarray, b: np.ndarray, a2: np.ndarray | None = None
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), ends[0], second, ends[1], size, short, whole], ["kind", "a", "a2", "b", "n", "sketch", "whole"])
 
 
+def _group_of(node: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A number for each run of distinct sets that depends on nothing but which sets they are."""
+    return mix(np.add.reduceat(mix(node), at) ^ mix(count.astype(U64)))
+
+
+def _first_of_each(x: np.ndarray) -> np.ndarray:
+    first = np.zeros(len(x), bool)
+    first[np.unique(x, return_index=True)[1]] = True
+    return first
+
+
 def _bucket_pass(p: JaccardParams):
-    """Of each bucket: the documents' sets (INFO: row key, set, size, sketch), sets that share a signature (MULTI: signature,
-    set), and plain trees of candidate edges for signatures that too many sets share."""
+    """Of each bucket: the documents' sets (INFO: row key, set, size, sketch), groups of sets that share a signature (MULTI:
+    group, set), and plain trees of candidate edges for signatures that too many sets share.  Near copies share many
+    signatures: a group is the same, whatever signature it shares, and comes once of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in buckets_of(batches):
@@ -347,7 +370,7 @@ def _bucket_pass(p: JaccardParams):
                 some = []
                 for n, blob in parts:
                     key, node, hot = unpack_signatures(n, blob)
-                    mine = ((key >> U64(32)) * U64(ranges)) >> U64(32) == U64(part)
+                    mine = (key.astype(U64) * U64(ranges)) >> U64(32) == U64(part)
                     some.append((key[mine], node[mine], hot[mine]))
                 key, node, hot = _sorted_distinct(*(np.concatenate(x) for x in zip(*some, strict=True)))
                 at, count = _runs(key)
@@ -355,9 +378,12 @@ def _bucket_pass(p: JaccardParams):
                 a, b = _star(at, count, node, plain)
                 ea.append(a)
                 eb.append(b)
-                multi = np.repeat((count > 1) & ~plain, count)
+                multi = (count > 1) & ~plain
                 if multi.any():
-                    yield _found(MULTI, key[multi], node[multi])
+                    group = _group_of(node, at, count)
+                    multi[multi] = _first_of_each(group[multi])
+                    rows = np.repeat(multi, count)
+                    yield _found(MULTI, np.repeat(group, count)[rows], node[rows])
             if ea:
                 pair = np.unique(np.stack([np.concatenate(ea), np.concatenate(eb)], 1), axis=0)
                 if len(pair):
@@ -590,9 +616,9 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     found = written(packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_bucket_pass(p)), FOUND), "op1")
     info = found.where(F.col("kind") == INFO).select(F.col("a").alias("_rk"), F.col("a2").alias("_rk2"), F.col("b").alias("node"), "n")
 
-    # sets that share a signature, with their sketches: which of them may link
+    # groups of sets that share a signature, each once, with their sketches: which of them may link
     sketches = found.where((F.col("kind") == INFO) & (F.col("n") > 0)).select(F.col("b").alias("node"), "n", "sketch").dropDuplicates(["node"])
-    multi = found.where(F.col("kind") == MULTI).select(F.col("a").alias("sig"), F.col("b").alias("node"))
+    multi = found.where(F.col("kind") == MULTI).select(F.col("a").alias("sig"), F.col("b").alias("node")).distinct()
     shared = multi.join(sketches, "node").select("sig", "node", "n", "sketch").repartition(n, "sig").sortWithinPartitions("sig")
     edges = shared.mapInArrow(lean(_plausible_pass(p)), "a long, b long").unionByName(found.where(F.col("kind") == EDGE).select("a", "b"))
     tied = components(edges)
@@ -610,7 +636,9 @@ def _groups(docs: DataFrame, params: JaccardParams | None = None, id_col: str =
     any_large = wanted.where("large").limit(1).count() > 0
 
     def sets_of(want: DataFrame, with_signatures: bool) -> DataFrame:
-        texts = src.select(*ROW, "text").join(want.hint("shuffle_hash"), list(ROW)).select("node", "unit", "text")
+        # of most texts no set is wanted: they are not shuffled
+        some = may_be_in(src.select(*ROW, "text"), want).where("_may").drop("_may")
+        texts = some.join(want.hint("shuffle_hash"), list(ROW)).select("node", "unit", "text")
         return texts.mapInArrow(lean(_set_pass(p, with_signatures)), _SETS)
 
     small = sets_of(wanted.where("not large").drop("large"), False)

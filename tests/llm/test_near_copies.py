@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from fieldspark.llm import common
 from fieldspark.llm import ngram_jaccard as J
-from fieldspark.llm.common import lean, written
+from fieldspark.llm.common import lean, may_be_in, written
 from fieldspark.llm.components import components
 
 
@@ -156,3 +157,41 @@ def test_shuffle_files_go_once_a_table_is_written(spark):
 def test_lean_passes_give_the_same_rows():
     batches = [pa.RecordBatch.from_pydict({"a": [i, i + 1]}) for i in range(3)]
     assert list(lean(lambda b: (x for x in b))(iter(batches))) == batches
+
+
+def test_signatures_take_half_a_key_and_their_owner():
+    rng = np.random.default_rng(1)
+    key, owner = rng.integers(0, 1 << 64, 60_000, dtype=np.uint64), rng.choice(rng.integers(0, 1 << 64, 5000, dtype=np.uint64), 60_000)
+    for n_buckets in (1, 7, 2400):
+        bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+        hot = (key % np.uint64(11) == 0).astype(np.uint8)
+        rows = list(J.pack_signatures(bucket, key, owner, hot))
+        got = [(b, *r) for b, n, blob in rows for r in zip(*J.unpack_signatures(n, blob), strict=True)]
+        assert sorted(got) == sorted(zip(bucket, key >> np.uint64(32), owner, hot, strict=True))
+    # in many small buckets: 4 bytes of the key, 8 of the owner, 2 of its number, and the flag
+    assert sum(len(blob) for *_, blob in rows) <= 16 * len(key)
+
+
+def test_a_group_comes_once_of_each_bucket():
+    # signatures 0 to 99 shared by sets 1 and 2, 100 by 1 and 3, 101 by 1, 2 and 3
+    key = np.repeat(np.arange(102, dtype=np.uint64), [2] * 101 + [3]) << np.uint64(32)
+    owner = np.array([1, 2] * 100 + [1, 3] + [1, 2, 3], np.uint64)
+    (_, n, blob), = J.pack_signatures(np.zeros(len(key), np.int64), key, owner, np.zeros(len(key), np.uint8))
+    for p in (J.JaccardParams(), J.JaccardParams(bucket_sigs=50)):
+        got = list(J._bucket_pass(p)(iter([J._packed_batch([(0, J.SIG, n, blob)])])))
+        rows = [(r["a"], r["b"]) for batch in got for r in batch.to_pylist() if r["kind"] == J.MULTI]
+        members = {frozenset(b for a, b in rows if a == g) for g, _ in rows}
+        assert members == {frozenset(x) for x in ((1, 2), (1, 3), (1, 2, 3))}
+        # ranges of one bucket agree on a group's number
+        assert len({a for a, _ in rows}) == 3 and len(rows) <= 7 * (1 + len(key) // p.bucket_sigs)
+
+
+def test_rows_that_are_none_of_a_few(spark, monkeypatch):
+    rows = spark.range(4000).select("id", *[c.alias(k) for c, k in zip((F.xxhash64("id"), F.xxhash64("id", "id")), common.ROW, strict=True)])
+    few = rows.where("id % 40 = 0")
+    for bits in (64, 1 << 10, 1 << 22):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = {r["id"]: r["_may"] for r in may_be_in(rows, few).collect()}
+        assert len(got) == 4000 and all(got[i] for i in range(0, 4000, 40))
+    assert sum(got.values()) < 110 and may_be_in(rows, few).columns == [*rows.columns, "_may"]
+    assert not any(r["_may"] for r in may_be_in(rows, few.where("false")).collect())
