@@ -684,8 +684,10 @@ def keep_one_of_each(docs: DataFrame, params: JaccardParams | None = None, id_co
     # a row's hashes, whether it is its group's first, and how often it is there
     rows = groups.groupBy(*ROW, "_root").agg(F.count("*").alias("times"))
     judged = written(rows.join(first, "_root").select(*ROW, stays.alias("stays"), "times").where("not stays or times > 1"), "op1")
-    keyed = docs.select(struct_of(docs), *row_key(id_col, text_col))
-    out = keyed.join(judged.hint("shuffle_hash"), list(ROW), "left_anti").select("_row")
+    keyed = may_be_in(docs.select(struct_of(docs), *row_key(id_col, text_col)), judged)
+    # most rows are not judged at all, and stay where they are
+    keyed, out = keyed.where("_may"), keyed.where("not _may").select("_row")
+    out = out.unionByName(keyed.join(judged.hint("shuffle_hash"), list(ROW), "left_anti").select("_row"))
     if judged.where("stays").limit(1).count():
         # of rows that repeat an id and a text one stays: they are put together map-side
         again = keyed.join(judged.where("stays").hint("shuffle_hash"), list(ROW), "left_semi")

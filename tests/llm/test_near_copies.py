@@ -195,3 +195,13 @@ def test_rows_that_are_none_of_a_few(spark, monkeypatch):
         assert len(got) == 4000 and all(got[i] for i in range(0, 4000, 40))
     assert sum(got.values()) < 110 and may_be_in(rows, few).columns == [*rows.columns, "_may"]
     assert not any(r["_may"] for r in may_be_in(rows, few.where("false")).collect())
+
+
+def test_texts_of_sets_that_are_not_wanted_are_not_shuffled(make, spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(J, "may_be_in", lambda rows, few: seen.append(may_be_in(rows, few)) or seen[-1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(300)]
+    texts += [t + " more" for t in texts[:5]]
+    kept = J.keep_one_of_each(make(texts))
+    assert kept.count() == 300 and len(seen) == 2
+    assert [s.where("_may").count() for s in seen] == [10, 5]
