@@ -89,6 +89,24 @@ def test_each_overlap_once(spark, odd_runs, monkeypatch):
     assert P.simultaneous_intervals(runs, runs).count() == every
 
 
+def test_runs_that_share_an_interval_travel_as_one(spark, monkeypatch):
+    # 600 runs of four intervals of each station, one run twice and one without a name
+    runs = spark.range(600).selectExpr("cast(id % 2 as string) as station", "if(id = 7, null, cast(if(id = 12, 4, id) as string)) as run", "timestamp '2020-01-01 00:00:00' + make_interval(0, 0, 0, int(id % 8)) as start", "timestamp '2020-03-01 00:00:00' as end").cache()
+    rows, text = [tuple(r) for r in runs.collect()], lambda pairs: sorted(map(str, pairs))
+    expected = text((a, r, b, q, max(s, u), min(e, v)) for a, r, s, e in rows for b, q, u, v in rows if (a, b) == ("0", "1"))
+    partners = spark.createDataFrame([("0", "1")], ["station", "remote_station"])
+    for slot in (256, 10):
+        monkeypatch.setattr(P, "SLOT_RUNS", slot)
+        got = P.simultaneous_intervals(runs, runs, 30 * 86400, partners)
+        assert text(tuple(r) for r in got.collect()) == expected
+    monkeypatch.setattr(P, "SLOT_RUNS", 256)
+    # rows that are shuffled towards the join: each interval once a bucket it touches, not each run
+    moved, frame, repartition = [], type(runs), type(runs).repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: moved.append(self) or repartition(self, *a))
+    P.simultaneous_intervals(runs, runs, 30 * 86400, partners)
+    assert sum(m.count() for m in moved) < 100
+
+
 def test_kernel_totals_are_those_of_the_rows(spark, odd_runs):
     runs, partners = odd_runs
     rows = P.kernel_rows(P.simultaneous_intervals(runs, runs, partners=partners)).groupBy("station", "remote").agg(F.count("*").alias("n"), F.sum("duration").alias("duration"))
